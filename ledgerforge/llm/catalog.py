@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import bpe_round_trip
 from .common import read_table
+from .sorted_tables import token_tables
 from .token_counts import token_counts
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -16,5 +18,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
-QUERIES = {"op4_token_counts": op4_token_counts}
+def op6_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
+QUERIES = {
+    "op4_token_counts": op4_token_counts,
+    "op6_sorted_tables": op6_sorted_tables,
+    "op9_bpe_codec": op9_bpe_codec,
+}
 ORACLE_SQL: dict[str, str] = {}
