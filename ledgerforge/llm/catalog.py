@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
 from .common import read_table
+from .packing import packed_documents
 from .sorted_tables import token_tables
 from .token_counts import token_counts
 
@@ -22,6 +23,10 @@ def op6_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -29,6 +34,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_sorted_tables": op6_sorted_tables,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_bpe_codec": op9_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {}
