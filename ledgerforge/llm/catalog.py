@@ -9,12 +9,18 @@ from .bpe_codec import bpe_round_trip
 from .common import read_table
 from .packing import packed_documents
 from .sorted_tables import token_tables
+from .span_hashes import span_fingerprints
 from .token_counts import token_counts
+from .transport_streams import media_columns
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -31,10 +37,16 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_transport_streams": op2_transport_streams,
     "op4_token_counts": op4_token_counts,
     "op6_sorted_tables": op6_sorted_tables,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_span_hashes": op10_span_hashes,
 }
 ORACLE_SQL: dict[str, str] = {}
