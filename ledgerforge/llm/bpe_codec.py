@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokenizing import Remembered, WordPieces, id_bytes
+from .tokenizing import Remembered, WordPieces, id_bytes, of_worker
 from .token_counts import WORD_END, byte_of_char
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -148,9 +148,6 @@ class TextCodec:
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
 
 
-_CODECS: dict[str, TextCodec] = {}
-
-
 def bpe_round_trip(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -162,7 +159,7 @@ def bpe_round_trip(
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches):
-        codec = _CODECS.get(tokenizer_path) or _CODECS.setdefault(tokenizer_path, TextCodec(shared.value))
+        codec = of_worker(("TextCodec", tokenizer_path), lambda: TextCodec(shared.value))
         for batch in batches:
             n, ids_digest, decoded_digest = [], [], []
             for text in batch.column("text").to_pylist():

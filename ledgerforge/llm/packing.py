@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, texts
-from .tokenizing import WordEncoder
+from .tokenizing import WordEncoder, of_worker
 
 CAPACITY = 2048
 #: Fillings looked at for one bin before the best so far is taken.
@@ -127,9 +127,6 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int =
     return min((incumbent, searched), key=lambda bins: sum(times for _, times in bins))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, row_no, piece, start, length and ids_crc32 of every piece; only longer documents are cut.
 
@@ -140,7 +137,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: i
     names = ["doc_id", "row_no", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(shared.value))
+        encoder = of_worker(("WordEncoder", tokenizer_path), lambda: WordEncoder(shared.value))
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []

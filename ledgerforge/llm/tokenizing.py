@@ -22,6 +22,21 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 _PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]*")
 
 
+_OF_WORKER: dict = {}
+
+
+def of_worker(key, build):
+    """The object built for `key` once in this Python worker, kept for its later tasks.
+
+    Being a function of an importable module it reaches tasks by reference, so that all of
+    them share this module's dictionary.
+    """
+    found = _OF_WORKER.get(key)
+    if found is None:
+        found = _OF_WORKER[key] = build()
+    return found
+
+
 class Remembered(dict):
     """`dict` that computes missing values and keeps about the last two generations of keys."""
 
