@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
 from .common import read_table
+from .language_id import language_id
 from .packing import packed_documents
 from .sorted_tables import token_tables
 from .span_hashes import span_fingerprints
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .transport_streams import media_columns
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -33,6 +39,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -44,8 +54,10 @@ def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_transport_streams": op2_transport_streams,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_sorted_tables": op6_sorted_tables,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_span_hashes": op10_span_hashes,
 }
