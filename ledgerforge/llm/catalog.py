@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import read_table
 from .language_id import language_id
+from .ngram_join import ngram_components
 from .packing import packed_documents
 from .sorted_tables import token_tables
 from .span_hashes import span_fingerprints
@@ -23,6 +24,10 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -53,6 +58,7 @@ def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_transport_streams": op2_transport_streams,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_sorted_tables": op6_sorted_tables,
