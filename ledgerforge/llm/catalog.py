@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_round_trip
 from .common import read_table
 from .language_id import language_id
+from .line_dedup import line_classes
 from .ngram_join import ngram_components
 from .packing import packed_documents
 from .sorted_tables import token_tables
@@ -20,6 +21,10 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_transport_streams": op2_transport_streams,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
@@ -67,4 +73,46 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_span_hashes": op10_span_hashes,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB counts edits in bytes; these letters of the data get one byte each there.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+MARKS = "".join(chr(c) for c in (*range(1, 9), *range(14, 32)))[: len(LETTERS)]
+
+#: The other operators have no SQL form; `tests/llm` holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH RECURSIVE
+        places AS (
+            SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+        ),
+        long AS (SELECT * FROM places WHERE length(line) >= 20),
+        different AS (
+            SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id,
+                   translate(line, '{letters}', '{marks}') AS one_byte
+            FROM (SELECT DISTINCT line FROM long)
+        ),
+        links AS MATERIALIZED (
+            SELECT a.id AS a, b.id AS b
+            FROM different a JOIN different b
+              ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.id < b.id)
+             AND levenshtein(a.one_byte, b.one_byte) <= 2
+        ),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (
+            SELECT a AS id, a AS seen FROM both_ways
+            UNION
+            SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.seen
+        ),
+        classes AS (
+            SELECT d.line, coalesce(r.c, d.id) AS class, coalesce(g.n_links, 0) AS n_links
+            FROM different d
+            LEFT JOIN (SELECT id, min(seen) AS c FROM reach GROUP BY id) r USING (id)
+            LEFT JOIN (SELECT a AS id, count(*) AS n_links FROM both_ways GROUP BY a) g USING (id)
+        ),
+        placed AS (SELECT l.doc_id, l.line_no, length(l.line) AS n_chars, c.class, c.n_links FROM long l JOIN classes c USING (line)),
+        firsts AS (SELECT class, min((doc_id, line_no)) AS f FROM placed GROUP BY class)
+        SELECT doc_id, line_no, CAST(n_chars AS INTEGER) AS n_chars, f[1] AS class_doc_id, f[2] AS class_line_no,
+               CAST(n_links AS BIGINT) AS n_links, (doc_id = f[1] AND line_no = f[2]) AS kept
+        FROM placed JOIN firsts USING (class)
+    """.replace("{letters}", LETTERS).replace("{marks}", MARKS),
+}

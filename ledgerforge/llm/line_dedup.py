@@ -147,3 +147,69 @@ def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
     inner = lambda c: F.substring(F.col(c), F.col("front") + 1, F.char_length(c) - F.col("front") - F.col("back"))
     cut = ends.withColumn("x_in", inner("x")).withColumn("y_in", inner("y"))
     return cut.filter(banded_distance(F.col("x_in"), F.col("y_in"), edits) <= edits).drop("front", "back", "x_in", "y_in")
+
+
+def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """(a, b): ids (64-bit hashes) of different lines within `edits` edits of each other.
+
+    Equal lines are collapsed first, with partial aggregation, so a line that a third of all
+    documents share is one row. Texts are looked up for the lines in some candidate pair
+    only: those are few where lines differ, and picked by a broadcast when a count shows so.
+    """
+    different = lines_of(docs, least).groupBy("line").agg(F.count("*").alias("copies"))
+    different = different.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("n"))
+    pairs = stored(candidates(different, edits))
+    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    found = stored(different.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi"))
+    one = found.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    two = found.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    return stored(verified(pairs.join(one, "a").join(two, "b"), edits).select("a", "b"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """One row for each line of at least `least` characters.
+
+    Columns: doc_id, line_no (from 0), n_chars, class_doc_id and class_line_no (the first
+    place, by doc_id and line_no, of a line that can be reached over links), n_links
+    (different lines within `edits` edits) and kept (whether the line is that first place).
+    Null and empty texts have no such line. Rows of the same doc_id count as one document, so
+    lines at equal places are kept alike. Columns besides doc_id and text are ignored.
+    """
+    links = line_links(docs, edits, least)
+    both = links.select("a").union(links.select("b")).withColumnRenamed("a", "id")
+    degrees = both.groupBy("id").agg(F.count("*").alias("n_links"))
+    linked = stored(components(links).withColumnRenamed("node", "id").join(degrees, "id"))
+    places = lines_of(docs, least).select("doc_id", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
+    placed = stored(
+        places.join(maybe_broadcast(linked, linked.count()), "id", "left").select(
+            "doc_id", "line_no", "n_chars", F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        )
+    )
+    firsts = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    return placed.join(firsts, "class").select(
+        "doc_id",
+        "line_no",
+        "n_chars",
+        F.col("first.doc_id").alias("class_doc_id"),
+        F.col("first.line_no").alias("class_line_no"),
+        "n_links",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+    )
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """`docs` without the lines that are copies or near copies of an earlier line.
+
+    All columns stay; `text`, and `n_chars` where it exists, are those of the lines left.
+    A document that loses every line goes; one that had none to lose stays as it is.
+    """
+    gone = line_classes(docs, edits, least).filter("NOT kept")
+    by_document = gone.groupBy(F.col("doc_id").alias("_gone_from")).agg(F.collect_set("line_no").alias("_gone"))
+    held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_from")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col("_gone"), k))
+    held = held.withColumn("_kept", kept).filter(F.col("_gone").isNull() | (F.size("_kept") > 0))
+    held = held.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    if "n_chars" in docs.columns:
+        changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        held = held.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(changed))
+    return held.select(*docs.columns)
