@@ -17,12 +17,12 @@ import hashlib
 import json
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokenizing import Remembered, WordPieces, id_bytes, of_worker
-from .token_counts import WORD_END, byte_of_char
+from .tokenizing import WORD_END, Pieces, Remembered, Vocabulary, blocks, byte_of_char, of_worker, word_vocabulary
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: One character that stands for the end-of-word mark inside the automaton.
@@ -31,13 +31,15 @@ END = "\ue000"
 PAIRS = 1_000_000
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class PrefixCodec:
-    """Encodes and decodes single pre-tokens of the word-end vocabulary."""
+    """Encodes single pre-tokens of the word-end vocabulary."""
 
-    def __init__(self, tokenizer_json: str):
-        self.words = WordPieces(tokenizer_json)
-        model = json.loads(tokenizer_json)["model"]
-        self.strings = {i: s for s, i in model["vocab"].items()}
+    def __init__(self, vocabulary: Vocabulary, model: dict):
+        self.vocabulary, self.strings = vocabulary, vocabulary.merges.strings
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(a, b): k for k, (a, b) in enumerate(pairs)}
         self.char_of_byte = {b: c for c, b in byte_of_char().items()}
@@ -110,42 +112,45 @@ class PrefixCodec:
             end -= width[end]
         return ids[::-1]
 
-    def encode_plain(self, pre_token: str) -> list[int]:
-        return self.encode_mapped("".join([self.char_of_byte[b] for b in pre_token.encode("utf-8")]))
+    def encode_plain(self, pre_token: str) -> bytes:
+        return id_bytes(self.encode_mapped("".join([self.char_of_byte[b] for b in pre_token.encode("utf-8")])))
 
-    def encode_any(self, piece: str) -> list[int]:
+    def encode_any(self, piece: str) -> bytes:
         """Ids of a piece that needs the tokenizer's own normalising and splitting."""
-        tokenizer = self.words.tokenizer
-        if any(s in piece for s in self.words.special):
-            return self.words.encode(piece)
+        tokenizer = self.vocabulary.tokenizer
+        if any(s in piece for s in self.vocabulary.special):
+            return self.vocabulary.encode(piece).astype("<u4").tobytes()
         split = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(piece))
-        return [i for mapped, _ in split for i in self.encode_mapped(mapped)]
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.strings.get(i) or self.words.tokenizer.id_to_token(i) for i in ids])
+        return b"".join([id_bytes(self.encode_mapped(mapped)) for mapped, _ in split])
 
 
 class TextCodec:
-    """Whole texts to id bytes and decoded text, remembering repeated pieces."""
+    """Whole texts to id bytes and back to text, remembering repeated pieces."""
 
     def __init__(self, tokenizer_json: str):
-        self.codec = PrefixCodec(tokenizer_json)
-        self.tokens = Remembered(lambda t: self._both(self.codec.encode_plain(t)))
-        self.pieces = Remembered(self._piece)
-
-    def _both(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return id_bytes(ids), self.codec.decode(ids).encode("utf-8")
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        found = self.codec.words.pre_tokens(piece)
-        if found is None:
-            return self._both(self.codec.encode_any(piece))
-        parts = [self.tokens[t] for t in found]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
-
-    def __call__(self, text: str) -> tuple[bytes, bytes]:
-        parts = [p for p in map(self.pieces.__getitem__, text.split(" ")) if p[0]]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+        self.vocabulary = word_vocabulary(tokenizer_json)
+        self.codec = PrefixCodec(self.vocabulary, json.loads(tokenizer_json)["model"])
+        self.tokens = Remembered(self.codec.encode_plain)
+        self.pieces = Pieces(self._ids)
+        strings = self.vocabulary.tokenizer
+        self.string_bytes = [(strings.id_to_token(i) or "").encode("utf-8") for i in range(strings.get_vocab_size())]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        plain = [self.vocabulary.plain(p) for p in pieces]
+        split = iter(self.vocabulary.pre_tokens([p for p, ok in zip(pieces, plain) if ok]))
+        return [b"".join([self.tokens[t] for t in next(split)]) if ok else self.codec.encode_any(p) for p, ok in zip(pieces, plain)]
+
+    def encode(self, rows: list[str]) -> list[bytes]:
+        out = []
+        for begin, end in blocks(rows):
+            split = [t.replace("\n", " ").split(" ") for t in rows[begin:end]]
+            known = self.pieces.ready(set().union(*split))
+            out += [b"".join(map(known.__getitem__, s)) for s in split]
+        return out
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text of ids: their strings with a blank between them, as without a decoder."""
+        return b" ".join([self.string_bytes[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def bpe_round_trip(
@@ -161,12 +166,10 @@ def bpe_round_trip(
     def encode(batches):
         codec = of_worker(("TextCodec", tokenizer_path), lambda: TextCodec(shared.value))
         for batch in batches:
-            n, ids_digest, decoded_digest = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, decoded = codec(text)
-                n.append(len(ids) // 4)
-                ids_digest.append(hashlib.sha256(ids).hexdigest())
-                decoded_digest.append(hashlib.sha256(decoded).hexdigest())
+            encoded = codec.encode(batch.column("text").to_pylist())
+            n = [len(ids) // 4 for ids in encoded]
+            ids_digest = [hashlib.sha256(ids).hexdigest() for ids in encoded]
+            decoded_digest = [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in encoded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(decoded_digest, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: A side with at most so many rows of three longs (24 MB) may be broadcast after it was counted.
 BROADCAST_ROWS = 1_000_000
@@ -25,6 +28,22 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def with_text_column(docs: DataFrame, make, kind: pa.DataType, name: str) -> DataFrame:
+    """`docs` plus a column that `make(list of texts)` gives in tasks; a null text counts as empty.
+
+    All columns stay as they are and nothing is joined or shuffled, so rows may repeat and
+    identifiers may be missing.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, from_arrow_type(kind))])
+
+    def add(batches):
+        for batch in batches:
+            made = make([text or "" for text in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(add, schema)
+
+
 def scratch_uri(spark: SparkSession) -> str:
     """A new folder URI below the session's shared checkpoint folder.
 

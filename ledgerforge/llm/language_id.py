@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
-from .tokenizing import of_worker
+from .common import texts, with_text_column
+from .tokenizing import blocks, of_worker
 
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_PER_LANGUAGE = 1500
@@ -238,18 +238,6 @@ def learn(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> Model:
     return fit([(lang, text) for lang, _, text in rows], counts)
 
 
-def blocks(rows: list[str]):
-    """Index ranges of `rows` of about `BLOCK_CHARS` characters; at least one row each."""
-    begin = size = 0
-    for k, text in enumerate(rows):
-        if size and size + len(text) > BLOCK_CHARS:
-            yield begin, k
-            begin, size = k, 0
-        size += len(text)
-    if begin < len(rows):
-        yield begin, len(rows)
-
-
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans int"
 
 
@@ -269,7 +257,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = []
             text = batch.column("text").to_pylist()
-            for begin, end in blocks(text):
+            for begin, end in blocks(text, BLOCK_CHARS):
                 found += predict(model, text[begin:end])
             lang, score, spans = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -283,3 +271,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def language_id(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Learn from `docs` (doc_id, text, lang) and label every row of it."""
     return identify(docs, learn(docs, each))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs` with a language and a score of at least `least`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scores(rows):
+        model = shared.value
+        found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in predict(model, rows[begin:end])]
+        return [None if lang == UNKNOWN else score for lang, score, _ in found]
+
+    return with_text_column(docs, scores, pa.float64(), "_lang_score").filter(F.col("_lang_score") >= least).drop("_lang_score")

@@ -262,3 +262,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid").alias("c"))
     named = members.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return members.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each group of near copies, with all its columns.
+
+    The row with the smallest doc_id stays, with other rows of that doc_id, which count as the
+    same document. Rows without words are groups of their own.
+    """
+    found = ngram_components(docs)
+    gone = found.filter(F.col("n_shingles") > 0).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -141,8 +141,9 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: i
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, row_no, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_no", "text"))):
-                ids = encoder(text) + end
+            encoded = encoder(batch.column("text").to_pylist())
+            for doc_id, row_no, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), encoded):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, row_no, piece, at // 4, len(part) // 4, zlib.crc32(part)))

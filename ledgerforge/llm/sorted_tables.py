@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_uri, shuffle_partitions, stored, texts
-from .tokenizing import ByteEncoder
+from .tokenizing import ByteEncoder, of_worker
 
 MAGIC = b"LFSSTAB1"
 BLOCK_BYTES = 64 * 1024
@@ -191,9 +191,6 @@ class TableReader:
         return found
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
-
-
 def range_splits(docs: DataFrame, parts: int) -> list[int]:
     """Identifiers that cut `docs` into about `parts` even ranges; reads the id column only."""
     error = 1 / (8 * parts)
@@ -225,11 +222,11 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shards:
     folder = scratch_uri(spark)
 
     def encode(batches):
-        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, ByteEncoder(shared.value))
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        encoder = of_worker(("ByteEncoder", tokenizer_path), lambda: ByteEncoder(shared.value))
+        width = 2 if encoder.vocabulary.tokenizer.get_vocab_size() <= 1 << 16 else 4
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids = [np.frombuffer(encoder(t) + end, "<u4").astype(f"<u{width}").tobytes() for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(i + end, "<u4").astype(f"<u{width}").tobytes() for i in encoder(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("bucket"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())],
                 names=["bucket", "doc_id", "ids", "width"],

@@ -14,63 +14,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokenizing import Remembered, WordPieces
+from .tokenizing import WORD_END, Pieces, blocks, byte_of_char, of_worker, word_vocabulary
 
 #: Documents above this many tokens are over the limit.
 TOKEN_LIMIT = 2048
-#: Fixed value: the mark at the end of a word in the vocabulary's strings.
-WORD_END = "</w>"
-
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def byte_of_char() -> dict[str, int]:
-    """The printable stand-in characters of byte-level vocabularies, mapped to their bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 def prove_whole_tokens(tokenizer_json: str) -> frozenset[str]:
     """Pre-token strings that the tokenizer turns into one token each, proven one by one."""
-    words, back = WordPieces(tokenizer_json), byte_of_char()
-    proven = set()
+    words, back = word_vocabulary(tokenizer_json), byte_of_char()
+    texts = []
     for string in words.tokenizer.get_vocab(with_added_tokens=False):
-        if not string.endswith(WORD_END):
-            continue
-        body = string[: -len(WORD_END)]
-        if not body or any(c not in back for c in body):
-            continue
-        try:
-            text = bytes(back[c] for c in body).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if words.pre_tokens(text) == [text] and len(words.encode(text)) == 1:
-            proven.add(text)
-    return frozenset(proven)
+        body = string.removesuffix(WORD_END)
+        if body and body != string and all(c in back for c in body):
+            try:
+                texts.append(bytes(back[c] for c in body).decode("utf-8"))
+            except UnicodeDecodeError:
+                continue
+    texts = [t for t in texts if words.plain(t)]
+    alone = [t for t, split in zip(texts, words.pre_tokens(texts)) if split == [t]]
+    return frozenset(t for t in alone if len(words.encode(t)) == 1)
 
 
 class TokenCounter:
-    """Counts tokens of whole texts; one instance serves all batches of a task."""
+    """Counts tokens of whole texts; one instance serves all tasks of a worker."""
 
     def __init__(self, tokenizer_json: str, whole: frozenset[str]):
-        self.words, self.whole = WordPieces(tokenizer_json), whole
-        self.merged = Remembered(lambda token: len(self.words.encode(token)))
-        self.pieces = Remembered(self._piece)
-
-    def _piece(self, piece: str) -> int:
-        found = self.words.pre_tokens(piece)
-        if found is None:
-            return len(self.words.encode(piece))
-        whole = self.whole
-        return sum(1 if token in whole else self.merged[token] for token in found)
-
-    def __call__(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, text.split(" ")))
-
-
-#: One counter for each vocabulary in a Python worker, so that tasks share its memory.
-_COUNTERS: dict[int, TokenCounter] = {}
+        self.words, self.whole = word_vocabulary(tokenizer_json), whole
+        self.pieces = Pieces(self._count)
+
+    def _count(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece: one for a proven whole token, else as many as merging leaves."""
+        whole, plain = self.whole, [self.words.plain(p) for p in pieces]
+        split = self.words.pre_tokens([p for p, ok in zip(pieces, plain) if ok])
+        rest = list({t for own in split for t in own if t not in whole})
+        merged = dict(zip(rest, self.words.merges.apply(rest)[1].tolist()))
+        found = iter([sum([1 if t in whole else merged[t] for t in own]) for own in split])
+        return [next(found) if ok else len(self.words.encode(p)) for p, ok in zip(pieces, plain)]
+
+    def __call__(self, rows: list[str]) -> list[int]:
+        out = []
+        for begin, end in blocks(rows):
+            split = [t.replace("\n", " ").split(" ") for t in rows[begin:end]]
+            known = self.pieces.ready(set().union(*split))
+            out += [sum(map(known.__getitem__, s)) for s in split]
+        return out
 
 
 def token_counts(
@@ -90,11 +79,10 @@ def token_counts(
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, prove_whole_tokens(tokenizer_json)))
 
     def count(batches):
-        key = hash(tokenizer_path)
-        counter = _COUNTERS.get(key) or _COUNTERS.setdefault(key, TokenCounter(*shared.value))
+        counter = of_worker(("TokenCounter", tokenizer_path), lambda: TokenCounter(*shared.value))
         for batch in batches:
             rows = batch.column("text").to_pylist()
-            tokens = [counter(text) for text in rows]
+            tokens = counter(rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -1,26 +1,36 @@
-"""Exact tokenizer calls on short pieces, with bounded per-worker caches.
-
-Both vocabularies used here never merge across a space, so a text's ids are the
-concatenation of the ids of its space-separated pieces. Pieces repeat often; each
-Python worker therefore remembers the pieces it has seen, in two generations of
-bounded size, and asks the tokenizer only for new ones.
+"""Exact tokenization of whole texts, piece by piece, with bounded per-worker memory.
+
+Neither vocabulary used here merges across a space, so a text's ids are the concatenation of
+the ids of its space-separated pieces. Pieces repeat often; each Python worker remembers
+those it has seen, in two generations of bounded size. The new ones of a block of texts are
+split into pre-tokens by one regular expression call and merged together, one rank a round,
+in arrays. Pieces that need Unicode normalisation, and special tokens' strings, go to the
+tokenizer itself.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import chain
+
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each of a cache's two generations.
-GENERATION = 250_000
+#: Entries of each of the two generations of remembered pieces.
+GENERATION = 500_000
+#: Characters of text handled together.
+BLOCK_CHARS = 2_000_000
 #: Fixed value: the pre-token pattern of the word-end vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the mark at the end of a word in the word-end vocabulary's strings.
+WORD_END = "</w>"
 #: Below this code point letters, digits and white space are the same in every Unicode
 #: version, nothing composes, and lower-casing needs no context.
 _PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]*")
-
+_PLAIN_LINES = regex.compile(r"[\n\x20-\x7e¡-ɏ]*")
 
 _OF_WORKER: dict = {}
 
@@ -37,6 +47,25 @@ def of_worker(key, build):
     return found
 
 
+def blocks(rows: list[str], chars: int = BLOCK_CHARS):
+    """Index ranges of `rows` of about `chars` characters; at least one row each."""
+    begin = size = 0
+    for k, text in enumerate(rows):
+        if size and size + len(text) > chars:
+            yield begin, k
+            begin, size = k, 0
+        size += len(text)
+    if begin < len(rows):
+        yield begin, len(rows)
+
+
+def byte_of_char() -> dict[str, int]:
+    """The printable stand-in characters of byte-level vocabularies, mapped to their bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 class Remembered(dict):
     """`dict` that computes missing values and keeps about the last two generations of keys."""
 
@@ -55,85 +84,225 @@ class Remembered(dict):
         return value
 
 
-def specials(tokenizer: Tokenizer) -> list[str]:
-    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-
-def plain(piece: str) -> bool:
-    return _PLAIN.fullmatch(piece) is not None
-
-
-class WordPieces:
-    """Pieces of the word-end vocabulary, split into pre-tokens exactly as the tokenizer does."""
-
-    def __init__(self, tokenizer_json: str):
+class Pieces:
+    """Values of pieces, resolved many at a time and kept for about two generations."""
+
+    def __init__(self, resolve, size: int = GENERATION):
+        self.resolve, self.size, self.new, self.old = resolve, size, {}, {}
+
+    def ready(self, wanted: set[str]) -> dict:
+        """A dictionary that holds every wanted piece."""
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        need = wanted.difference(self.new)
+        for piece in need & self.old.keys():
+            self.new[piece] = self.old[piece]
+            need.discard(piece)
+        if need:
+            pieces = list(need)
+            self.new.update(zip(pieces, self.resolve(pieces)))
+        return self.new
+
+
+class Merges:
+    """A vocabulary's merges, applied to many pre-tokens at once."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: dict):
+        vocab, back = model["vocab"], byte_of_char()
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.strings = {i: s for s, i in vocab.items()}
+        self.byte_ids = np.zeros(256, np.int32)
+        self.end_ids = np.zeros(256, np.int32)
+        suffix = model.get("end_of_word_suffix") or ""
+        for char, byte in back.items():
+            self.byte_ids[byte] = vocab[char]
+            self.end_ids[byte] = vocab[char + suffix]
+        left = np.array([vocab[a] for a, _ in pairs], np.uint64)
+        right = np.array([vocab[b] for _, b in pairs], np.uint64)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.keys = np.full(size, -1, np.int64)
+        self.ranks = np.full(size, self.NONE, np.int32)
+        self.merged = np.zeros(size, np.int32)
+        # Open addressing: each round places the pairs whose next slot is free.
+        keys = (left << np.uint64(32) | right).astype(np.int64)
+        slots, todo = self._slot(keys), np.arange(len(pairs))
+        made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        while len(todo):
+            free = self.keys[slots[todo]] == -1
+            _, first = np.unique(slots[todo][free], return_index=True)
+            put = todo[free][first]
+            self.keys[slots[put]], self.ranks[slots[put]], self.merged[slots[put]] = keys[put], put, made[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            taken = todo[self.keys[slots[todo]] != -1]
+            slots[taken] = (slots[taken] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each pair key, or of an empty place where it is no merge."""
+        slots = self._slot(keys)
+        miss = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] != -1))
+        while len(miss):
+            slots[miss] = (slots[miss] + 1) % len(self.keys)
+            at = self.keys[slots[miss]]
+            miss = miss[(at != keys[miss]) & (at != -1)]
+        return slots
+
+    def apply(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens end to end, number of ids of each)."""
+        if not tokens:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw = np.frombuffer("".join(tokens).encode("utf-8"), np.uint8)
+        chars = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        begins_char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ends = begins_char[chars]
+        symbol = self.byte_ids[raw]
+        symbol[ends - 1] = self.end_ids[raw[ends - 1]]
+        word = np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0))
+        done_words, done_symbols = [], []
+        while len(symbol):
+            slots = self.find(symbol[:-1].astype(np.int64) << 32 | symbol[1:])
+            rank = np.append(self.ranks[slots], self.NONE)
+            last = np.append(word[1:] != word[:-1], True)
+            rank[last] = self.NONE
+            starts = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(symbol)))
+            least = np.repeat(least, sizes)
+            over = least == self.NONE
+            if over.any():
+                done_words.append(word[over])
+                done_symbols.append(symbol[over])
+            hit = (rank == least) & ~over
+            # Where the same pair overlaps itself, every other one counts from the left.
+            if (hit[1:] & hit[:-1]).any():
+                place = np.arange(len(hit))
+                run = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, 0))
+                hit &= (place - run) % 2 == 0
+            at = np.flatnonzero(hit)
+            symbol = symbol.copy()
+            symbol[at] = self.merged[slots[at]]
+            keep = ~over
+            keep[at + 1] = False
+            symbol, word = symbol[keep], word[keep]
+        words, ids = np.concatenate(done_words), np.concatenate(done_symbols)
+        ids = ids[np.argsort(words, kind="stable")]
+        return ids, np.bincount(words, minlength=len(tokens))
+
+
+class Vocabulary:
+    """A tokenizer file: the tokenizer itself, its merges and its pre-token pattern."""
+
+    def __init__(self, tokenizer_json: str, pattern: str, lower: bool):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = specials(self.tokenizer)
-        self.find = regex.compile(WORD_PATTERN).findall
-
-    def pre_tokens(self, piece: str) -> list[str] | None:
-        """Lower-case pre-tokens, or None where only the tokenizer itself may decide."""
-        if not plain(piece) or any(s in piece for s in self.special):
-            return None
-        return self.find(piece.lower())
-
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def id_bytes(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+        self.merges = Merges(json.loads(tokenizer_json)["model"])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lower = lower
+        self.split = regex.compile(pattern + r"|\n").findall
+
+    def plain(self, piece: str) -> bool:
+        return _PLAIN.fullmatch(piece) is not None and not any(s in piece for s in self.special)
+
+    def pre_tokens(self, pieces: list[str]) -> list[list[str]]:
+        """Pre-tokens of each of several plain pieces."""
+        joined = "\n".join(pieces) + "\n"
+        out, own = [], []
+        for token in self.split(joined.lower() if self.lower else joined):
+            if token == "\n":
+                out.append(own)
+                own = []
+            else:
+                own.append(token)
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ids_of(self, pieces: list[str], before: str = "") -> list[bytes]:
+        """Ids of each piece, after the text `before`, as little-endian unsigned 32-bit integers.
+
+        Plain pieces hold no line feed, so one put after each marks its end among the ids.
+        """
+        joined = before + ("\n" + before).join(pieces) + "\n"
+        if _PLAIN_LINES.fullmatch(joined) and not any(s in joined for s in self.special):
+            ids, _ = self.merges.apply(self.split(joined.lower() if self.lower else joined))
+            ends = np.flatnonzero(ids == self.merges.end_ids[10])
+            raw = ids.astype("<u4").tobytes()
+            begins = np.append(0, ends[:-1] + 1)
+            return [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+        if len(pieces) == 1:
+            return [self.encode(before + pieces[0]).astype("<u4").tobytes()]
+        plain = [self.plain(p) for p in pieces]
+        found = iter(self.ids_of([p for p, ok in zip(pieces, plain) if ok], before)) if any(plain) else iter(())
+        return [next(found) if ok else self.encode(before + p).astype("<u4").tobytes() for p, ok in zip(pieces, plain)]
+
+
+def word_vocabulary(tokenizer_json: str) -> Vocabulary:
+    return Vocabulary(tokenizer_json, WORD_PATTERN, lower=True)
 
 
 class WordEncoder:
-    """Whole texts to id bytes with the word-end vocabulary."""
+    """Whole texts to id bytes with the word-end vocabulary; white space only separates."""
 
     def __init__(self, tokenizer_json: str):
-        self.words = WordPieces(tokenizer_json)
-        self.tokens = Remembered(lambda t: id_bytes(self.words.encode(t)))
-        self.pieces = Remembered(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.words.pre_tokens(piece)
-        if found is None:
-            return id_bytes(self.words.encode(piece))
-        return b"".join([self.tokens[t] for t in found])
+        self.vocabulary = word_vocabulary(tokenizer_json)
+        self.pieces = Pieces(self.vocabulary.ids_of)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
+    def __call__(self, rows: list[str]) -> list[bytes]:
+        out = []
+        for begin, end in blocks(rows):
+            split = [t.replace("\n", " ").split(" ") for t in rows[begin:end]]
+            known = self.pieces.ready(set().union(*split))
+            out += [b"".join(map(known.__getitem__, s)) for s in split]
+        return out
 
 
 class ByteEncoder:
     """Whole texts to id bytes with the byte-level vocabulary.
 
-    A piece keeps the single space before it. Runs of several spaces join into one
-    pre-token, so a text that has them goes to the tokenizer as a whole, as does one
-    with a special token's string.
+    A piece keeps the one space before it, and a line feed between other characters is a
+    pre-token of its own. Longer runs of white space join, so a text that has white space in
+    a row, other white space within a piece, or a space at its end goes to the tokenizer as a
+    whole.
     """
 
     def __init__(self, tokenizer_json: str):
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = specials(self.tokenizer)
-        self.find = regex.compile(BYTE_PATTERN).findall
-        self.tokens = Remembered(self._whole)
-        self.first = Remembered(self._piece)
-        self.later = Remembered(lambda piece: self._piece(" " + piece))
-
-    def _whole(self, text: str) -> bytes:
-        return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _piece(self, piece: str) -> bytes:
-        if plain(piece.lstrip(" ")):
-            return b"".join([self.tokens[t] for t in self.find(piece)])
-        return self._whole(piece)
-
-    def __call__(self, text: str) -> bytes:
-        if "  " in text or text[-1:] == " " or any(s in text for s in self.special):
-            return self._whole(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        self.vocabulary = Vocabulary(tokenizer_json, BYTE_PATTERN, lower=False)
+        self.heads = Pieces(lambda pieces: self._ids(pieces, ""))
+        self.later = Pieces(lambda pieces: self._ids(pieces, " "))
+        self.feed = self.vocabulary.encode("\n").astype("<u4").tobytes()
+        self.space = regex.compile(r"\s").search
+
+    def _ids(self, pieces: list[str], before: str) -> list[bytes | None]:
+        """Ids of each piece; None for one with white space in it."""
+        if not self.space("".join(pieces)):
+            return self.vocabulary.ids_of(pieces, before)
+        fit = [p for p in pieces if not self.space(p)]
+        found = dict(zip(fit, self.vocabulary.ids_of(fit, before))) if fit else {}
+        return [found.get(p) for p in pieces]
+
+    def __call__(self, rows: list[str]) -> list[bytes]:
+        out = []
+        for begin, end in blocks(rows):
+            split = [None if _apart(t) else [line.split(" ") for line in t.split("\n")] for t in rows[begin:end]]
+            lines = [line for text in split if text is not None for line in text]
+            heads = self.heads.ready({line[0] for line in lines})
+            later = self.later.ready(set().union(*(line[1:] for line in lines)))
+            for text, parts in zip(rows[begin:end], split):
+                try:
+                    ids = parts and self.feed.join([b"".join([heads[p[0]], *map(later.__getitem__, p[1:])]) for p in parts])
+                except TypeError:  # a piece without a value
+                    ids = None
+                out.append(self.vocabulary.encode(text).astype("<u4").tobytes() if ids is None else ids)
+        return out
+
+
+def _apart(text: str) -> bool:
+    """Whether spaces or line feeds stand in a row, or a space at the end."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] == " "

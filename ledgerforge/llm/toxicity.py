@@ -13,6 +13,7 @@ text and nothing else.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, with_text_column
 from .language_id import fold_of, sampled
 from .tokenizing import Remembered, of_worker
 
@@ -192,6 +193,10 @@ class Scorer:
         return self.model.score(hit)
 
 
+def _name(model: Classifier) -> str:
+    return hashlib.sha256(repr((sorted(model.index), model.bias)).encode() + model.weights.tobytes()).hexdigest()
+
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -202,7 +207,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     Repeated rows repeat. The model has at most `MOST_FEATURES` weights and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = hash((tuple(sorted(model.index)), model.weights.tobytes(), model.bias))
+    name = _name(model)
     rows = texts(docs).withColumn("held_out", fold_of("doc_id") == 0)
 
     def run(batches):
@@ -220,3 +225,15 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -> DataFrame:
     """Learn from `labels` (doc_id, toxic) and score every row of `docs`."""
     return score(docs, learn(docs, labels, each))
+
+
+def keep_below(docs: DataFrame, model: Classifier, limit: float) -> DataFrame:
+    """The rows of `docs` with a score below `limit`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = _name(model)
+
+    def scores(rows):
+        scorer = of_worker(("toxicity", name), lambda: Scorer(shared.value))
+        return [scorer(text) for text in rows]
+
+    return with_text_column(docs, scores, pa.float64(), "_toxic_score").filter(F.col("_toxic_score") < limit).drop("_toxic_score")
