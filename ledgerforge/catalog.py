@@ -1,4 +1,11 @@
 """All registered finance queries and their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from .plans import figures, judgement, records
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for part in (figures, judgement, records):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
