@@ -152,7 +152,8 @@ def fit(rows: list[tuple[str, str]], counts: dict[str, int]) -> Model:
                 seen[o, :, k] += np.bincount(bucket, minlength=size + 1)[:size]
     seen += 0.1
     table = np.log(seen / seen.sum(axis=1, keepdims=True))
-    table -= table.mean(axis=2, keepdims=True)
+    if languages:
+        table -= table.mean(axis=2, keepdims=True)
     allowed = script_letters >= np.maximum(1, SCRIPT_SHARE * script_letters.sum(axis=0, keepdims=True))
     common = max(range(len(languages)), key=lambda k: (counts[languages[k]], languages[k])) if languages else 0
     # One more bucket, of zeros, for what is no n-gram of a word.
