@@ -34,6 +34,8 @@ WORDS = 5
 SIMILAR, OF = 75, 100
 #: Buckets of the frequency sketch: 2**17 counts, 1 MB on the driver and in a broadcast.
 SKETCH_BITS = 17
+#: Bytes of text cut into words together; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 21
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -50,12 +52,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted different shingle hashes of each text of an Arrow string column."""
+    """Sorted different shingle hashes of each text of an Arrow string column, some megabytes at a time."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-    base = int(offsets[0])
-    data, offsets = data[base:], offsets - base
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    out, begin = [], 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_BYTES, side="right")) - 1)
+        part = offsets[begin : end + 1]
+        out += _sets(data[part[0] : part[-1]], part - part[0])
+        begin = end
+    return out
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     letter = ~_SPACE[data]
     before = np.concatenate([[False], letter[:-1]]) if len(letter) else letter
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -149,7 +159,7 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     found = stored(texts(docs).mapInArrow(scan, "doc_id long, n long, sid long, bucket int, hits long"))
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     summed = found.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()
-    sketch[summed["bucket"].to_numpy()] = summed["hits"].to_numpy()
+    sketch[summed["bucket"].to_numpy(np.int64)] = summed["hits"].to_numpy(np.int64)
     return found.filter("bucket IS NULL").select("doc_id", "n", "sid"), sketch
 
 
