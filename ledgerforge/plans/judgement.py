@@ -18,15 +18,19 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The small tables that everything here is made from, over one set of rows."""
+    """The small tables that everything here is made from, over one set of rows.
+
+    They are aggregates, and many detectors and rules read each of them, so they are kept
+    (memory and disk) instead of being made anew from the rows for every reader.
+    """
 
     def __init__(self, spark, sf: str, rows: str = "quarter"):
         self.tx = shape(spark, sf, rows)
-        self.figures = A.kpis(self.tx, shape(spark, sf, "accounts"))
-        self.daily, self.weekly, self.monthly = (A.trend(self.tx, g) for g in PERIODS)
-        self.categories, self.modes = A.category_summary(self.tx), A.payment_mode_summary(self.tx)
-        self.cat_months = H.category_months(self.tx)
-        self.metrics = H.health_metrics(self.figures, self.daily, self.monthly, self.categories, self.cat_months)
+        self.figures = A.kpis(self.tx, shape(spark, sf, "accounts")).persist()
+        self.daily, self.weekly, self.monthly = (A.trend(self.tx, g).persist() for g in PERIODS)
+        self.categories, self.modes = A.category_summary(self.tx).persist(), A.payment_mode_summary(self.tx).persist()
+        self.cat_months = H.category_months(self.tx).persist()
+        self.metrics = H.health_metrics(self.figures, self.daily, self.monthly, self.categories, self.cat_months).persist()
 
     def anomalies(self) -> DataFrame:
         return N.detect(self.tx, self.daily, self.monthly, self.cat_months, self.modes, self.metrics)
