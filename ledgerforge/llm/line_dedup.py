@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, texts
+from .common import maybe_broadcast, shuffle_partitions, stored, texts
 from .components import components
 
 EDITS = 2
@@ -90,28 +90,24 @@ def common_prefix(x: Column, y: Column, most: Column) -> Column:
     )
 
 
-def banded_distance(x: Column, y: Column, edits: int = EDITS) -> Column:
-    """Edit distance of x and y, y not shorter and by at most `edits`; anything above `edits` is just larger.
+def _band(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters, y not shorter and by at most `edits`; above `edits` just larger.
 
     The rows of a column within `edits` of the diagonal are the bits of one long; vertical
     differences are kept as two of them, and one addition carries matches down the column.
     """
     width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    n, m = F.char_length(x), F.char_length(y)
-    gap = m - n
+    n, gap = F.size(x), F.size(y) - F.size(x)
+    long = lambda v: F.lit(v).cast("long")
+    mask = long(full)
 
     def column(state: Column, j: Column) -> Column:
-        here = F.substring(x, j, F.lit(1))
-        # The characters of y beside this column; blanks stand for those before its start.
-        window = F.substring(F.concat(F.lit("\0" * edits), y), j, F.lit(width))
-        hits = [
-            F.when((F.substring(window, b + 1, 1) == here) & (j - edits + b >= 1), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-            for b in range(width)
-        ]
+        here = F.get(x, j - 1)
+        # The characters of y beside this column; places before its start give NULL, no match.
+        hits = [F.when(F.get(y, j - 1 - edits + b) == here, long(1 << b)).otherwise(long(0)) for b in range(width)]
         match = reduce(lambda p, q: p.bitwiseOR(q), hits)
-        up = F.shiftright(state["up"], 1).bitwiseOR(F.lit(1 << (width - 1)).cast("long"))
+        up = F.shiftright(state["up"], 1).bitwiseOR(long(1 << (width - 1)))
         down = F.shiftright(state["down"], 1)
-        mask = F.lit(full).cast("long")
 
         def advance(match: Column) -> Column:
             flat = (match.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(match).bitwiseOR(down).bitwiseAND(mask)
@@ -120,33 +116,48 @@ def banded_distance(x: Column, y: Column, edits: int = EDITS) -> Column:
         def settle(flat: Column) -> Column:
             right = down.bitwiseOR(F.bitwise_not(flat.bitwiseOR(up)).bitwiseAND(mask))
             left = F.shiftleft(flat.bitwiseAND(up), 1)
+            stays = F.shiftright(flat, edits).bitwiseAND(F.call_function("shiftleft", long(1), gap)).cast("boolean").cast("int")
             return _let(
                 F.shiftleft(right, 1),
                 lambda raised: F.struct(
                     left.bitwiseOR(F.bitwise_not(flat.bitwiseOR(raised))).bitwiseAND(mask).alias("up"),
                     raised.bitwiseAND(flat).alias("down"),
-                    (state["score"] + 1 - F.shiftright(flat, edits).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), gap)).cast("boolean").cast("int")).alias("score"),
+                    (state["score"] + 1 - stays).alias("score"),
                 ),
             )
 
         return F.when(state["score"] > edits, state).otherwise(_let(match, advance))
 
-    begin = F.struct(
-        F.lit(full & ~((1 << (edits + 1)) - 1)).cast("long").alias("up"),
-        F.lit((1 << (edits + 1)) - 1).cast("long").alias("down"),
-        gap.alias("score"),
-    )
+    begin = F.struct(long(full & ~((1 << (edits + 1)) - 1)).alias("up"), long((1 << (edits + 1)) - 1).alias("down"), gap.alias("score"))
     return F.when(n == 0, gap).otherwise(F.aggregate(F.sequence(F.lit(1), n), begin, column, lambda s: s["score"]))
 
 
+def line_distance(x: Column, y: Column, edits: int = EDITS) -> Column:
+    """Edit distance of two lines, y not shorter and by at most `edits`; anything above `edits` is just larger.
+
+    Common ends are cut off first. Every part is bound once, so that no step is computed anew
+    where its result is used.
+    """
+    n = F.char_length(x)
+
+    def characters(line: Column, front: Column, back: Column) -> Column:
+        inner = F.substring(line, front + 1, F.char_length(line) - front - back)
+        return F.regexp_extract_all(inner, F.lit("(?s)."), F.lit(0))
+
+    def cut(front: Column) -> Column:
+        back = common_prefix(F.reverse(x), F.reverse(y), n - front)
+        return _let(back, lambda back: _let(F.struct(characters(x, front, back).alias("x"), characters(y, front, back).alias("y")), lambda p: _band(p["x"], p["y"], edits)))
+
+    return _let(common_prefix(x, y, n), cut)
+
+
 def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The rows of `pairs` (x, y: lines, y not shorter) within `edits` edits."""
-    shorter = F.char_length("x")
-    ends = pairs.withColumn("front", common_prefix(F.col("x"), F.col("y"), shorter))
-    ends = ends.withColumn("back", common_prefix(F.reverse("x"), F.reverse("y"), shorter - F.col("front")))
-    inner = lambda c: F.substring(F.col(c), F.col("front") + 1, F.char_length(c) - F.col("front") - F.col("back"))
-    cut = ends.withColumn("x_in", inner("x")).withColumn("y_in", inner("y"))
-    return cut.filter(banded_distance(F.col("x_in"), F.col("y_in"), edits) <= edits).drop("front", "back", "x_in", "y_in")
+    """The rows of `pairs` (a, b, x, y: lines, y not shorter) within `edits` edits.
+
+    Pairs are few bytes but much work each, so they are dealt evenly over the tasks.
+    """
+    dealt = pairs.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")
+    return dealt.filter(line_distance(F.col("x"), F.col("y"), edits) <= edits)
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
