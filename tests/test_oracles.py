@@ -1,6 +1,7 @@
 """Registered finance queries against their DuckDB text on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerforge import catalog
@@ -19,7 +20,7 @@ def duck(sf):
 
 def values(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
