@@ -1,5 +1,7 @@
 """Registered finance queries against their DuckDB text on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -22,7 +24,7 @@ def values(frame):
     def plain(v):
         if pd.isna(v):
             return None
-        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted((tuple(plain(v) for v in row) for row in frame.itertuples(index=False)), key=repr)
