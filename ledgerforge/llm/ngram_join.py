@@ -1,20 +1,25 @@
 """Operator 3: n-gram Jaccard join with prefix, length, positional and suffix filters.
 
 Every text becomes the set of its 5-word shingles (64-bit hashes). One order over all
-shingles puts rare ones first: by the count of the shingle's bucket in a frequency sketch of
-the whole corpus, then by hash. Two sets with Jaccard similarity t share one of the first
-n - ceil(t n) + 1 shingles of each, so sets meet only on those prefixes:
+shingles puts rare ones first: by the level of the shingle's bucket in a frequency sketch of
+the whole corpus, then by hash. Two sets with Jaccard similarity t share at least `SHARED` of
+the first n - ceil(t n) + SHARED shingles of each (all of them where sets are smaller than
+that), so sets meet only on those prefixes:
 
 1. equal sets collapse to one id;
-2. for each prefix shingle two pivots are the sets least and greatest after mixing with it;
-   every set is compared with the pivots it meets. This takes a number of pairs linear in the
-   prefixes and joins large groups of near copies into components;
+2. in each of a few rounds, every prefix shingle that still meets different components names
+   two pivots: the sets least and greatest after mixing with it. A set is compared with the
+   few pivots that most of its shingles name. This takes a number of pairs linear in the sets
+   and joins large groups of near copies into components;
 3. prefix shingles that still meet different components are joined with themselves, across
-   components only, under the length, positional and index-prefix filters;
-4. each remaining pair passes the suffix filter and is verified once on the whole sets.
-
-No link between different components is lost: a linked pair shares a prefix shingle, and is
-either in one component after step 2 or compared in step 3.
+   components only, under the length, positional and index-prefix filters; pairs that share
+   enough of them stay. A set that meets a large component is compared with its members
+   until one is similar, which needs no row for each pair;
+4. each pair passes the suffix filter and is verified once on the whole sets.
+
+No link between different components is lost: a linked pair shares its prefix shingles, and is
+either in one component after step 2 or compared in step 3. Rounds and pivots only decide how
+much step 3 is spared.
 """
 
 from __future__ import annotations
@@ -23,17 +28,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored, texts
+from .common import maybe_broadcast, shuffle_partitions, stored, texts
 from .components import components
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact in integers.
 SIMILAR, OF = 75, 100
-#: Buckets of the frequency sketch: 2**17 counts, 1 MB on the driver and in a broadcast.
-SKETCH_BITS = 17
+#: Buckets of the frequency sketch; their levels, a byte each, are 2 MB on the driver and in a broadcast.
+SKETCH_BITS = 21
+#: Buckets that are summed and sent together.
+CHUNK = 1 << 15
+#: Prefix shingles that similar sets must share.
+SHARED = 4
+#: Sets of one side of a cell in which sets are verified, about.
+CELL_SETS = 300
+#: Components with so many sets are met as a whole by sets outside of them.
+LARGE = 50
+#: Rounds of pivots, and pivots a set is compared with in one.
+ROUNDS, PIVOTS = 3, 4
 #: Bytes of text cut into words together; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -101,10 +117,16 @@ def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def rare_first(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The set in the global order: by sketch count, then by hash."""
-    counts = sketch[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return hashes[np.lexsort((hashes, counts))]
+def rare_first(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the global order: by sketch level, then by hash."""
+    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return hashes[np.lexsort((hashes, level))]
+
+
+def prefix_size(n: int) -> int:
+    """Shingles of a set of n that any similar set shares at least `SHARED` of."""
+    least = -(-SIMILAR * n // OF)
+    return n - least + min(SHARED, least)
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -133,39 +155,51 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and the frequency sketch of all shingles.
+    """(doc_id, n, sid) of every row, and the levels of the frequency sketch of all shingles.
 
-    One pass over the texts. Each task adds up its own sketch and emits it once, so what is
-    shuffled is one count for each bucket and task.
+    One pass over the texts. Each task adds up its own sketch and emits it once, compressed, in
+    chunks that are summed where they meet; the driver gets one byte a bucket.
     """
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bucket", pa.int32()), ("hits", pa.int64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("chunk", pa.int32()), ("hits", pa.binary())])
 
     def scan(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
             rows = len(sets)
-            for part in sets:
-                np.add.at(sketch, (part >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            if rows:
+                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             sids = [set_id(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 schema=kinds,
             )
-        used = np.flatnonzero(sketch)
-        blank = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(used, pa.int32()), pa.array(sketch[used], pa.int64())], schema=kinds)
+        pack = zstandard.ZstdCompressor(level=1)
+        parts = sketch.reshape(-1, CHUNK)
+        blank = pa.nulls(len(parts), pa.int64())
+        hits = [pack.compress(part.tobytes()) for part in parts]
+        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(len(parts)), pa.int32()), pa.array(hits, pa.binary())], schema=kinds)
+
+    def add(batches):
+        unpack, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for chunk, hits in zip(batch.column("chunk").to_pylist(), batch.column("hits").to_pylist()):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(unpack.decompress(hits), np.int64)
+        for chunk, hits in sums.items():
+            level = (2 * np.log2(np.maximum(hits, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
 
-    found = stored(texts(docs).mapInArrow(scan, "doc_id long, n long, sid long, bucket int, hits long"))
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    summed = found.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()
-    sketch[summed["bucket"].to_numpy(np.int64)] = summed["hits"].to_numpy(np.int64)
-    return found.filter("bucket IS NULL").select("doc_id", "n", "sid"), sketch
+    found = stored(texts(docs).mapInArrow(scan, "doc_id long, n long, sid long, chunk int, hits binary"))
+    chunks = found.filter("chunk IS NOT NULL").select("chunk", "hits")
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in chunks.repartition(shuffle_partitions(docs.sparkSession), "chunk").mapInArrow(add, "chunk int, levels binary").collect():
+        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
+    return found.filter("chunk IS NULL").select("doc_id", "n", "sid"), levels
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(token, sid, n, pos) for the prefix of every set, each set once in a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["token", "sid", "n", "pos"]
 
     def cut(batches):
@@ -177,7 +211,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if not n or (key := set_id(hashes)) in seen:
                     continue
                 seen.add(key)
-                keep = n - -(-SIMILAR * n // OF) + 1
+                keep = prefix_size(n)
                 token.append(rare_first(hashes, shared.value)[:keep])
                 sid.append(np.full(keep, key, np.int64))
                 size.append(np.full(keep, n, np.int32))
@@ -189,72 +223,117 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return texts(docs).mapInArrow(cut, "token long, sid long, n int, pos int")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The similar ones among the different (a, b) pairs of set ids.
+def _hashes(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, hashes) of the wanted set ids, a stored table.
 
-    Only the texts of sets in some pair are read again, one document for each set; they are
-    picked by a broadcast where a count shows that they are few, by a shuffle otherwise.
+    Only their texts are read again, one document for each set; they are picked by a
+    broadcast where a count shows that they are few, by a shuffle otherwise.
     """
-    pairs = stored(pairs)
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     chosen = stored(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     picked = texts(docs).join(maybe_broadcast(chosen, chosen.count()), "doc_id").select("sid", "text")
 
+    # Rows may share an identifier but not a text; a set is known by its own id.
     def pack(batches):
         for batch in batches:
-            packed = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(packed, pa.binary())], names=["sid", "hashes"])
-
-    # Rows that share an identifier but not a text are told apart by their own set id.
-    def check(batches):
-        for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            hit = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
-            table = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
-            yield table.filter(pa.array(hit, pa.bool_()))
+            own = [(sid, s) for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"))) if set_id(s) == sid]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sid", "hashes"])
+
+    return picked.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"])
+
+
+def _check_cell(rows):
+    """Links among the sets of one cell: of the pairs listed, else one for each left set with some right set."""
+    import pandas as pd
+
+    held = {s: np.frombuffer(h, np.uint64) for side, s, h in zip(rows["side"], rows["sid"], rows["hashes"]) if side < 2}
+    listed = rows[rows["side"] == 2]
+    found = []
+    if len(listed):
+        found = [(a, b) for a, b in zip(listed["sid"], listed["other"]) if a in held and b in held and similar(held[a], held[b])]
+    else:
+        right = sorted({s for side, s in zip(rows["side"], rows["sid"]) if side == 1})
+        every = np.concatenate([held[t] for t in right]) if right else np.zeros(0, np.uint64)
+        sizes = np.array([len(held[t]) for t in right], np.int64)
+        owner = np.repeat(np.arange(len(right)), sizes)
+        for s in {s for side, s in zip(rows["side"], rows["sid"]) if side == 0}:
+            # Intersections of the set with all right sets at once.
+            own = held[s]
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            common = np.bincount(owner[own[at] == every], minlength=len(right))
+            hit = np.flatnonzero(common * (SIMILAR + OF) >= SIMILAR * (len(own) + sizes))
+            if len(hit):
+                found.append((min(s, right[hit[0]]), max(s, right[hit[0]])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    full = picked.mapInArrow(pack, "sid long, hashes binary")
-    one = full.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-    two = full.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
+def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones among the different (a, b) pairs of set ids, a stored table.
 
-def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
-    return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).filter("a <> b").distinct()
-
-
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
-
-    Null and empty texts, and texts of white space only, have no shingles and are linked with
-    nothing; equal texts are always linked. Ties cannot occur, repeated rows repeat, an empty
-    table gives no rows, and columns besides doc_id and text are ignored. A row without
-    doc_id takes part, but cannot name a component.
+    Sets are dealt to buckets and pairs to cells of two buckets, so that a set is sent once
+    to a cell however many of its pairs are there. A bucket has some hundred sets.
+    """
+    wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    buckets = F.lit(max(1, -(-wanted.count() // CELL_SETS)))
+    bucket = lambda c: F.pmod(F.xxhash64(c), buckets)
+    cells = pairs.withColumn("cell", (bucket("a") * buckets + bucket("b")).cast("long"))
+    need = cells.select("cell", F.col("a").alias("sid")).union(cells.select("cell", "b")).distinct()
+    sent = need.join(_hashes(wanted, docs, sets), "sid").select("cell", F.lit(0).alias("side"), "sid", F.col("sid").alias("other"), "hashes")
+    asked = cells.select("cell", F.lit(2).alias("side"), F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("hashes"))
+    return sent.union(asked).groupBy("cell").applyInPandas(_check_cell, "a long, b long")
+
+
+def _verify_with_large(left: DataFrame, large: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets with large components (c, size) that share a prefix shingle with them.
+
+    One link with a component is enough, so its members are not paired as rows: they are cut
+    into parts of some hundred, as are the sets that meet the component, and each part meets
+    each part in a cell of its own.
     """
-    sets, sketch = document_sets(docs)
-    prefixes = stored(_prefixes(docs, sketch))
-    mixed = F.col("sid").bitwiseXOR(F.col("token"))
-    meets = prefixes.groupBy("token").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).filter("lo <> hi")
-    shared = stored(prefixes.join(meets, "token").dropDuplicates(["token", "sid"]))
-    pivots = shared.select("sid", F.explode(F.array(F.col("lo").bitwiseXOR(F.col("token")), F.col("hi").bitwiseXOR(F.col("token")))).alias("pivot"))
-    sizes = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"))
-    tried = _pairs(pivots, "sid", "pivot")
-    n_a, n_b = sizes.select(F.col("sid").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    close = F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * SIMILAR
-    tried = stored(tried.join(n_a, "a").join(n_b, "b").filter(close).select("a", "b"))
-    links = stored(_verify(tried, docs, sets))
-    grouped = stored(components(links))
-
-    placed = shared.join(grouped.withColumnRenamed("node", "sid"), "sid", "left")
-    placed = placed.select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("c"))
-    split = placed.groupBy("token").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).filter("c_lo <> c_hi").select("token")
-    left = stored(placed.join(split, "token", "left_semi"))
+    named = left.join(large.select("c"), "c").select("token", F.col("c").alias("large")).distinct()
+    meets = left.join(named, "token").filter("c <> large").select("sid", "large").distinct()
+    meets = stored(meets)
+    counts = meets.groupBy("large").agg(F.count("*").alias("met"))
+    parts = large.select(F.col("c").alias("large"), F.ceil(F.col("size") / CELL_SETS).alias("k")).join(counts, "large").withColumn("j", F.ceil(F.col("met") / CELL_SETS))
+    part = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n))
+    cell = F.xxhash64("large", "x", "y")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = meets.join(parts, "large").withColumn("x", part("sid", "j")).withColumn("y", spread("k")).select(cell.alias("cell"), F.lit(0).alias("side"), "sid")
+    members = left.select("sid", F.col("c").alias("large")).distinct().join(parts, "large")
+    two = members.withColumn("y", part("sid", "k")).withColumn("x", spread("j")).select(cell.alias("cell"), F.lit(1).alias("side"), "sid")
+    dealt = stored(one.union(two))
+    wanted = dealt.select("sid").distinct()
+    sent = dealt.join(_hashes(wanted, docs, sets), "sid").select("cell", "side", "sid", F.col("sid").alias("other"), "hashes")
+    return sent.groupBy("cell").applyInPandas(_check_cell, "a long, b long")
+
+
+def _pivot_pairs(placed: DataFrame, number: int) -> DataFrame:
+    """(a, b) pairs of sets with pivots of other components, from rows (token, sid, n, c).
+
+    The mixing can be undone, so a minimum alone tells the pivot. Of the pivots that a set's
+    shingles name, those named most often are tried; the window is over one set's pivots.
+    """
+    salt = F.xxhash64(F.lit(number), "token")
+    mixed = F.col("sid").bitwiseXOR(salt)
+    meets = placed.groupBy("token").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi"))
+    named = placed.join(meets, "token").select("sid", "n", "c", F.explode(F.array(F.col("lo").bitwiseXOR(salt), F.col("hi").bitwiseXOR(salt))).alias("pivot"))
+    named = named.filter("sid <> pivot").groupBy("sid", "n", "c", "pivot").agg(F.count("*").alias("times"))
+    own = placed.groupBy("sid").agg(F.first("n").alias("p_n"), F.first("c").alias("p_c")).withColumnRenamed("sid", "pivot")
+    close = F.least("n", "p_n") * OF >= F.greatest("n", "p_n") * SIMILAR
+    other = named.join(own, "pivot").filter(close & (F.col("c") != F.col("p_c")))
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.col("times").desc(), "pivot"))
+    best = other.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS)
+    return best.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """(a, b) pairs of sets of different components that share enough prefix shingles to be similar."""
     x, y = left.alias("x"), left.alias("y")
     small, large = F.col("x.n"), F.col("y.n")
     overlap = F.ceil((small + large) * SIMILAR / F.lit(SIMILAR + OF))
-    # x is the smaller set (ties by id): its first shared shingle lies in the shorter index prefix.
-    index_prefix = small - F.ceil(small * (2 * SIMILAR) / F.lit(SIMILAR + OF)) + 1
-    across = x.join(
+    shared = F.least(F.lit(SHARED), F.ceil(small * SIMILAR / F.lit(OF)))
+    # x is the smaller set (ties by id): what it shares lies in its shorter index prefix.
+    index_prefix = small - F.ceil(small * (2 * SIMILAR) / F.lit(SIMILAR + OF)) + shared
+    met = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.c") != F.col("y.c"))
@@ -263,12 +342,44 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         & (F.col("x.pos") < index_prefix)
         & (F.least("x.pos", "y.pos") + 1 + F.least(small - F.col("x.pos") - 1, large - F.col("y.pos") - 1) >= overlap),
     )
-    rest = _pairs(across, "x.sid", "y.sid").join(tried, ["a", "b"], "left_anti")
-    late = stored(_verify(rest, docs, sets))
-    # Old components as stars and the late links between them give the final components.
-    final = components(links.union(late)) if late.limit(1).count() else grouped
+    counts = met.groupBy(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), shared.alias("least")).agg(F.count("*").alias("times"))
+    return counts.filter("times >= least").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row.
 
-    members = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left")
+    Null and empty texts, and texts of white space only, have no shingles and are linked with
+    nothing; equal texts are always linked. Ties cannot occur, repeated rows repeat, an empty
+    table gives no rows, and columns besides doc_id and text are ignored. A row without
+    doc_id takes part, but cannot name a component.
+    """
+    sets, levels = document_sets(docs)
+    prefixes = stored(_prefixes(docs, levels))
+    meets = prefixes.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
+    left = stored(prefixes.join(meets, "token", "left_semi").dropDuplicates(["token", "sid"]).withColumn("c", F.col("sid")))
+    links = tried = final = None
+    for number in range(ROUNDS):
+        pairs = _pivot_pairs(left, number)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        new = stored(_verify(pairs, docs, sets))
+        if not new.limit(1).count():
+            break
+        links = new if links is None else links.union(new)
+        final = stored(components(links))
+        placed = left.drop("c").join(final.withColumnRenamed("node", "sid"), "sid", "left")
+        placed = placed.select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("c"))
+        split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+        left = stored(placed.join(split, "token", "left_semi"))
+    sized = left.select("sid", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    large = stored(sized.filter(F.col("size") >= LARGE))
+    rest = stored(_across(left.join(large, "c", "left_anti")).join(tried, ["a", "b"], "left_anti"))
+    late = stored(_verify(rest, docs, sets).union(_verify_with_large(left, large, docs, sets)))
+    if late.limit(1).count():
+        final = stored(components(late if links is None else links.union(late)))
+
+    members = sets.withColumn("component", F.lit(None).cast("long")) if final is None else sets.join(final.withColumnRenamed("node", "sid"), "sid", "left")
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid").alias("c"))
     named = members.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return members.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
