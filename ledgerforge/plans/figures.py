@@ -90,13 +90,14 @@ register(
     f"""SELECT *, CAST(list_position(['Cash', 'UPI', 'Card', 'Bank', 'Other'], payment_mode) AS INTEGER) AS mode_order FROM ({breakdown_sql("payment_mode", MODE, "ledger")})""",
     "ledger",
 )
-register(
-    "account_summary",
-    lambda spark, sf: A.account_summary(A.kpis(shape(spark, sf, "quarter"), shape(spark, sf, "accounts"))),
-    f"""SELECT business_id, account_id, opening_balance_minor, closing_balance_minor, total_income_minor, total_expense_minor, net_cash_flow_minor, transaction_count
-        FROM ({FIGURES_SQL.format(rows="quarter")}) WHERE transaction_count > 0""",
-    "quarter", "accounts",
-)
+for name, rows in (("account_summary", "quarter"), ("account_summary_all", "ledger")):
+    register(
+        name,
+        lambda spark, sf, rows=rows: A.account_summary(A.kpis(shape(spark, sf, rows), shape(spark, sf, "accounts"))),
+        f"""SELECT business_id, account_id, opening_balance_minor, closing_balance_minor, total_income_minor, total_expense_minor, net_cash_flow_minor, transaction_count
+        FROM ({FIGURES_SQL.format(rows=rows)}) WHERE transaction_count > 0""",
+        rows, "accounts",
+    )
 register("transaction_rows", lambda spark, sf: A.transaction_rows(shape(spark, sf, "ledger")), "SELECT business_id, account_id, CAST(transaction_date AS VARCHAR) AS transaction_date, amount_minor, direction, category, payment_mode FROM ledger", "ledger")
 register(
     "ledger_summary",

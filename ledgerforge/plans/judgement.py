@@ -1,4 +1,7 @@
-"""Queries over health, anomalies, recommendations and reports, in the quarter that exercises them."""
+"""Queries over health, anomalies, recommendations and reports.
+
+Each is registered over the quarter that exercises it and, as `_all`, over the whole ledger.
+"""
 
 from __future__ import annotations
 
@@ -134,10 +137,17 @@ def final_sql(rows: str) -> str:
     return FINAL_SQL.replace("{hits}", hits_sql(rows))
 
 
-def register(name: str, build, sql: str | None = None, rows: str = "quarter") -> None:
-    QUERIES[name] = build
+#: The whole ledger that belongs to a part of it.
+WHOLE = {"quarter": "ledger", "coarse": "coarse_all"}
+
+
+def register(name: str, build, sql=None, rows: str = "quarter") -> None:
+    """`build(spark, sf, rows)` and `sql(rows)` under `name`; over a part, under `name`_all over its whole too."""
+    QUERIES[name] = lambda spark, sf: build(spark, sf, rows)
     if sql is not None:
-        ORACLE_SQL[name] = duck(sql, rows, "accounts")
+        ORACLE_SQL[name] = duck(sql(rows), rows, "accounts")
+    if rows in WHOLE:
+        register(f"{name}_all", build, sql, WHOLE[rows])
 
 
 METRICS = ("cash_flow_stability", "income_trend", "expense_trend", "expense_to_income_ratio", "income_ratio", "savings_rate", "recurring_expense_burden",
@@ -151,24 +161,23 @@ def _shown(found: DataFrame) -> DataFrame:
 
 register(
     "health_metrics",
-    lambda spark, sf: double(Tables(spark, sf).metrics, *METRICS, "income_growth", "expense_growth"),
-    f"""WITH {parts_sql("quarter")} SELECT *, overall_financial_health_score AS health_score, income_trend AS income_growth, expense_trend AS expense_growth,
+    lambda spark, sf, rows: double(Tables(spark, sf, rows).metrics, *METRICS, "income_growth", "expense_growth"),
+    lambda rows: f"""WITH {parts_sql(rows)} SELECT *, overall_financial_health_score AS health_score, income_trend AS income_growth, expense_trend AS expense_growth,
         CASE health_level WHEN 'Moderate' THEN 'Stable' WHEN 'Poor' THEN 'Warning' ELSE health_level END AS health_rating FROM metrics""",
 )
 register(
     "last_two_months",
-    lambda spark, sf: H.last_two_months(Tables(spark, sf).monthly),
-    f"WITH {parts_sql('quarter')} SELECT business_id, account_id, period, income_minor, expense_minor, p_in AS previous_income_minor, p_out AS previous_expense_minor FROM two",
+    lambda spark, sf, rows: H.last_two_months(Tables(spark, sf, rows).monthly),
+    lambda rows: f"WITH {parts_sql(rows)} SELECT business_id, account_id, period, income_minor, expense_minor, p_in AS previous_income_minor, p_out AS previous_expense_minor FROM two",
 )
 
 
 def _detector(name: str, pick, kinds: tuple[str, ...], rows: str = "quarter") -> None:
     wanted = ", ".join(f"'{k}'" for k in kinds)
-    register(name, lambda spark, sf: _shown(pick(Tables(spark, sf, rows))), f"WITH {parts_sql(rows)} SELECT * FROM ({hits_sql(rows)}) WHERE type IN ({wanted})", rows)
+    register(name, lambda spark, sf, rows: _shown(pick(Tables(spark, sf, rows))), lambda rows: f"WITH {parts_sql(rows)} SELECT * FROM ({hits_sql(rows)}) WHERE type IN ({wanted})", rows)
 
 
 _detector("anomaly_large_transactions", lambda t: N.large_transactions(t.tx), ("unusually_large_income", "unusually_large_expense"))
-_detector("anomaly_large_transactions_all", lambda t: N.large_transactions(t.tx), ("unusually_large_income", "unusually_large_expense"), "ledger")
 _detector("anomaly_repeated_identical", lambda t: N.repeated_identical(t.tx), ("repeated_identical_transactions",), "coarse_all")
 _detector("anomaly_month_changes", lambda t: N.month_changes(t.monthly), ("sudden_expense_spike", "expense_explosion", "sudden_income_drop", "income_interruption"))
 _detector("anomaly_metric_alarms", lambda t: N.metric_alarms(t.metrics), ("high_expense_ratio", "cash_flow_instability", "very_high_recurring_expenses"))
@@ -176,8 +185,8 @@ _detector("anomaly_inactive_periods", lambda t: N.inactive_periods(t.daily), ("i
 _detector("anomaly_negative_days", lambda t: N.negative_days(t.daily), ("negative_cash_flow_period",))
 _detector("anomaly_category_spikes", lambda t: N.category_spikes(t.cat_months), ("category_spike", "recurring_expense_growth"))
 _detector("anomaly_unexpected_modes", lambda t: N.unexpected_modes(t.modes), ("unexpected_payment_mode",))
-register("anomalies", lambda spark, sf: _shown(Tables(spark, sf).anomalies()), f"WITH {parts_sql('quarter')}, {final_sql('quarter')} SELECT * FROM found")
-register("anomalies_coarse", lambda spark, sf: _shown(Tables(spark, sf, "coarse").anomalies()), f"WITH {parts_sql('coarse')}, {final_sql('coarse')} SELECT * FROM found", "coarse")
+register("anomalies", lambda spark, sf, rows: _shown(Tables(spark, sf, rows).anomalies()), lambda rows: f"WITH {parts_sql(rows)}, {final_sql(rows)} SELECT * FROM found")
+register("anomalies_coarse", lambda spark, sf, rows: _shown(Tables(spark, sf, rows).anomalies()), lambda rows: f"WITH {parts_sql(rows)}, {final_sql(rows)} SELECT * FROM found", "coarse")
 
 RANK = "CASE {} WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
 RULES_SQL = """
@@ -204,39 +213,39 @@ ADVICE_SQL = f"""
     every AS (SELECT business_id, account_id, category, title, priority, priority AS severity, confidence FROM metric_advice UNION ALL SELECT * FROM anomaly_advice)"""
 register(
     "metric_rules",
-    lambda spark, sf: B.metric_rules(Tables(spark, sf, "coarse").metrics, Tables(spark, sf, "coarse").modes).select("business_id", "account_id", "category", "title", "priority", "confidence"),
-    f"WITH {parts_sql('coarse')}, {RULES_SQL} SELECT business_id, account_id, category, title, priority, confidence FROM metric_advice",
+    lambda spark, sf, rows: B.metric_rules(Tables(spark, sf, rows).metrics, Tables(spark, sf, rows).modes).select("business_id", "account_id", "category", "title", "priority", "confidence"),
+    lambda rows: f"WITH {parts_sql(rows)}, {RULES_SQL} SELECT business_id, account_id, category, title, priority, confidence FROM metric_advice",
     "coarse",
 )
 register(
     "recommendations",
-    lambda spark, sf: Tables(spark, sf).advice().select("business_id", "account_id", "category", "title", "priority", "severity", "confidence"),
-    f"WITH {parts_sql('quarter')}, {final_sql('quarter')}, {RULES_SQL}, {ADVICE_SQL} SELECT * FROM every",
+    lambda spark, sf, rows: Tables(spark, sf, rows).advice().select("business_id", "account_id", "category", "title", "priority", "severity", "confidence"),
+    lambda rows: f"WITH {parts_sql(rows)}, {final_sql(rows)}, {RULES_SQL}, {ADVICE_SQL} SELECT * FROM every",
 )
-register("recommendation_texts", lambda spark, sf: Tables(spark, sf).advice())
+register("recommendation_texts", lambda spark, sf, rows: Tables(spark, sf, rows).advice())
 register(
     "advice_summary",
-    lambda spark, sf: B.advice_summary(Tables(spark, sf).advice()),
-    f"""WITH {parts_sql('quarter')}, {final_sql('quarter')}, {RULES_SQL}, {ADVICE_SQL}
+    lambda spark, sf, rows: B.advice_summary(Tables(spark, sf, rows).advice()),
+    lambda rows: f"""WITH {parts_sql(rows)}, {final_sql(rows)}, {RULES_SQL}, {ADVICE_SQL}
         SELECT business_id, account_id, count(*) AS recommendation_count, arg_min(priority, {RANK.format("priority")}) AS highest_priority FROM every GROUP BY 1, 2""",
 )
 register(
     "chart_rows",
-    lambda spark, sf: R.chart_rows(*(A.trend(shape(spark, sf, "quarter"), g) for g in PERIODS)),
-    f"WITH {parts_sql('quarter')} SELECT *, 'daily' AS grain FROM daily UNION ALL SELECT *, 'weekly' FROM weekly UNION ALL SELECT *, 'monthly' FROM monthly",
+    lambda spark, sf, rows: R.chart_rows(*(A.trend(shape(spark, sf, rows), g) for g in PERIODS)),
+    lambda rows: f"WITH {parts_sql(rows)} SELECT *, 'daily' AS grain FROM daily UNION ALL SELECT *, 'weekly' FROM weekly UNION ALL SELECT *, 'monthly' FROM monthly",
 )
 register(
     "report_fields",
-    lambda spark, sf: R.field_rows("income_statement", Tables(spark, sf).sections()["income_statement"]).select("business_id", "account_id", "section", "field", "value").filter("field <> 'savings_rate'"),
-    f"""WITH {parts_sql('quarter')} SELECT business_id, account_id, 'income_statement' AS section, field, CAST(v AS VARCHAR) AS value
+    lambda spark, sf, rows: R.field_rows("income_statement", Tables(spark, sf, rows).sections()["income_statement"]).select("business_id", "account_id", "section", "field", "value").filter("field <> 'savings_rate'"),
+    lambda rows: f"""WITH {parts_sql(rows)} SELECT business_id, account_id, 'income_statement' AS section, field, CAST(v AS VARCHAR) AS value
         FROM (SELECT business_id, account_id, unnest(['income_minor', 'expense_minor', 'net_cash_flow_minor']) AS field, unnest([total_income_minor, total_expense_minor, net_cash_flow_minor]) AS v FROM figures)""",
 )
 register(
     "report_list",
-    lambda spark, sf: R.list_rows("category_report", Tables(spark, sf).categories, [F.col("amount_minor").desc(), "category"]).filter("field IN ('category', 'amount_minor', 'count')"),
-    f"""WITH {parts_sql('quarter')} SELECT business_id, account_id, 'category_report' AS section, row, field, value FROM (
+    lambda spark, sf, rows: R.list_rows("category_report", Tables(spark, sf, rows).categories, [F.col("amount_minor").desc(), "category"]).filter("field IN ('category', 'amount_minor', 'count')"),
+    lambda rows: f"""WITH {parts_sql(rows)} SELECT business_id, account_id, 'category_report' AS section, row, field, value FROM (
         SELECT business_id, account_id, row_number() OVER (PARTITION BY business_id, account_id ORDER BY amount_minor DESC, category) - 1 AS row,
                unnest(['category', 'amount_minor', 'count']) AS field, unnest([category, CAST(amount_minor AS VARCHAR), CAST(count AS VARCHAR)]) AS value FROM categories)""",
 )
-register("report_rows", lambda spark, sf: R.report_rows(Tables(spark, sf).sections()))
-register("report_json", lambda spark, sf: R.report_json(Tables(spark, sf).sections(), generated_at="2026-08-31T00:00:00+00:00"))
+register("report_rows", lambda spark, sf, rows: R.report_rows(Tables(spark, sf, rows).sections()))
+register("report_json", lambda spark, sf, rows: R.report_json(Tables(spark, sf, rows).sections(), generated_at="2026-08-31T00:00:00+00:00"))

@@ -228,24 +228,26 @@ register(
 register("chunks", lambda spark, sf: M.chunk(shape(spark, sf, "documents")))
 
 
-def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark, sf, asked: str) -> tuple[DataFrame, DataFrame]:
     vectors = shape(spark, sf, "embeddings")
-    questions = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("question_id"), "label", "embedding")
+    questions = vectors.filter(asked).select(F.col("vec_id").alias("question_id"), "label", "embedding")
     return questions, vectors.select(F.col("vec_id").alias("chunk_id"), "label", "embedding", F.concat(F.lit("text of "), F.col("vec_id")).alias("chunk_text"))
 
 
-def _hits(spark, sf) -> DataFrame:
-    return M.top_k(*_vectors(spark, sf), "label")
+def _hits(spark, sf, asked: str) -> DataFrame:
+    return M.top_k(*_vectors(spark, sf, asked), "label")
 
 
-HITS_SQL = """SELECT q.vec_id AS question_id, q.label, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS rank,
-              round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 4) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 20"""
-register("nearest_chunks", lambda spark, sf: _hits(spark, sf).withColumns({"distance": F.round("distance", 4), "rank": F.col("rank").cast("long")}), f"SELECT * FROM ({HITS_SQL}) WHERE rank <= 4")
-register(
-    "question_contexts",
-    lambda spark, sf: M.context(_hits(spark, sf), _vectors(spark, sf)[1], _vectors(spark, sf)[0]),
-    f"SELECT question_id, string_agg('text of ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context FROM ({HITS_SQL}) WHERE rank <= 4 GROUP BY 1",
-)
+#: Twenty questions, and a share of all vectors that grows with their table.
+for end, asked in (("", "vec_id < 20"), ("_all", "vec_id % 50 = 0")):
+    HITS_SQL = f"""SELECT q.vec_id AS question_id, q.label, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS rank,
+              round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 4) AS distance FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.{asked}"""
+    register(f"nearest_chunks{end}", lambda spark, sf, asked=asked: _hits(spark, sf, asked).withColumns({"distance": F.round("distance", 4), "rank": F.col("rank").cast("long")}), f"SELECT * FROM ({HITS_SQL}) WHERE rank <= 4")
+    register(
+        f"question_contexts{end}",
+        lambda spark, sf, asked=asked: M.context(_hits(spark, sf, asked), *reversed(_vectors(spark, sf, asked))),
+        f"SELECT question_id, string_agg('text of ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context FROM ({HITS_SQL}) WHERE rank <= 4 GROUP BY 1",
+    )
 STATEMENT = """
     SELECT o_orderkey AS number, CASE o_orderkey % 8
              WHEN 0 THEN date_format(d, 'yyyy-MM-dd') WHEN 1 THEN date_format(d, 'dd-MM-yyyy') WHEN 2 THEN date_format(d, 'dd/MM/yyyy') WHEN 3 THEN date_format(d, 'yyyy/MM/dd')

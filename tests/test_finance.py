@@ -345,3 +345,16 @@ def test_chunks_and_neighbours(spark):
 def test_shown_values(spark):
     row = spark.range(1).select(X.masked_identifier(F.lit("123456")), X.masked_identifier(F.lit("1234")), X.format_minor(F.lit("INR"), F.lit(123450)), X.format_minor(F.lit("INR"), F.lit(None)), X.minor_units(F.lit("1.005")), X.token_hash(F.lit("t"))).first()
     assert list(row[:5]) == ["****3456", "1234", "INR 1,234.50", "—", None] and row[5] == hashlib.sha256(b"t").hexdigest()
+
+
+def test_every_part_has_its_whole(spark, sf):
+    from ledgerforge import catalog
+    from ledgerforge.plans.shapes import shape
+
+    parts = "health_metrics last_two_months anomaly_large_transactions anomaly_month_changes anomaly_metric_alarms anomaly_negative_days anomaly_category_spikes anomaly_unexpected_modes anomalies anomalies_coarse"
+    parts += " metric_rules recommendations recommendation_texts advice_summary chart_rows report_fields report_list report_rows report_json account_summary nearest_chunks question_contexts"
+    for name in parts.split():
+        assert f"{name}_all" in catalog.QUERIES and (name in catalog.ORACLE_SQL) == (f"{name}_all" in catalog.ORACLE_SQL)
+    assert sum(r["transaction_count"] for r in catalog.QUERIES["account_summary_all"](spark, sf).collect()) == shape(spark, sf, "ledger").count()
+    asked = {r["question_id"] for r in catalog.QUERIES["nearest_chunks_all"](spark, sf).collect()}
+    assert asked == {r["vec_id"] for r in shape(spark, sf, "embeddings").filter("vec_id % 50 = 0").collect()}
