@@ -31,7 +31,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier line up to two edits."""
+    """Documents without lines that repeat an earlier line up to two edits, fewer in short lines."""
     return line_dedup.without_repeated_lines(docs)
 
 

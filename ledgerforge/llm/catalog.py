@@ -25,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every line, short ones too, as the pipeline needs it."""
+    return line_classes(read_table(spark, sf_dir, "documents"), least=0)
+
+
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_all": op1_line_dedup_all,
     "op2_transport_streams": op2_transport_streams,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
@@ -116,3 +122,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM placed JOIN firsts USING (class)
     """.replace("{letters}", LETTERS).replace("{marks}", MARKS),
 }
+#: The same over every line; lines below 20 characters allow one edit, those below 10 none.
+ORACLE_SQL["op1_line_dedup_all"] = (
+    ORACLE_SQL["op1_line_dedup"]
+    .replace("WHERE length(line) >= 20", "")
+    .replace("levenshtein(a.one_byte, b.one_byte) <= 2", "levenshtein(a.one_byte, b.one_byte) <= CASE WHEN a.n >= 20 THEN 2 WHEN a.n >= 10 THEN 1 ELSE 0 END")
+)

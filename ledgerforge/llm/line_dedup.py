@@ -7,8 +7,9 @@ line is indexed under its segments, and probes, for every length up to EDITS sho
 own, only the few substrings that the position bounds leave. Pairs that meet are verified
 with a banded bit-parallel edit distance after common ends are cut off.
 
-Lines shorter than `LEAST_CHARS` are too short for the edits to mean anything and are left
-alone. Lines are what stands between line feeds.
+Lines shorter than `LEAST_CHARS` allow fewer edits: one from `ONE_EDIT_CHARS` characters on, none
+below, where only equal lines are copies. Of two lines the shorter one decides. `least` leaves
+shorter lines out altogether. Lines are what stands between line feeds.
 """
 
 from __future__ import annotations
@@ -23,12 +24,27 @@ from .components import components
 
 EDITS = 2
 LEAST_CHARS = 20
+ONE_EDIT_CHARS = 10
 
 
-def lines_of(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line_no, line) of every line of at least `least` characters; numbers count from 0."""
+def lines_of(docs: DataFrame, least: int = LEAST_CHARS, blank: bool = True) -> DataFrame:
+    """(doc_id, line_no, line) of every line of at least `least` characters; numbers count from 0.
+
+    Without `blank`, lines of white space shorter than `LEAST_CHARS` are left out.
+    """
     rows = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.char_length("line") >= least)
+    rows = rows.filter(F.char_length("line") >= least)
+    return rows if blank else rows.filter((F.char_length("line") >= LEAST_CHARS) | _says(F.col("line")))
+
+
+def _says(line: Column) -> Column:
+    """Whether a line has anything but white space."""
+    return line.rlike(r"\S")
+
+
+def allowed(n: Column, edits: int = EDITS) -> Column:
+    """The edits within which another line is a near copy of a line of `n` characters that is not longer."""
+    return F.when(n >= LEAST_CHARS, edits).when(n >= ONE_EDIT_CHARS, min(1, edits)).otherwise(0)
 
 
 def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
@@ -66,12 +82,26 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     return F.array(*keys)
 
 
-def candidates(different: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of ids of `different` (id, line, n) that share a segment; a is not longer than b."""
+def candidates(different: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (a, b) of ids of `different` (id, line, n) that share a segment; a is not longer than b.
+
+    Lines below `LEAST_CHARS`, where `least` has them, meet lines up to one edit longer.
+    """
+    pairs = _meet(different.filter(F.col("n") >= LEAST_CHARS) if least < LEAST_CHARS else different, edits)
+    if least >= LEAST_CHARS or not edits:
+        return pairs
+    short = different.filter((F.col("n") >= ONE_EDIT_CHARS) & (F.col("n") <= LEAST_CHARS))
+    return pairs.union(_meet(short, 1, LEAST_CHARS - 1))
+
+
+def _meet(different: DataFrame, edits: int, most: int | None = None) -> DataFrame:
+    """The pairs within one number of edits, a of at most `most` characters."""
     index = different.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"))
     probe = different.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("b"), F.col("n").alias("n_b"))
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     near = F.col("n_b") - F.col("n_a") <= edits
+    if most is not None:
+        index = index.filter(F.col("n_a") <= most)
     return index.join(probe, "key").filter(once & near).select("a", "b").distinct()
 
 
@@ -152,24 +182,24 @@ def line_distance(x: Column, y: Column, edits: int = EDITS) -> Column:
 
 
 def verified(pairs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The rows of `pairs` (a, b, x, y: lines, y not shorter) within `edits` edits.
+    """The rows of `pairs` (a, b, x, y: lines, y not shorter) within the edits that x allows.
 
     Pairs are few bytes but much work each, so they are dealt evenly over the tasks.
     """
     dealt = pairs.repartition(shuffle_partitions(pairs.sparkSession), "a", "b")
-    return dealt.filter(line_distance(F.col("x"), F.col("y"), edits) <= edits)
+    return dealt.filter(line_distance(F.col("x"), F.col("y"), edits) <= allowed(F.char_length("x"), edits))
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): ids (64-bit hashes) of different lines within `edits` edits of each other.
+def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, blank: bool = True) -> DataFrame:
+    """(a, b): ids (64-bit hashes) of different lines within the `allowed` edits of each other.
 
     Equal lines are collapsed first, with partial aggregation, so a line that a third of all
     documents share is one row. Texts are looked up for the lines in some candidate pair
     only: those are few where lines differ, and picked by a broadcast when a count shows so.
     """
-    different = lines_of(docs, least).groupBy("line").agg(F.count("*").alias("copies"))
+    different = lines_of(docs, least, blank).groupBy("line").agg(F.count("*").alias("copies"))
     different = different.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("n"))
-    pairs = stored(candidates(different, edits))
+    pairs = stored(candidates(different, edits, least))
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     found = stored(different.join(maybe_broadcast(wanted, wanted.count()), "id", "left_semi"))
     one = found.select(F.col("id").alias("a"), F.col("line").alias("x"))
@@ -177,20 +207,20 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     return stored(verified(pairs.join(one, "a").join(two, "b"), edits).select("a", "b"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """One row for each line of at least `least` characters.
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, blank: bool = True) -> DataFrame:
+    """One row for each line of at least `least` characters, those that `lines_of` gives.
 
     Columns: doc_id, line_no (from 0), n_chars, class_doc_id and class_line_no (the first
     place, by doc_id and line_no, of a line that can be reached over links), n_links
-    (different lines within `edits` edits) and kept (whether the line is that first place).
-    Null and empty texts have no such line. Rows of the same doc_id count as one document, so
+    (different lines within the `allowed` edits) and kept (whether the line is that first
+    place). Null and empty texts have no line but, with `least` 0, an empty one. Rows of the same doc_id count as one document, so
     lines at equal places are kept alike. Columns besides doc_id and text are ignored.
     """
-    links = line_links(docs, edits, least)
+    links = line_links(docs, edits, least, blank)
     both = links.select("a").union(links.select("b")).withColumnRenamed("a", "id")
     degrees = both.groupBy("id").agg(F.count("*").alias("n_links"))
     linked = stored(components(links).withColumnRenamed("node", "id").join(degrees, "id"))
-    places = lines_of(docs, least).select("doc_id", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
+    places = lines_of(docs, least, blank).select("doc_id", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
     placed = stored(
         places.join(maybe_broadcast(linked, linked.count()), "id", "left").select(
             "doc_id", "line_no", "n_chars", F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
@@ -208,17 +238,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     )
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
     """`docs` without the lines that are copies or near copies of an earlier line.
 
+    Short lines of white space part paragraphs and stay.
+
     All columns stay; `text`, and `n_chars` where it exists, are those of the lines left.
-    A document that loses every line goes; one that had none to lose stays as it is.
+    A document that loses every line goes, blank ones aside; one that had none to lose stays as it is.
     """
-    gone = line_classes(docs, edits, least).filter("NOT kept")
+    gone = line_classes(docs, edits, least, blank=False).filter("NOT kept")
     by_document = gone.groupBy(F.col("doc_id").alias("_gone_from")).agg(F.collect_set("line_no").alias("_gone"))
     held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_from")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col("_gone"), k))
-    held = held.withColumn("_kept", kept).filter(F.col("_gone").isNull() | (F.size("_kept") > 0))
+    held = held.withColumn("_kept", kept).filter(F.col("_gone").isNull() | F.exists("_kept", _says))
     held = held.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)

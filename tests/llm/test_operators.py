@@ -75,6 +75,27 @@ def test_line_classes(docs, texts):
     assert Counter(map(tuple, line_dedup.line_classes(docs).collect())) == expected
 
 
+def test_short_lines_have_rows(spark):
+    rows = [(1, "Yes.\n\nshort line here\nYes"), (2, "Yes.\n\nshort line herd\nshirt line hard"), (3, "Yes.\n"), (4, "\n"), (5, "a line of 20 letters\na line of 20 letter")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["n_links"], r["kept"]) for r in line_dedup.line_classes(docs, least=0).collect()}
+    assert len(found) == sum(text.count("\n") + 1 for _, text in rows)
+    assert found[2, 0] == found[3, 0] == (1, 0, 0, False) and found[1, 3] == (1, 3, 0, True)
+    assert found[1, 2] == (1, 2, 1, True) and found[2, 2] == (1, 2, 1, False) and found[2, 3] == (2, 3, 0, True)
+    assert found[5, 0] == (5, 0, 1, True) and found[5, 1] == (5, 0, 1, False) and found[4, 1] == (1, 1, 0, False)
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert kept == {1: rows[0][1], 2: "\nshirt line hard", 4: "\n", 5: "a line of 20 letters"}
+
+
+def test_every_line_matches_duckdb(spark, sf):
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    theirs = connection.sql(catalog.ORACLE_SQL["op1_line_dedup_all"]).fetchall()
+    assert Counter(map(tuple, catalog.QUERIES["op1_line_dedup_all"](spark, sf).collect())) == Counter(theirs)
+
+
 def test_repeated_lines_go(docs, no_docs):
     kept = line_dedup.without_repeated_lines(docs)
     assert kept.columns == docs.columns
