@@ -14,7 +14,7 @@ from ledgerforge.llm.common import read_table, scratch_uri
 
 #: Documents scored at least this toxic go.
 TOXIC = 0.5
-#: Documents whose main language has a smaller score go: no language holds most of the letters.
+#: Documents whose main language holds a smaller share of the letters go.
 LEAST_LANGUAGE_SCORE = 0.2
 WORD_VOCABULARY = "word_bpe_49k.json"
 

@@ -205,8 +205,13 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
 
 def predict(model: Model, rows: list[str]) -> list[tuple[str, float, int]]:
     """(language, score, spans) of each text."""
+    return [found[:3] for found in label_spans(model, rows)]
+
+
+def label_spans(model: Model, rows: list[str]) -> list[tuple[str, float, int, float]]:
+    """(language, score, spans, share) of each text; share is that of the letters labelled with the language."""
     if not model.languages:
-        return [(UNKNOWN, 0.0, 0)] * len(rows)
+        return [(UNKNOWN, 0.0, 0, 0.0)] * len(rows)
     words = words_of(rows)
     n = len(model.languages)
     scores = word_scores(model, words)
@@ -224,8 +229,8 @@ def predict(model: Model, rows: list[str]) -> list[tuple[str, float, int]]:
     share = letters[np.arange(len(rows)), best] / np.maximum(1, letters.sum(axis=1))
     score = share * posterior[np.arange(len(rows)), best]
     return [
-        (model.languages[b], float(s), int(k)) if some else (UNKNOWN, 0.0, 0)
-        for b, s, k, some in zip(best, score, spans, letters.sum(axis=1) > 0)
+        (model.languages[b], float(s), int(k), float(h)) if some else (UNKNOWN, 0.0, 0, 0.0)
+        for b, s, k, h, some in zip(best, score, spans, share, letters.sum(axis=1) > 0)
     ]
 
 
@@ -275,12 +280,16 @@ def language_id(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of `docs` with a language and a score of at least `least`, with all their columns."""
+    """The rows of `docs` with a language that holds at least `least` of their letters, with all their columns.
+
+    Only the labels of the spans count: in a text of two languages the posterior of either is
+    about 0 or 1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(rows):
+    def shares(rows):
         model = shared.value
-        found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in predict(model, rows[begin:end])]
-        return [None if lang == UNKNOWN else score for lang, score, _ in found]
+        found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in label_spans(model, rows[begin:end])]
+        return [None if lang == UNKNOWN else share for lang, _, _, share in found]
 
-    return with_text_column(docs, scores, pa.float64(), "_lang_score").filter(F.col("_lang_score") >= least).drop("_lang_score")
+    return with_text_column(docs, shares, pa.float64(), "_lang_share").filter(F.col("_lang_share") >= least).drop("_lang_share")

@@ -284,6 +284,19 @@ def test_languages(spark, docs, texts):
     assert len(rows) == len(texts) and all(r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_bilingual_documents_stay(spark):
+    english = "the house with the green door was there and they thought that nothing would change this weather "
+    german = "das haus mit der tür war dort und sie dachten nicht dass sich etwas ändern würde zwischen den zügen "
+    russian = "и не что он на я с как это по но они мы "
+    languages = {"en": english, "de": german, "ru": russian}
+    model = language_id.fit([(k, v * 20) for k, v in languages.items()], dict.fromkeys(languages, 1))
+    mixed = [english * 10 + german * n for n in range(8, 13)] + [(english * 8 + russian * n) for n in range(6, 26)]
+    found = language_id.predict(model, mixed)
+    assert any(score < 0.2 for _, score, _ in found)
+    docs = spark.createDataFrame([(k, text) for k, text in enumerate([*mixed, "12 ...", ""])], "doc_id long, text string")
+    assert {r["doc_id"] for r in language_id.keep_known(docs, model, 0.2).collect()} == set(range(len(mixed)))
+
+
 def test_toxicity_learns_and_forgives(spark):
     import random
 
