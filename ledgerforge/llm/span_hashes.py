@@ -103,6 +103,17 @@ class PrefixHashes:
         return mixed ^ mixed >> np.uint64(32)
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray, block: int = BLOCK) -> int:
+    """Length of the common prefix of two whole texts, block by block until one differs."""
+    n = min(len(a), len(b))
+    for begin in range(0, n, block):
+        x, y = a[begin : min(begin + block, n)], b[begin : min(begin + block, n)]
+        same = PrefixHashes(x).extension(0, PrefixHashes(y), 0)
+        if same < len(x):
+            return begin + same
+    return n
+
+
 def signature(points: np.ndarray) -> np.ndarray:
     """Least hash of each bin (the largest value where a bin has none). A short text is one span."""
     least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
@@ -144,7 +155,7 @@ def span_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     "Next" follows descending identifiers; after the last comes the first. Rows of the same
     identifier follow each other by text, and rows without identifier come last. Texts are
-    shuffled once into ranges cut at quantiles of the identifiers; the first document of each
+    shuffled once into ranges cut at identifiers near their quantiles; the first document of each
     range is sent along to the range before it, so that no order over all rows is needed.
     A single document is its own next one.
     """
@@ -152,7 +163,10 @@ def span_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = texts(docs, id_col, text_col).withColumn("key", key)
     keys = rows.select(F.col("key").alias("doc_id"))
     top = keys.agg(F.max("doc_id")).first()[0]
-    splits = [s for s in range_splits(keys, shuffle_partitions(docs.sparkSession)) if s != top]
+    # Quantiles are doubles, which beyond 2**53 need not be any row's identifier.
+    near = [min(s, (1 << 63) - 1) for s in range_splits(keys, shuffle_partitions(docs.sparkSession))]
+    highest = keys.groupBy(bucket_of("doc_id", near)).agg(F.max("doc_id").alias("high")).collect()
+    splits = sorted(r["high"] for r in highest if r["high"] != top)
     # A range's highest identifier is a split, or the overall top: its rows also go, as
     # guests, to the range that comes before it in descending order.
     own = F.struct(bucket_of("key", splits).alias("bucket"), F.lit(False).alias("guest"))
@@ -171,7 +185,7 @@ def span_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             edited = text[: len(text) - k] + next_text[:k]
             points, edited_points = code_points(text), code_points(edited)
             edited_print = show(signature(edited_points)) if k else own_print
-            shared = PrefixHashes(points[:BLOCK]).extension(0, PrefixHashes(edited_points[:BLOCK]), 0) if k else len(text)
+            shared = common_prefix(points, edited_points) if k else len(text)
             digest = hashlib.sha256(edited.encode("utf-8")).hexdigest()
             return doc_id, len(text), digest, own_print, edited_print, likeness(own_print, edited_print), likeness(own_print, next_print), shared
 

@@ -259,6 +259,30 @@ def test_fingerprints(docs, texts):
     assert prints[3] == prints[4] != prints[7] and span_hashes.likeness(prints[3], prints[5]) > 0.6
 
 
+def test_common_prefix_goes_past_a_block():
+    points = span_hashes.code_points("abcdefgh" * 500)
+    for cut in (0, 63, 64, 65, 3000, 3999):
+        other = points.copy()
+        other[cut] += 1
+        assert span_hashes.common_prefix(points, other, 64) == cut
+    assert span_hashes.common_prefix(points, points[:3001], 64) == 3001
+    text, following = "ab" * 800_000, "c" * 800_000
+    edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+    assert span_hashes.common_prefix(span_hashes.code_points(text), span_hashes.code_points(edited)) == len(text) - len(text) // 3 > span_hashes.BLOCK
+
+
+def test_large_identifiers_keep_their_rows(spark):
+    ids = [(1 << 62) + 1001 * k for k in range(200)] + [(1 << 63) - 1 - 2 * k for k in range(200)] + [-(1 << 62) - 1001 * k for k in range(200)]
+    texts = {i: f"text {n} of some length" * 3 for n, i in enumerate(ids)}
+    found = {r["doc_id"]: r["edited_sha256"] for r in span_hashes.span_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    order = sorted(ids, reverse=True)
+    expected = {}
+    for own, after in zip(order, [*order[1:], order[0]]):
+        k = len(texts[own]) // 3
+        expected[own] = hashlib.sha256((texts[own][: len(texts[own]) - k] + texts[after][:k]).encode()).hexdigest()
+    assert found == expected
+
+
 def test_prefix_hashes_compare_spans():
     a, b = "the quick brown fox jumps", "a quick brown fox sleeps"
     x, y = span_hashes.PrefixHashes(span_hashes.code_points(a)), span_hashes.PrefixHashes(span_hashes.code_points(b))
