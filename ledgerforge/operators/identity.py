@@ -110,23 +110,27 @@ def flag_repeats(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("duplicate", F.row_number().over(group) > 1)
 
 
-def retry_depth(attempts: DataFrame, most: int = 64) -> DataFrame:
+def retry_depth(attempts: DataFrame) -> DataFrame:
     """Number of ancestors of each attempt; a missing parent or a cycle gives a code instead.
 
     Ancestors are found by doubling: after k joins every attempt knows its 2**k-th ancestor,
-    so a chain of n needs log2(n) joins. `most` bounds the length of a chain; longer ones,
-    as cycles, are an error.
+    so a chain of n needs log2(n) joins. They end when no attempt has an ancestor left, or when
+    2**k passes the number of attempts: what then has one is in a cycle or leads to one.
     """
-    known = attempts.select("attempt_id", F.col("parent_attempt_id").alias("up"), F.when(F.col("parent_attempt_id").isNull(), 0).otherwise(1).alias("depth"))
+    known = attempts.select("attempt_id", F.col("parent_attempt_id").alias("up"), F.when(F.col("parent_attempt_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     lost = known.select(F.col("up").alias("attempt_id")).filter("attempt_id IS NOT NULL").distinct().join(known.select("attempt_id"), "attempt_id", "left_anti")
     # A parent that does not exist is a chain's end of its own kind.
-    table = known.unionByName(lost.select("attempt_id", F.lit(None).cast(known.schema["up"].dataType).alias("up"), F.lit(-(1 << 20)).alias("depth")))
-    steps = 1
-    while steps < most:
+    table = known.unionByName(lost.select("attempt_id", F.lit(None).cast(known.schema["up"].dataType).alias("up"), F.lit(-(1 << 62)).alias("depth")))
+    # Each table is written out: plans that contain the last one twice would double with every join.
+    shared = attempts.sparkSession.sparkContext.getCheckpointDir() is not None
+    kept = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    table = kept(table)
+    most, steps = table.count(), 1
+    while steps <= most and table.filter("up IS NOT NULL").count():
         parents = table.select(F.col("attempt_id").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
-        table = table.join(parents, "up", "left").select(
+        table = kept(table.join(parents, "up", "left").select(
             "attempt_id", F.col("_next").alias("up"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("_more")).alias("depth")
-        )
+        ))
         steps *= 2
     code = F.when(F.col("depth") < 0, "PARENT_MISSING").when(F.col("up").isNotNull(), "CYCLE")
     own = table.join(attempts.select("attempt_id"), "attempt_id", "left_semi")

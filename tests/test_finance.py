@@ -286,6 +286,14 @@ def test_retries_and_status(spark):
     assert {r["attempt_id"]: r["status"] for r in I.attempt_status(events).collect()} == {"a": "failed", "b": "processing"}
 
 
+def test_long_retry_chains(spark):
+    chain = [(f"a{k}", f"a{k - 1}" if k else None) for k in range(200)] + [(f"m{k}", f"m{k - 1}" if k else "gone") for k in range(150)]
+    ring = [(f"r{k}", f"r{(k + 1) % 90}") for k in range(90)]
+    found = {r["attempt_id"]: (r["retry_count"], r["code"]) for r in I.retry_depth(spark.createDataFrame(chain + ring, "attempt_id string, parent_attempt_id string")).collect()}
+    assert all(found[f"a{k}"] == (k, None) for k in range(200))
+    assert all(found[f"m{k}"] == (None, "PARENT_MISSING") for k in range(150)) and all(found[f"r{k}"] == (None, "CYCLE") for k in range(90))
+
+
 def test_scope_and_access(spark, tx, accounts):
     assert S.scope(tx, "2026-01-02", "2026-02-10").count() == 3
     with pytest.raises(ValueError):
