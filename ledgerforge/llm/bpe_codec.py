@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokenizing import WORD_END, Pieces, Remembered, Vocabulary, blocks, byte_of_char, of_worker, word_vocabulary
+from .tokenizing import GENERATION_BYTES, WORD_END, Pieces, Remembered, Split, Values, Vocabulary, blocks, byte_of_char, of_worker, word_vocabulary
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: One character that stands for the end-of-word mark inside the automaton.
 END = "\ue000"
-#: Remembered pair decisions (an int key and a bool each).
-PAIRS = 1_000_000
+#: Bytes, about, of the remembered pair decisions.
+PAIR_BYTES = 2 * GENERATION_BYTES
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -43,7 +43,7 @@ class PrefixCodec:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(a, b): k for k, (a, b) in enumerate(pairs)}
         self.char_of_byte = {b: c for c, b in byte_of_char().items()}
-        self.compatible = Remembered(self._compatible, PAIRS)
+        self.compatible = Remembered(self._compatible, PAIR_BYTES)
         self.stands_alone = Remembered(lambda i: self.merge(self.symbols(i)) == [self.strings[i]])
         self.automaton = ahocorasick.Automaton()
         for string, i in model["vocab"].items():
@@ -143,9 +143,8 @@ class TextCodec:
     def encode(self, rows: list[str]) -> list[bytes]:
         out = []
         for begin, end in blocks(rows):
-            split = [t.replace("\n", " ").split(" ") for t in rows[begin:end]]
-            known = self.pieces.ready(set().union(*split))
-            out += [b"".join(map(known.__getitem__, s)) for s in split]
+            split = Split(rows[begin:end])
+            out += Values.of(self.pieces.values(split.pieces)).texts(split.codes, split.first)
         return out
 
     def decode(self, ids: bytes) -> bytes:

@@ -1,26 +1,29 @@
 """Exact tokenization of whole texts, piece by piece, with bounded per-worker memory.
 
 Neither vocabulary used here merges across a space, so a text's ids are the concatenation of
-the ids of its space-separated pieces. Pieces repeat often; each Python worker remembers
-those it has seen, in two generations of bounded size. The new ones of a block of texts are
-split into pre-tokens by one regular expression call and merged together, one rank a round,
-in arrays. Pieces that need Unicode normalisation, and special tokens' strings, go to the
-tokenizer itself.
+the ids of its pieces between spaces and line feeds. The pieces of a block of texts are cut and
+numbered in arrays, each different one once. Simple ones, of Latin letters, digits and signs
+without apostrophes, are split into pre-tokens where the kind of character changes and merged
+together, one rank a round, all in arrays. For other pieces the vocabulary's regular expression
+splits, and each Python worker remembers what it found, in two generations of bounded bytes;
+those that need Unicode normalisation, and special tokens' strings, go to the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each of the two generations of remembered pieces.
-GENERATION = 500_000
+#: Bytes, about, of each of the two generations of remembered pieces.
+GENERATION_BYTES = 64 << 20
+#: What an entry takes besides its piece and value.
+ENTRY_BYTES = 200
 #: Characters of text handled together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
 #: Fixed value: the pre-token pattern of the word-end vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -32,6 +35,21 @@ WORD_END = "</w>"
 _PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]*")
 _PLAIN_LINES = regex.compile(r"[\n\x20-\x7e¡-ɏ]*")
 
+#: First code point beyond simple pieces, all of one or two bytes in UTF-8.
+SIMPLE_END = 0x250
+#: Stands for the ids of a piece that only its whole text tells; no ids are so short.
+UNFIT = b"?"
+
+
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes and their places; those from `SIMPLE_END` on are given as that."""
+    places = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[places].astype(np.int32)
+    after = np.append(data, 0)[places + 1].astype(np.int32)
+    points = np.where(lead < 0x80, lead, np.where(lead < 0xE0, (lead & 0x1F) << 6 | after & 0x3F, SIMPLE_END))
+    return np.minimum(points, SIMPLE_END), places
+
+
 _OF_WORKER: dict = {}
 
 
@@ -67,41 +85,103 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """`dict` that computes missing values and keeps about the last two generations of keys."""
+    """`dict` that computes missing values and keeps about the last two generations of `most` bytes."""
 
-    def __init__(self, compute, size: int = GENERATION):
+    def __init__(self, compute, most: int = GENERATION_BYTES):
         super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
+        self.compute, self.most, self.old, self.bytes = compute, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.bytes >= self.most:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
+        self.bytes += ENTRY_BYTES + (len(key) if isinstance(key, str) else 0)
         return value
 
 
 class Pieces:
-    """Values of pieces, resolved many at a time and kept for about two generations."""
-
-    def __init__(self, resolve, size: int = GENERATION):
-        self.resolve, self.size, self.new, self.old = resolve, size, {}, {}
+    """Values of pieces, resolved many at a time and kept for about two generations of `most` bytes."""
+
+    def __init__(self, resolve, most: int = GENERATION_BYTES):
+        self.resolve, self.most, self.new, self.old, self.bytes = resolve, most, {}, {}, 0
+
+    def values(self, pieces: list[str]) -> list:
+        """The value of each of some different pieces."""
+        found = list(map(self.new.get, pieces))
+        need = [k for k, value in enumerate(found) if value is None]
+        fresh = []
+        for k in need:
+            found[k] = self.old.get(pieces[k])
+            if found[k] is None:
+                fresh.append(k)
+        for k, value in zip(fresh, self.resolve([pieces[k] for k in fresh]) if fresh else ()):
+            found[k] = value
+        for k in need:
+            self.new[pieces[k]] = found[k]
+            self.bytes += ENTRY_BYTES + len(pieces[k]) + (len(found[k]) if isinstance(found[k], bytes) else 0)
+        if self.bytes >= self.most:
+            self.old, self.new, self.bytes = self.new, {}, 0
+        return found
+
+
+class Split:
+    """The pieces of several texts between single spaces and line feeds, each different one once.
+
+    `pieces` are the different ones, `codes` tells which of them stands at each place, `first`
+    at which place each text begins (and the last one ends), and `before` what stands before
+    the place: `START` of the text, a `SPACE` or a `FEED`.
+    """
 
-    def ready(self, wanted: set[str]) -> dict:
-        """A dictionary that holds every wanted piece."""
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        need = wanted.difference(self.new)
-        for piece in need & self.old.keys():
-            self.new[piece] = self.old[piece]
-            need.discard(piece)
-        if need:
-            pieces = list(need)
-            self.new.update(zip(pieces, self.resolve(pieces)))
-        return self.new
+    SPACE, START, FEED = 0, 1, 2
+
+    def __init__(self, rows: list[str]):
+        column = pa.array(rows, pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(rows) + 1)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        gap = (data == 32) | (data == 10)
+        at = np.flatnonzero(gap)
+        gaps = np.searchsorted(at, offsets)  # gaps before each text
+        texts = np.arange(len(rows))
+        place = np.arange(len(at)) + np.repeat(texts, np.diff(gaps))  # of the piece that each gap ends
+        ends = np.zeros(len(at) + len(rows) + 1, np.int64)
+        ends[place + 1] = at - np.arange(len(at))
+        ends[gaps[1:] + texts + 1] = offsets[1:] - gaps[1:]
+        self.before = np.full(len(at) + len(rows), self.START, np.int8)
+        self.before[place + 1] = np.where(data[at] == 10, self.FEED, self.SPACE)
+        self.first = gaps + np.arange(len(rows) + 1)
+        self.empty = ends[1:] == ends[:-1]
+        joined = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[~gap])))
+        coded = joined.dictionary_encode()
+        self.codes, self.different = coded.indices.to_numpy(), coded.dictionary
+
+    @property
+    def pieces(self) -> list[str]:
+        return self.different.to_pylist()
+
+
+class Values:
+    """Ids of several pieces: where those of each begin in one array, and how many they are."""
+
+    def __init__(self, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        self.begins, self.sizes, self.ids = begins, sizes, ids
+
+    @classmethod
+    def of(cls, values: list[bytes]) -> "Values":
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        return cls(np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(values), "<u4"))
+
+    def texts(self, slots: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """For each text the ids at its slots, end to end, 4 bytes each."""
+        own = self.sizes[slots]
+        upto = np.append(0, np.cumsum(own))
+        take = np.repeat(self.begins[slots] - upto[:-1], own)
+        take += np.arange(len(take))
+        raw, cuts = self.ids[take].astype("<u4").tobytes(), (4 * upto[first]).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 class Merges:
@@ -162,7 +242,10 @@ class Merges:
         ends = begins_char[chars]
         symbol = self.byte_ids[raw]
         symbol[ends - 1] = self.end_ids[raw[ends - 1]]
-        word = np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0))
+        return self.merge(symbol, np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0)), len(tokens))
+
+    def merge(self, symbol: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from single symbols, each with the number of its pre-token; every pre-token has one."""
         done_words, done_symbols = [], []
         while len(symbol):
             slots = self.find(symbol[:-1].astype(np.int64) << 32 | symbol[1:])
@@ -189,9 +272,9 @@ class Merges:
             keep = ~over
             keep[at + 1] = False
             symbol, word = symbol[keep], word[keep]
-        words, ids = np.concatenate(done_words), np.concatenate(done_symbols)
-        ids = ids[np.argsort(words, kind="stable")]
-        return ids, np.bincount(words, minlength=len(tokens))
+        owner, ids = np.concatenate(done_words), np.concatenate(done_symbols)
+        ids = ids[np.argsort(owner, kind="stable")]
+        return ids, np.bincount(owner, minlength=words)
 
 
 class Vocabulary:
@@ -205,6 +288,70 @@ class Vocabulary:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = lower
         self.split = regex.compile(pattern + r"|\n").findall
+        # Kinds of the characters of simple pieces, 0 for those that need the pattern, and
+        # their lower case, where that takes as many bytes.
+        shown = [chr(c) for c in range(SIMPLE_END)]
+        small = [c.lower() if lower else c for c in shown]
+        fits = [_PLAIN.fullmatch(c) is not None and c not in "'<" and len(d) == 1 and d < chr(SIMPLE_END) and len(c.encode()) == len(d.encode()) for c, d in zip(shown, small)]
+        kind = [1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in shown]
+        self.kind = np.array([k if ok else 0 for k, ok in zip(kind, fits)] + [0], np.int8)
+        self.small = np.array([ord(d) if ok else 0 for d, ok in zip(small, fits)] + [0], np.int32)
+        self.digits_apart = not regex.compile(pattern).fullmatch("12")
+
+    def simple_pieces(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Which pieces, UTF-8 bytes between offsets, have characters with a kind only."""
+        points, places = _points(data)
+        odd = np.append(0, np.cumsum(self.kind[points] == 0))
+        chars = np.searchsorted(places, offsets)
+        return odd[chars[1:]] == odd[chars[:-1]]
+
+    def simple_ids(self, offsets: np.ndarray, data: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each) of simple pieces that are not empty, each after a space if `spaced`."""
+        if len(offsets) < 2:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        points, places = _points(data)
+        kind = self.kind[points]
+        begins = np.concatenate([[True], kind[1:] != kind[:-1]])
+        if self.digits_apart:
+            begins |= kind == 2
+        chars = np.searchsorted(places, offsets)
+        begins[chars[:-1]] = not spaced
+        raw = data
+        if self.lower:
+            points, raw = self.small[points], data.copy()
+            wide = points >= 0x80
+            raw[places] = np.where(wide, 0xC0 | points >> 6, points)
+            raw[places[wide] + 1] = 0x80 | points[wide] & 0x3F
+        starts = np.zeros(len(raw), np.bool_)
+        starts[places] = begins
+        if spaced:
+            raw, starts = np.insert(raw, offsets[:-1], 32), np.insert(starts, offsets[:-1], True)
+            offsets = offsets + np.arange(len(offsets))
+        symbol = self.merges.byte_ids[raw]
+        last = np.append(np.flatnonzero(starts)[1:], len(raw)) - 1
+        symbol[last] = self.merges.end_ids[raw[last]]
+        word = np.cumsum(starts) - 1
+        ids, counts = self.merges.merge(symbol, word, len(last))
+        return ids, np.add.reduceat(counts, word[offsets[:-1]])
+
+    def values(self, pieces: pa.Array, remembered: Pieces, spaced: bool) -> tuple[Values, np.ndarray]:
+        """The ids of each of several pieces, and the places of those for which `remembered` has `UNFIT`."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        sizes = np.diff(offsets)
+        simple = self.simple_pieces(offsets, data) & (sizes > 0)
+        slow = np.flatnonzero(~simple)
+        ids, counts = self.simple_ids(np.append(0, np.cumsum(sizes[simple])), data[np.repeat(simple, sizes)], spaced)
+        found = remembered.values(pieces.take(pa.array(slow)).to_pylist())
+        unfit = [k for k, value in enumerate(found) if value is UNFIT]
+        for k in unfit:
+            found[k] = b""
+        rest = Values.of(found)
+        number, begin = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        number[simple], begin[simple] = counts, np.cumsum(counts) - counts
+        number[slow], begin[slow] = rest.sizes, rest.begins + len(ids)
+        return Values(begin, number, np.concatenate([ids.astype(np.uint32), rest.ids])), slow[unfit]
 
     def plain(self, piece: str) -> bool:
         return _PLAIN.fullmatch(piece) is not None and not any(s in piece for s in self.special)
@@ -257,9 +404,9 @@ class WordEncoder:
     def __call__(self, rows: list[str]) -> list[bytes]:
         out = []
         for begin, end in blocks(rows):
-            split = [t.replace("\n", " ").split(" ") for t in rows[begin:end]]
-            known = self.pieces.ready(set().union(*split))
-            out += [b"".join(map(known.__getitem__, s)) for s in split]
+            split = Split(rows[begin:end])
+            values, _ = self.vocabulary.values(split.different, self.pieces, spaced=False)
+            out += values.texts(split.codes, split.first)
         return out
 
 
@@ -274,35 +421,57 @@ class ByteEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary = Vocabulary(tokenizer_json, BYTE_PATTERN, lower=False)
-        self.heads = Pieces(lambda pieces: self._ids(pieces, ""))
+        self.heads = Pieces(lambda pieces: self._ids(pieces, ""), GENERATION_BYTES // 2)
         self.later = Pieces(lambda pieces: self._ids(pieces, " "))
-        self.feed = self.vocabulary.encode("\n").astype("<u4").tobytes()
+        self.feed = self.vocabulary.encode("\n")
         self.space = regex.compile(r"\s").search
 
-    def _ids(self, pieces: list[str], before: str) -> list[bytes | None]:
-        """Ids of each piece; None for one with white space in it."""
+    def _ids(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of each piece; `UNFIT` for one with white space in it."""
         if not self.space("".join(pieces)):
             return self.vocabulary.ids_of(pieces, before)
         fit = [p for p in pieces if not self.space(p)]
         found = dict(zip(fit, self.vocabulary.ids_of(fit, before))) if fit else {}
-        return [found.get(p) for p in pieces]
+        return [found.get(p, UNFIT) for p in pieces]
 
     def __call__(self, rows: list[str]) -> list[bytes]:
         out = []
         for begin, end in blocks(rows):
-            split = [None if _apart(t) else [line.split(" ") for line in t.split("\n")] for t in rows[begin:end]]
-            lines = [line for text in split if text is not None for line in text]
-            heads = self.heads.ready({line[0] for line in lines})
-            later = self.later.ready(set().union(*(line[1:] for line in lines)))
-            for text, parts in zip(rows[begin:end], split):
-                try:
-                    ids = parts and self.feed.join([b"".join([heads[p[0]], *map(later.__getitem__, p[1:])]) for p in parts])
-                except TypeError:  # a piece without a value
-                    ids = None
-                out.append(self.vocabulary.encode(text).astype("<u4").tobytes() if ids is None else ids)
+            split = Split(rows[begin:end])
+            n = len(split.different)
+            head = split.before != Split.SPACE
+            # One value for each piece after a space, one for each that begins a text or line,
+            # and one for a line feed, which is a place of its own.
+            used = np.zeros(2 * n, np.bool_)
+            slots = split.codes + n * head.astype(np.int64)
+            used[slots] = True
+            at = np.cumsum(used) - 1
+            later, unfit = self.vocabulary.values(split.different.take(pa.array(np.flatnonzero(used[:n]))), self.later, spaced=True)
+            heads, unfit_heads = self.vocabulary.values(split.different.take(pa.array(np.flatnonzero(used[n:]))), self.heads, spaced=False)
+            total = len(later.ids) + len(heads.ids)
+            values = Values(
+                np.concatenate([later.begins, heads.begins + len(later.ids), [total]]),
+                np.concatenate([later.sizes, heads.sizes, [len(self.feed)]]),
+                np.concatenate([later.ids, heads.ids, self.feed]),
+            )
+            slots = at[slots]
+            apart = self._apart(split)
+            bad = np.concatenate([unfit, unfit_heads + len(later.sizes)])
+            if len(bad):
+                apart |= np.logical_or.reduceat(np.isin(slots, bad), split.first[:-1])
+            fed = np.flatnonzero(split.before == Split.FEED)
+            feeds = np.append(0, np.cumsum(split.before == Split.FEED))[split.first]
+            encoded = values.texts(np.insert(slots, fed, len(values.sizes) - 1), split.first + feeds)
+            for k in np.flatnonzero(apart).tolist():
+                encoded[k] = self.vocabulary.encode(rows[begin + k]).astype("<u4").tobytes()
+            out += encoded
         return out
 
-
-def _apart(text: str) -> bool:
-    """Whether spaces or line feeds stand in a row, or a space at the end."""
-    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] == " "
+    @staticmethod
+    def _apart(split: Split) -> np.ndarray:
+        """Which texts have spaces or line feeds in a row, or a space at the end."""
+        last = split.first[1:] - 1
+        hit = split.empty.copy()
+        hit[split.first[:-1]] = False
+        hit[last] &= split.before[last] == Split.SPACE
+        return np.logical_or.reduceat(hit, split.first[:-1])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import texts, with_text_column
 from .language_id import fold_of, sampled
-from .tokenizing import Remembered, of_worker
+from .tokenizing import GENERATION_BYTES, Remembered, of_worker
 
 #: Documents of each label that the model is fitted on, in expectation.
 SAMPLE_PER_LABEL = 2500
@@ -40,6 +40,8 @@ RIDGE = 0.02
 COUNTERFACTUAL = 1.0
 STEPS = 400
 
+NO_FEATURES: frozenset[int] = frozenset()
+
 #: Families of identity terms; a term may stand for any other of its family.
 IDENTITY_FAMILIES = (
     ("woman", "man", "women", "men", "girl", "boy", "female", "male"),
@@ -182,11 +184,12 @@ class Scorer:
 
     def __init__(self, model: Classifier):
         self.model = model
-        self.pieces = Remembered(self._piece)
+        # Sets take more than the plain values that `Remembered` counts with.
+        self.pieces = Remembered(self._piece, GENERATION_BYTES // 2)
 
     def _piece(self, piece: str) -> frozenset[int]:
         index = self.model.index
-        return frozenset(index[f] for w in _WORD.findall(piece) for f in features_of(w) if f in index)
+        return frozenset(index[f] for w in _WORD.findall(piece) for f in features_of(w) if f in index) or NO_FEATURES
 
     def __call__(self, text: str) -> float:
         hit = set().union(*map(self.pieces.__getitem__, set(text.lower().split())))
