@@ -14,6 +14,8 @@ shorter lines out altogether. Lines are what stands between line feeds.
 
 from __future__ import annotations
 
+import itertools
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,13 @@ from .components import components
 EDITS = 2
 LEAST_CHARS = 20
 ONE_EDIT_CHARS = 10
+#: Parts of a line for each segment, from one kind of keys to the next finer one, and the lines
+#: indexed under a key beyond which they meet under finer keys instead: about as many rows
+#: as finer keys would cost a line. The last kind has no crowds.
+FINER = (1, 2, 4)
+CROWDS = (32, 128, None)
+#: Columns of the edit distance after which pairs that are too far apart end.
+FIRST_COLUMNS = 24
 
 
 def lines_of(docs: DataFrame, least: int = LEAST_CHARS, blank: bool = True) -> DataFrame:
@@ -47,22 +56,27 @@ def allowed(n: Column, edits: int = EDITS) -> Column:
     return F.when(n >= LEAST_CHARS, edits).when(n >= ONE_EDIT_CHARS, min(1, edits)).otherwise(0)
 
 
-def _segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """(start from 1, size) of segment k of a line of `length`; the last ones take the remainder."""
-    parts = edits + 1
+def _part(length: Column, k: int | Column, parts: int) -> tuple[Column, Column]:
+    """(start from 1, size) of part k of a line of `length`; the last ones take the remainder."""
     base, extra = F.floor(length / parts), length % parts
     size = base + F.when(extra > parts - 1 - k, 1).otherwise(0)
     start = 1 + base * k + F.greatest(F.lit(0), extra - (parts - k))
     return start.cast("int"), size.cast("int")
 
 
+def _by_bytes(line: Column, n: Column, keys) -> Column:
+    """`keys(line)`, on bytes where each character is one: the hashes are the same, and cutting needs no counting."""
+    return F.when(F.octet_length(line) == n, keys(line.cast("binary"))).otherwise(keys(line))
+
+
 def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     """The hashes of a line's own segments, each with its length and place."""
-    keys = []
-    for k in range(edits + 1):
-        start, size = _segment(n, k, edits)
-        keys.append(F.xxhash64(F.lit(k), n, F.substring(line, start, size)))
-    return F.array(*keys)
+
+    def keys(line: Column) -> Column:
+        cuts = [_part(n, k, edits + 1) for k in range(edits + 1)]
+        return F.array(*[F.xxhash64(F.lit(k), n, F.substring(line, start, size)) for k, (start, size) in enumerate(cuts)])
+
+    return _by_bytes(line, n, keys)
 
 
 def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
@@ -71,19 +85,90 @@ def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     With segment k the edits before it are at most k, and those after it at most edits - k;
     a place must satisfy both.
     """
-    keys = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for k in range(edits + 1):
-            start, size = _segment(length, k, edits)
-            low = max(-k, shorter - (edits - k))
-            high = min(k, shorter + (edits - k))
-            keys += [F.xxhash64(F.lit(k), length, F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*keys)
+
+    def keys(line: Column) -> Column:
+        out = []
+        for shorter in range(edits + 1):
+            length = n - shorter
+            for k in range(edits + 1):
+                start, size = _part(length, k, edits + 1)
+                low = max(-k, shorter - (edits - k))
+                high = min(k, shorter + (edits - k))
+                out += [F.xxhash64(F.lit(k), length, F.substring(line, start + shift, size)) for shift in range(low, high + 1)]
+        return F.array(*out)
+
+    return _by_bytes(line, n, keys)
+
+
+def alignments(parts: int, edits: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """(characters more, parts left out, shift of each other part) of all ways to be within `edits`.
+
+    Every edit falls into one part and shifts the later ones by 1, 0 or -1. Where fewer than
+    `edits` parts are touched, the first others are left out as well.
+    """
+    found = set()
+    for count in range(edits + 1):
+        for places in itertools.combinations_with_replacement(range(parts), count):
+            out = sorted(set(places))
+            out = tuple(sorted(out + [k for k in range(parts) if k not in out][: edits - len(out)]))
+            for moves in itertools.product((-1, 0, 1), repeat=count):
+                if sum(moves) >= 0:
+                    shifts = tuple(sum(m for p, m in zip(places, moves) if p < k) for k in range(parts) if k not in out)
+                    found.add((sum(moves), out, shifts))
+    return sorted(found)
+
+
+def _picked(hashes: Column, n: Column, choices: list[tuple[int, int, list[int]]]) -> Column:
+    """One key for each choice (number of the parts left out, characters less, places in `hashes`)."""
+    rows = json.dumps([{"out": out, "less": less, "at": at} for out, less, at in choices])
+    table = F.from_json(F.lit(rows), "array<struct<out:int,less:int,at:array<int>>>")
+    return _let(hashes, lambda h: F.transform(table, lambda c: F.xxhash64(c["out"], n - c["less"], F.transform(c["at"], lambda i: F.get(h, i)))))
+
+
+def fine_keys(line: Column, n: Column, parts: int, edits: int) -> tuple[Column, Column]:
+    """(own keys, keys looked up): hashes of all but `edits` of a line's parts together.
+
+    Of two lines within `edits` of each other, the longer one is looked up under a key of the
+    shorter one.
+    """
+    width = 2 * edits + 1
+    ways = alignments(parts, edits)
+    numbers = {out: number for number, out in enumerate(sorted({out for _, out, _ in ways}))}
+    kept = {out: [k for k in range(parts) if k not in out] for out in numbers}
+
+    def own(k: Column) -> Column:
+        return F.xxhash64(F.substring(line, *_part(n, k, parts)))
+
+    def moved(i: Column) -> Column:
+        start, size = _part(n - F.floor(i / (parts * width)).cast("int"), F.floor(i / width).cast("int") % parts, parts)
+        return F.xxhash64(F.substring(line, start + i % width - edits, size))
+
+    def places(more: int, out: tuple[int, ...], shifts: tuple[int, ...]) -> list[int]:
+        return [(more * parts + k) * width + shift + edits for k, shift in zip(kept[out], shifts)]
+
+    index = _picked(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), own), n, [(number, 0, kept[out]) for out, number in numbers.items()])
+    cut = F.transform(F.sequence(F.lit(0), F.lit((edits + 1) * parts * width - 1)), moved)
+    return index, _picked(cut, n, [(numbers[out], more, places(more, out, shifts)) for more, out, shifts in ways])
+
+
+def parities(line: Column) -> Column:
+    """Two longs: for each of 64 classes of characters, and of pairs that stand side by side, whether their number is odd.
+
+    An edit changes at most two bits of the first and four of the second.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda c: F.call_function("shiftleft", one, F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(
+        F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)),
+        F.struct(F.lit("").alias("last"), zero.alias("single"), zero.alias("double")),
+        lambda s, c: F.struct(
+            c.alias("last"), s["single"].bitwiseXOR(bit(c)).alias("single"), s["double"].bitwiseXOR(bit(F.concat(s["last"], c))).alias("double")
+        ),
+    )
 
 
 def candidates(different: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of ids of `different` (id, line, n) that share a segment; a is not longer than b.
+    """Pairs (a, b) of ids of `different` (id, line, n) that share a key; a is not longer than b.
 
     Lines below `LEAST_CHARS`, where `least` has them, meet lines up to one edit longer.
     """
@@ -95,14 +180,48 @@ def candidates(different: DataFrame, edits: int = EDITS, least: int = LEAST_CHAR
 
 
 def _meet(different: DataFrame, edits: int, most: int | None = None) -> DataFrame:
-    """The pairs within one number of edits, a of at most `most` characters."""
-    index = different.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"))
-    probe = different.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    near = F.col("n_b") - F.col("n_a") <= edits
+    """The pairs within one number of edits, a of at most `most` characters.
+
+    A pair shares a key of each kind. If one of them has no crowd, the pair is found there;
+    otherwise both lines are among the crowded ones, which meet again under finer keys.
+    """
+    lines, pairs = different, None
+    for finer, crowd in zip(FINER, CROWDS):
+        line, n = F.col("line"), F.col("n")
+        own, sought = (index_keys(line, n, edits), probe_keys(line, n, edits)) if finer == 1 else fine_keys(line, n, finer * (edits + 1), edits)
+        found = stored(_met(lines, own, sought, edits, most, crowd))
+        here = found.filter("a IS NOT NULL")
+        pairs = here if pairs is None else pairs.union(here)
+        crowded = found.filter("a IS NULL").select(F.col("b").alias("id"))
+        count = crowded.count() if crowd else 0
+        if not count:
+            break
+        lines = different.join(maybe_broadcast(crowded, count), "id", "left_semi").withColumn("odd", parities(line))
+        lines = stored(lines.select("id", "line", "n", "odd.single", "odd.double"))
+    return pairs.distinct()
+
+
+def _met(lines: DataFrame, own: Column, sought: Column, edits: int, most: int | None, crowd: int | None) -> DataFrame:
+    """Different pairs (a, b) that meet under a key without a crowd, and (NULL, b) for each b at a crowded one.
+
+    Of a crowded key only one indexed line stays, to tell who looks there; sizes are
+    aggregated before anything is joined to them. Where `lines` has parities, pairs must be
+    close in them.
+    """
+    odd = [c for c in ("single", "double") if c in lines.columns]
+    index = lines.select(F.explode(own).alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in odd])
+    probe = lines.select(F.explode(sought).alias("key"), F.col("id").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in odd])
     if most is not None:
         index = index.filter(F.col("n_a") <= most)
-    return index.join(probe, "key").filter(once & near).select("a", "b").distinct()
+    if crowd is not None:
+        sizes = index.groupBy("key").agg(F.count("*").alias("size"), F.min("a").alias("one")).filter(F.col("size") > crowd).select("key", "one")
+        index = index.join(sizes, "key", "left").filter("one IS NULL OR a = one")
+        index = index.withColumn("a", F.expr("CASE WHEN one IS NULL THEN a END")).drop("one")
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    close = once & (F.col("n_b") - F.col("n_a") <= edits)
+    for c, flips in zip(odd, (2, 4)):
+        close &= F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= flips * edits
+    return index.join(probe, "key").filter(F.col("a").isNull() | close).select("a", "b").distinct()
 
 
 def _let(value: Column, then) -> Column:
@@ -159,7 +278,10 @@ def _band(x: Column, y: Column, edits: int) -> Column:
         return F.when(state["score"] > edits, state).otherwise(_let(match, advance))
 
     begin = F.struct(long(full & ~((1 << (edits + 1)) - 1)).alias("up"), long((1 << (edits + 1)) - 1).alias("down"), gap.alias("score"))
-    return F.when(n == 0, gap).otherwise(F.aggregate(F.sequence(F.lit(1), n), begin, column, lambda s: s["score"]))
+    # Most pairs part early, and steps cannot end before their sequence does.
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(FIRST_COLUMNS))), begin, column)
+    rest = lambda s: F.aggregate(F.sequence(F.lit(FIRST_COLUMNS + 1), n), s, column, lambda t: t["score"])
+    return F.when(n == 0, gap).otherwise(_let(few, lambda s: F.when((s["score"] > edits) | (n <= FIRST_COLUMNS), s["score"]).otherwise(rest(s))))
 
 
 def line_distance(x: Column, y: Column, edits: int = EDITS) -> Column:
@@ -197,7 +319,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, bl
     documents share is one row. Texts are looked up for the lines in some candidate pair
     only: those are few where lines differ, and picked by a broadcast when a count shows so.
     """
-    different = lines_of(docs, least, blank).groupBy("line").agg(F.count("*").alias("copies"))
+    different = lines_of(docs, least, blank).select("line").distinct()
     different = different.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("n"))
     pairs = stored(candidates(different, edits, least))
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())

@@ -367,3 +367,37 @@ def test_queries_cover_their_tables(spark, sf):
     whole = pd.read_parquet(f"{sf}/documents.parquet")
     counts = catalog.QUERIES["op4_token_counts"](spark, sf)
     assert counts.count() == len(whole)
+
+
+def test_crowded_segments_lose_no_link(spark, monkeypatch):
+    """With crowds of one line every pair must be found under the finest keys, as by brute force."""
+    import random
+
+    from ledgerforge.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "CROWDS", (1, 1, None))
+    draw, lines = random.Random(11), set()
+    for base in ("the quick brown fox jumps over a lazy dog", "abcdefghijklmnopqrstu", "ééé ßß naïve lines of odd letters, too", "twelve chars"):
+        for _ in range(40):
+            line = list(base)
+            for _ in range(draw.randint(0, 3)):
+                at = draw.randrange(len(line))
+                line[at : at + draw.randint(0, 1)] = draw.choice(["", "x", "e", "é"])
+            lines.add("".join(line))
+    lines = sorted(lines)
+    found = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), least=0).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def limit(n):
+        return 2 if n >= 20 else 1 if n >= 10 else 0
+
+    for row in found:
+        own = lines[row["doc_id"]]
+        assert row["n_links"] == sum(distance(own, b) <= limit(min(len(own), len(b))) for b in lines if b != own and abs(len(b) - len(own)) <= 2), own
