@@ -35,10 +35,11 @@ def with_text_column(docs: DataFrame, make, kind: pa.DataType, name: str) -> Dat
     identifiers may be missing.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField(name, from_arrow_type(kind))])
+    at = docs.columns.index("text")
 
     def add(batches):
         for batch in batches:
-            made = make([text or "" for text in batch.column("text").to_pylist()])
+            made = make([text or "" for text in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(add, schema)
@@ -72,5 +73,13 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, with as many underscores before it as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,19 +2,19 @@
 
 Every text becomes the set of its 5-word shingles (64-bit hashes). One order over all
 shingles puts rare ones first: by the level of the shingle's bucket in a frequency sketch of
-the whole corpus, then by hash. Two sets with Jaccard similarity t share at least `SHARED` of
-the first n - ceil(t n) + SHARED shingles of each (all of them where sets are smaller than
-that), so sets meet only on those prefixes:
+the whole corpus, which grows with it, then by hash. Two sets with Jaccard similarity t share
+at least `SHARED` of the first n - ceil(t n) + SHARED shingles of each (all of them where sets
+are smaller than that), so sets meet only on those prefixes:
 
 1. equal sets collapse to one id;
-2. in each of a few rounds, every prefix shingle that still meets different components names
-   two pivots: the sets least and greatest after mixing with it. A set is compared with the
-   few pivots that most of its shingles name. This takes a number of pairs linear in the sets
-   and joins large groups of near copies into components;
-3. prefix shingles that still meet different components are joined with themselves, across
-   components only, under the length, positional and index-prefix filters; pairs that share
-   enough of them stay. A set that meets a large component is compared with its members
-   until one is similar, which needs no row for each pair;
+2. in each of a few rounds, every one of a set's `LEAST` least hashes that still meets different
+   components names two pivots: the sets least and greatest after mixing with it. A set is
+   compared with the few pivots that most of its hashes name. This takes a number of pairs
+   linear in the sets and joins large groups of near copies into components;
+3. all prefix shingles are dealt out once; those in one set only go. Those that meet different
+   components are joined with themselves, across components only, under the length, positional
+   and index-prefix filters; pairs that share enough of them stay. A set that meets a large
+   component is compared with its members until one is similar, which needs no row for each pair;
 4. each pair passes the suffix filter and is verified once on the whole sets.
 
 No link between different components is lost: a linked pair shares its prefix shingles, and is
@@ -32,16 +32,25 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shuffle_partitions, stored, texts
+from .common import maybe_broadcast, shuffle_partitions, stored, texts, unused
 from .components import components
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact in integers.
 SIMILAR, OF = 75, 100
-#: Buckets of the frequency sketch; their levels, a byte each, are 2 MB on the driver and in a broadcast.
-SKETCH_BITS = 21
+#: Bytes of text for each bucket of the frequency sketch, and bounds of the number of buckets,
+#: as powers of two. Levels, a byte a bucket, are 16 MB at most on the driver and in a broadcast.
+BUCKET_BYTES = 256
+SKETCH_BITS = (16, 24)
 #: Buckets that are summed and sent together.
 CHUNK = 1 << 15
+#: Shingles whose bucket holds more than so many, and than so many times the mean, count as
+#: frequent: they surely meet, so their rows are not gathered to find that out.
+FREQUENT, TIMES_MEAN = 4096, 16
+#: Least hashes of a set that name its pivots, and how many of them a set and its pivot must share.
+LEAST, LEAST_SHARED = 8, 3
+#: Halvings of the suffix filter.
+SUFFIX_DEPTH = 2
 #: Prefix shingles that similar sets must share.
 SHARED = 4
 #: Sets of one side of a cell in which sets are verified, about.
@@ -117,10 +126,16 @@ def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def rare_first(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The set in the global order: by sketch level, then by hash."""
-    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return hashes[np.lexsort((hashes, level))]
+def buckets_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of each hash in a sketch of `size` buckets, a power of two."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def rare_first(hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set in the global order, by sketch level and then by hash, and the levels in it."""
+    level = levels[buckets_of(hashes, len(levels))]
+    order = np.argsort(level, kind="stable")  # the hashes themselves are sorted
+    return hashes[order], level[order]
 
 
 def prefix_size(n: int) -> int:
@@ -138,101 +153,152 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     """A lower bound of the symmetric difference of two sorted arrays: halve both at a pivot of one."""
     if not depth or not len(x) or not len(y):
         return abs(len(x) - len(y))
-    pivot = y[len(y) // 2]
-    cut = int(np.searchsorted(x, pivot))
-    met = int(cut < len(x) and x[cut] == pivot)
-    left = _suffix_bound(x[:cut], y[: len(y) // 2], depth - 1)
-    right = _suffix_bound(x[cut + met :], y[len(y) // 2 + 1 :], depth - 1)
-    return left + right + 1 - met
+    half = len(y) // 2
+    cut = int(x.searchsorted(y[half]))
+    met = int(cut < len(x) and x[cut] == y[half])
+    left = _suffix_bound(x[:cut], y[:half], depth - 1)
+    return left + _suffix_bound(x[cut + met :], y[half + 1 :], depth - 1) + 1 - met
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact decision for two sorted sets: the suffix filter first, then the whole intersection."""
     least = needed_overlap(len(x), len(y))
-    if _suffix_bound(x, y, 3) > len(x) + len(y) - 2 * least:
+    if _suffix_bound(x, y, SUFFIX_DEPTH) > len(x) + len(y) - 2 * least:
         return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= least
+    at = y.searchsorted(x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) >= least
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): `key` tells texts apart where identifiers are missing or repeat."""
+    return texts(docs).withColumn("key", F.xxhash64("text"))
 
 
-def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and the levels of the frequency sketch of all shingles.
+def sketch_size(docs: DataFrame) -> int:
+    """Buckets of the frequency sketch for so much text."""
+    total = texts(docs).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    low, high = SKETCH_BITS
+    return 1 << min(high, max(low, (total // BUCKET_BYTES).bit_length()))
+
+
+def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(doc_id, key, n, sid, least) of every row, the levels of the frequency sketch of all shingles, and from which on they are frequent.
 
     One pass over the texts. Each task adds up its own sketch and emits it once, compressed, in
     chunks that are summed where they meet; the driver gets one byte a bucket.
     """
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("chunk", pa.int32()), ("hits", pa.binary())])
+    size = sketch_size(docs)
+    chunk_size = min(CHUNK, size)
+    kinds = pa.schema(
+        [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("least", pa.list_(pa.int64())), ("chunk", pa.int32()), ("hits", pa.binary())]
+    )
 
     def scan(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(size, np.uint32)
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
             rows = len(sets)
             if rows:
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                np.add.at(sketch, buckets_of(np.concatenate(sets), size), 1)
             sids = [set_id(s) if len(s) else None for s in sets]
+            least = [s[:LEAST].view(np.int64) for s in sets]
+            cuts = np.append(0, np.cumsum([len(s) for s in least])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(least) if least else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                [
+                    batch.column("doc_id"),
+                    batch.column("key"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(sids, pa.int64()),
+                    lists,
+                    pa.nulls(rows, pa.int32()),
+                    pa.nulls(rows, pa.binary()),
+                ],
                 schema=kinds,
             )
         pack = zstandard.ZstdCompressor(level=1)
-        parts = sketch.reshape(-1, CHUNK)
+        parts = sketch.reshape(-1, chunk_size)
         blank = pa.nulls(len(parts), pa.int64())
-        hits = [pack.compress(part.tobytes()) for part in parts]
-        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(len(parts)), pa.int32()), pa.array(hits, pa.binary())], schema=kinds)
+        # Byte planes: all but the lowest are nearly empty.
+        hits = [pack.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes()) for part in parts]
+        yield pa.RecordBatch.from_arrays(
+            [blank, blank, blank, blank, pa.nulls(len(parts), pa.list_(pa.int64())), pa.array(range(len(parts)), pa.int32()), pa.array(hits, pa.binary())], schema=kinds
+        )
 
     def add(batches):
         unpack, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for chunk, hits in zip(batch.column("chunk").to_pylist(), batch.column("hits").to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(unpack.decompress(hits), np.int64)
+                planes = np.frombuffer(unpack.decompress(hits), np.uint8).reshape(4, -1)
+                sums[chunk] = sums.get(chunk, 0) + np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
         for chunk, hits in sums.items():
             level = (2 * np.log2(np.maximum(hits, 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(hits.sum())], pa.int64())], names=["chunk", "levels", "total"]
+            )
 
-    found = stored(texts(docs).mapInArrow(scan, "doc_id long, n long, sid long, chunk int, hits binary"))
+    found = stored(keyed(docs).mapInArrow(scan, "doc_id long, key long, n long, sid long, least array<long>, chunk int, hits binary"))
     chunks = found.filter("chunk IS NOT NULL").select("chunk", "hits")
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in chunks.repartition(shuffle_partitions(docs.sparkSession), "chunk").mapInArrow(add, "chunk int, levels binary").collect():
-        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
-    return found.filter("chunk IS NULL").select("doc_id", "n", "sid"), levels
+    levels, total = np.zeros(size, np.uint8), 0
+    for row in chunks.repartition(shuffle_partitions(docs.sparkSession), "chunk").mapInArrow(add, "chunk int, levels binary, total long").collect():
+        levels[row["chunk"] * chunk_size : (row["chunk"] + 1) * chunk_size] = np.frombuffer(row["levels"], np.uint8)
+        total += row["total"]
+    frequent = int(2 * np.log2(max(FREQUENT, TIMES_MEAN * total / size)))
+    return found.filter("chunk IS NULL").select("doc_id", "key", "n", "sid", "least"), levels, frequent
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, sid, n, pos) for the prefix of every set, each set once in a task."""
+def _prefixes(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
+    """(token, sid, n, pos, common) for the prefix of every set, each set once in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["token", "sid", "n", "pos"]
+    names = ["token", "sid", "n", "pos", "common"]
 
     def cut(batches):
         seen: set[int] = set()
         for batch in batches:
-            token, sid, size, place = [], [], [], []
+            columns = [[], [], [], [], []]
             for hashes in shingle_sets(batch.column("text")):
                 n = len(hashes)
                 if not n or (key := set_id(hashes)) in seen:
                     continue
                 seen.add(key)
                 keep = prefix_size(n)
-                token.append(rare_first(hashes, shared.value)[:keep])
-                sid.append(np.full(keep, key, np.int64))
-                size.append(np.full(keep, n, np.int32))
-                place.append(np.arange(keep, dtype=np.int32))
-            if token:
-                columns = [np.concatenate(token).view(np.int64), np.concatenate(sid), np.concatenate(size), np.concatenate(place)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                ordered, level = rare_first(hashes, shared.value)
+                own = (ordered[:keep], np.full(keep, key, np.int64), np.full(keep, n, np.int32), np.arange(keep, dtype=np.int32), level[:keep] > frequent)
+                for column, values in zip(columns, own):
+                    column.append(values)
+            if columns[0]:
+                token, *rest = map(np.concatenate, columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token.view(np.int64), *rest)], names=names)
+
+    return texts(docs).mapInArrow(cut, "token long, sid long, n int, pos int, common boolean")
 
-    return texts(docs).mapInArrow(cut, "token long, sid long, n int, pos int")
+
+def _shared_prefixes(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
+    """(token, sid, n, pos) of prefix shingles that are in several sets, a stored table.
+
+    All rows are dealt out once. A group has about as many rows as a bucket of the sketch may
+    hold below `frequent`; rows of frequent shingles are dealt by set as well.
+    """
+    # Frequent shingles are groups of one set each here, and pass as they are.
+    group = Window.partitionBy("token", "apart")
+    rows = _prefixes(docs, levels, frequent).withColumn("apart", F.expr("IF(common, sid, 0)"))
+    rows = rows.select("token", "sid", "n", "pos", "common", F.min("sid").over(group).alias("lo"), F.max("sid").over(group).alias("hi"))
+    return stored(rows.filter("common OR lo <> hi").select("token", "sid", "n", "pos")).dropDuplicates(["token", "sid"])
 
 
 def _hashes(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(sid, hashes) of the wanted set ids, a stored table.
 
-    Only their texts are read again, one document for each set; they are picked by a
-    broadcast where a count shows that they are few, by a shuffle otherwise.
+    Only their texts are read again, one text for each set; they are picked by a broadcast
+    where a count shows that they are few, by a shuffle otherwise.
     """
-    chosen = stored(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    picked = texts(docs).join(maybe_broadcast(chosen, chosen.count()), "doc_id").select("sid", "text")
+    chosen = sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one"))
+    chosen = stored(chosen.select("sid", F.col("one.doc_id").alias("one_id"), F.col("one.key").alias("key")))
+    few = maybe_broadcast(chosen, chosen.count())
+    rows = keyed(docs)
+    picked = rows.join(few, (rows["key"] == few["key"]) & rows["doc_id"].eqNullSafe(few["one_id"])).select("sid", "text")
 
-    # Rows may share an identifier but not a text; a set is known by its own id.
+    # Keys are hashes; a set is known by its own id.
     def pack(batches):
         for batch in batches:
             own = [(sid, s) for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"))) if set_id(s) == sid]
@@ -287,11 +353,12 @@ def _verify_with_large(left: DataFrame, large: DataFrame, docs: DataFrame, sets:
 
     One link with a component is enough, so its members are not paired as rows: they are cut
     into parts of some hundred, as are the sets that meet the component, and each part meets
-    each part in a cell of its own.
+    each part in a cell of its own. Of two large components only the sets of one are dealt
+    to the members of the other.
     """
     named = left.join(large.select("c"), "c").select("token", F.col("c").alias("large")).distinct()
-    meets = left.join(named, "token").filter("c <> large").select("sid", "large").distinct()
-    meets = stored(meets)
+    sides = left.join(large.select("c", "size"), "c", "left")
+    meets = stored(sides.join(named, "token").filter("c < large OR (size IS NULL AND c <> large)").select("sid", "large").distinct())
     counts = meets.groupBy("large").agg(F.count("*").alias("met"))
     parts = large.select(F.col("c").alias("large"), F.ceil(F.col("size") / CELL_SETS).alias("k")).join(counts, "large").withColumn("j", F.ceil(F.col("met") / CELL_SETS))
     part = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n))
@@ -325,6 +392,14 @@ def _pivot_pairs(placed: DataFrame, number: int) -> DataFrame:
     return best.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
+def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pivot pairs whose least hashes overlap as those of similar sets nearly always do; the others are left to step 3."""
+    least = sets.filter("n > 0").groupBy("sid").agg(F.first("least").alias("least"))
+    one, two = least.select(F.col("sid").alias("a"), F.col("least").alias("x")), least.select(F.col("sid").alias("b"), F.col("least").alias("y"))
+    enough = F.least(F.lit(LEAST_SHARED), F.size("x"), F.size("y"))
+    return pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("x", "y")) >= enough).select("a", "b")
+
+
 def _across(left: DataFrame) -> DataFrame:
     """(a, b) pairs of sets of different components that share enough prefix shingles to be similar."""
     x, y = left.alias("x"), left.alias("y")
@@ -354,13 +429,34 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     table gives no rows, and columns besides doc_id and text are ignored. A row without
     doc_id takes part, but cannot name a component.
     """
-    sets, levels = document_sets(docs)
-    prefixes = stored(_prefixes(docs, levels))
-    meets = prefixes.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
-    left = stored(prefixes.join(meets, "token", "left_semi").dropDuplicates(["token", "sid"]).withColumn("c", F.col("sid")))
+    members = _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), "c")
+    named = members.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return members.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _meeting(placed: DataFrame) -> DataFrame:
+    """The rows of `placed` (token, c) whose token is met in different components."""
+    split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    return placed.join(split, "token", "left_semi")
+
+
+def _with_components(rows: DataFrame, final: DataFrame | None) -> DataFrame:
+    """`rows` plus c, the component of their sid, which is the sid itself where it is linked with none."""
+    if final is None:
+        return rows.withColumn("c", F.col("sid"))
+    placed = rows.join(final.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    return placed.withColumn("c", F.coalesce("component", "sid")).drop("component")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, c) of every row; c is the same for linked rows, NULL without shingles."""
+    sets, levels, frequent = document_sets(docs)
+    hashes = sets.filter("n > 0").select("sid", "n", "least").dropDuplicates(["sid"])
+    hashes = hashes.select(F.explode("least").alias("token"), "sid", F.col("n").cast("int").alias("n"))
+    left = stored(_meeting(_with_components(hashes, None)))
     links = tried = final = None
     for number in range(ROUNDS):
-        pairs = _pivot_pairs(left, number)
+        pairs = _promising(_pivot_pairs(left, number), sets)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         new = stored(_verify(pairs, docs, sets))
@@ -368,10 +464,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
             break
         links = new if links is None else links.union(new)
         final = stored(components(links))
-        placed = left.drop("c").join(final.withColumnRenamed("node", "sid"), "sid", "left")
-        placed = placed.select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("c"))
-        split = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-        left = stored(placed.join(split, "token", "left_semi"))
+        left = stored(_meeting(_with_components(left.drop("c"), final)))
+    left = stored(_meeting(_with_components(_shared_prefixes(docs, levels, frequent), final)))
     sized = left.select("sid", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
     large = stored(sized.filter(F.col("size") >= LARGE))
     rest = stored(_across(left.join(large, "c", "left_anti")).join(tried, ["a", "b"], "left_anti"))
@@ -379,19 +473,21 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     if late.limit(1).count():
         final = stored(components(late if links is None else links.union(late)))
 
-    members = sets.withColumn("component", F.lit(None).cast("long")) if final is None else sets.join(final.withColumnRenamed("node", "sid"), "sid", "left")
-    members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sid").alias("c"))
-    named = members.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return members.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _with_components(sets.select("doc_id", "key", "n", "sid"), final).drop("sid")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group of near copies, with all its columns.
 
-    The row with the smallest doc_id stays, with other rows of that doc_id, which count as the
-    same document. Rows without words are groups of their own.
+    The row with the smallest doc_id stays; where no row of the group has one, the row whose
+    text has the smallest hash. Rows with the same doc_id and text count as the same document
+    and stay together. Rows without words are groups of their own.
     """
-    found = ngram_components(docs)
-    gone = found.filter(F.col("n_shingles") > 0).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    members = _grouped(docs).filter("c IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = members.groupBy("c").agg(F.min(order).alias("first"))
+    own = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    gone = stored(members.join(firsts, "c").filter(~own).select("doc_id", "key").distinct())
+    gone = gone.select(F.col("doc_id").alias(unused("gone_id", docs)), F.col("key").alias(unused("gone_key", docs)))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone[0]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone[1])
+    return docs.join(gone, same, "left_anti")
