@@ -12,6 +12,7 @@ every whole text and nothing else.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, with_text_column
-from .tokenizing import blocks, of_worker
+from .tokenizing import blocks
 
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_PER_LANGUAGE = 1500
@@ -66,8 +67,10 @@ def sampled(rows: DataFrame, label: str, each: int) -> DataFrame:
     return rows.filter(uniform < shares[F.col(label)])
 
 
+@functools.cache
 def _letters() -> np.ndarray:
-    return of_worker("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000))
+    """Which code points are letters: one megabyte, made once in a process."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000)
 
 
 @dataclass

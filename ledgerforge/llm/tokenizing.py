@@ -56,13 +56,14 @@ _OF_WORKER: dict = {}
 def of_worker(key, build):
     """The object built for `key` once in this Python worker, kept for its later tasks.
 
-    Being a function of an importable module it reaches tasks by reference, so that all of
-    them share this module's dictionary.
+    A worker serves one model after another, so it keeps one object only: another key lets go
+    of the one before. Being a function of an importable module it reaches tasks by
+    reference, so that all of them share this module's dictionary.
     """
-    found = _OF_WORKER.get(key)
-    if found is None:
-        found = _OF_WORKER[key] = build()
-    return found
+    if key not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[key] = build()
+    return _OF_WORKER[key]
 
 
 def blocks(rows: list[str], chars: int = BLOCK_CHARS):
