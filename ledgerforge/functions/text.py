@@ -23,6 +23,8 @@ PAYMENT_WORDS = {
     "bank transfer": "Bank", "net banking": "Bank", "other": "Other",
 }
 DATE_FORMATS = ("d-M-yyyy", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "M/d/yyyy")
+#: One character of white space of any script; Java's own class knows ASCII only.
+BLANK = r"[\s\x1C-\x1F\x85\p{Z}]"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE = r"^\+?[0-9]{7,15}$"
 CURRENCY = r"^[A-Z]{3}$"
@@ -51,7 +53,7 @@ def header_key(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space runs to one blank, ends trimmed, empty to NULL."""
-    return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(text, BLANK + "+", " ")), F.lit(""))
 
 
 def clean_text(text: Column) -> Column:
@@ -60,7 +62,7 @@ def clean_text(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Trimmed, lower case, single blanks; NULL is empty."""
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(text), BLANK + "+", " ")), F.lit(""))
 
 
 def normalize_amount(amount: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CURRENCY, EMAIL, PHONE
+from ..functions.text import BLANK, CURRENCY, EMAIL, PHONE
 
 # Limits of the canonical contract.
 MOST_MINOR = 99_999_999_999_999
@@ -39,7 +39,7 @@ def check_records(records: DataFrame) -> DataFrame:
     ]
     for field, limit in TEXT_LIMITS.items():
         if field in records.columns:
-            bad = (c(field) == "") | c(field).rlike(r"^\s|\s$")
+            bad = (c(field) == "") | c(field).rlike(rf"^{BLANK}|{BLANK}$")
             cases += [(bad, "INVALID_FIELD", field), (F.char_length(field) > limit, "TEXT_TOO_LONG", field)]
     if "balance_after_minor" in records.columns:
         cases.append((~c("balance_after_minor").between(-MOST_MINOR, MOST_MINOR), "BALANCE_OUT_OF_RANGE", "balance_after_minor"))

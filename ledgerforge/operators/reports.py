@@ -12,6 +12,8 @@ FINANCIAL = ("total_income_minor", "total_expense_minor", "net_cash_flow_minor",
 SECTIONS = ("financial_summary", "income_statement", "expense_summary", "cash_flow_summary", "category_report", "payment_mode_report", "account_summary", "business_health_report", "anomaly_report")
 COMBINED = "combined_executive_report"
 SENSITIVE = ("account_id", "business_id", "canonical_identity_hash", "identity_id", "path", "session_id", "session_token", "source_transaction_id", "sql", "stack_trace", "token", "transaction_id", "transaction_reference")
+#: Columns that only order a list.
+HIDDEN = ("mode_order",)
 TYPE_ALIASES = {"executive": COMBINED, "combined_executive": COMBINED}
 
 
@@ -21,7 +23,7 @@ def sections(figures: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: D
         "financial_summary": figures.select(*KEYS, *FINANCIAL),
         "income_statement": figures.select(*KEYS, F.col("total_income_minor").alias("income_minor"), F.col("total_expense_minor").alias("expense_minor"), "net_cash_flow_minor", "savings_rate"),
         "expense_summary": figures.select(*KEYS, "total_expense_minor", "income_expense_ratio", "largest_expense_minor", "smallest_expense_minor"),
-        "cash_flow_summary": figures.select(*KEYS, "opening_balance_minor", "closing_balance_minor", "net_cash_flow_minor"),
+        "cash_flow_summary": figures.select(*KEYS, "opening_balance_minor", "closing_balance_minor", "net_cash_flow_minor").join(trends(figures, daily, weekly, monthly), list(KEYS)),
         "category_report": categories,
         "payment_mode_report": modes,
         "account_summary": accounts,
@@ -31,6 +33,28 @@ def sections(figures: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: D
     return {name: table.select(*[c for c in table.columns if c in KEYS or c not in SENSITIVE]) for name, table in found.items()}
 
 
+def trends(figures: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: DataFrame) -> DataFrame:
+    """`trends` of every account: its days, weeks and months in order, as lists that grow with the calendar only."""
+    out, empty = figures.select(*KEYS), []
+    for grain, table in (("daily", daily), ("weekly", weekly), ("monthly", monthly)):
+        kinds = dict(table.dtypes)
+        names = ["period", *[c for c in table.columns if c not in (*KEYS, "period", *SENSITIVE)]]
+        row = F.struct(*[_json_value(c, kinds[c]).alias(c) for c in names])
+        out = out.join(table.groupBy(*KEYS).agg(F.sort_array(F.collect_list(row)).alias(grain)), list(KEYS), "left")
+        empty.append(F.coalesce(F.col(grain), F.array().cast(out.schema[grain].dataType)).alias(grain))
+    return out.select(*KEYS, F.struct(*empty).alias("trends"))
+
+
+def list_orders(name: str) -> list | None:
+    """How the rows of a list section follow each other: ascending values; None for other sections."""
+    return {
+        "category_report": [-F.col("amount_minor"), F.col("category")],
+        "payment_mode_report": [F.col("mode_order")],
+        "account_summary": [F.col(k) for k in KEYS],
+        "anomaly_report": [F.coalesce("date_detected", F.lit("")), *map(F.col, ("type", "severity", "metric_value", "affected_amount_minor", "affected_category"))],
+    }.get(name)
+
+
 def chart_rows(daily: DataFrame, weekly: DataFrame, monthly: DataFrame) -> DataFrame:
     """The three trends under one another, told apart by `grain`."""
     parts = [t.withColumn("grain", F.lit(g)) for g, t in (("daily", daily), ("weekly", weekly), ("monthly", monthly))]
@@ -39,6 +63,8 @@ def chart_rows(daily: DataFrame, weekly: DataFrame, monthly: DataFrame) -> DataF
 
 def _text(column: str, kind: str):
     value = F.col(column)
+    if kind.startswith(("struct", "array")):
+        return F.to_json(value)
     return F.date_format(value, "yyyy-MM-dd") if kind == "date" else value.cast("string")
 
 
@@ -53,7 +79,7 @@ def field_rows(section: str, table: DataFrame) -> DataFrame:
 def list_rows(section: str, table: DataFrame, order: list) -> DataFrame:
     """A list section as (section, row from 0, field, value). Windows run over groups or hits of one account."""
     kinds = dict(table.dtypes)
-    fields = sorted(c for c in table.columns if c not in KEYS)
+    fields = sorted(c for c in table.columns if c not in (*KEYS, *HIDDEN))
     nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order)) - 1
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _text(f, kinds[f]).alias("value")) for f in fields]))
     numbered = table.withColumn("_row", nth.cast("long"))
@@ -62,15 +88,10 @@ def list_rows(section: str, table: DataFrame, order: list) -> DataFrame:
 
 def report_rows(parts: dict[str, DataFrame]) -> DataFrame:
     """Every section as long rows."""
-    orders = {
-        "category_report": [F.col("amount_minor").desc(), "category"],
-        "payment_mode_report": ["mode_order"],
-        "account_summary": list(KEYS),
-        "anomaly_report": [F.coalesce("date_detected", F.lit("")), "type", "severity", "metric_value", "affected_amount_minor", "affected_category"],
-    }
     out = None
     for name in SECTIONS:
-        rows = list_rows(name, parts[name], orders[name]) if name in orders else field_rows(name, parts[name])
+        order = list_orders(name)
+        rows = list_rows(name, parts[name], order) if order else field_rows(name, parts[name])
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -90,14 +111,16 @@ def report_json(parts: dict[str, DataFrame], report_type: str = COMBINED, genera
     for name in chosen:
         table = parts[name]
         kinds = dict(table.dtypes)
-        texts = [F.to_json(F.struct(*[_json_value(c, kinds[c]).alias(c) for c in table.columns if c not in KEYS])).alias("_one")]
-        one = table.select(*KEYS, *texts)
-        if name in ("category_report", "payment_mode_report", "account_summary", "anomaly_report"):
-            one = one.groupBy(*KEYS).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("_one")), ","), F.lit("]")).alias("_one"))
+        texts = [F.to_json(F.struct(*[_json_value(c, kinds[c]).alias(c) for c in table.columns if c not in (*KEYS, *HIDDEN)])).alias("_one")]
+        order = list_orders(name)
+        one = table.select(*KEYS, *texts, F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order or [F.lit(0)])]).alias("_order"))
+        if order:
+            rows = F.transform(F.sort_array(F.collect_list(F.struct("_order", "_one"))), lambda r: r["_one"])
+            one = one.groupBy(*KEYS).agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("_one"))
             empty = "[]"
         else:
             empty = "{}"
-        base = base.join(one.withColumnRenamed("_one", f"_{name}"), list(KEYS), "left")
+        base = base.join(one.select(*KEYS, F.col("_one").alias(f"_{name}")), list(KEYS), "left")
         columns.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(f"_{name}"), F.lit(empty))))
     body = F.concat(F.lit('{"report_type":"' + report_type + '","generated_at":"'), stamp, F.lit('","sections":{'), F.concat_ws(",", *columns), F.lit("}}"))
     return base.select(*KEYS, F.lit(report_type).alias("report_type"), body.alias("json"))
@@ -107,6 +130,11 @@ def _json_value(column: str, kind: str):
     return F.col(column).cast("string") if kind.startswith("decimal") else F.col(column)
 
 
+def for_display(table: DataFrame) -> DataFrame:
+    """The columns that are no identifiers."""
+    return table.select(*[c for c in table.columns if not c.endswith("_id")])
+
+
 def write_json(reports: DataFrame, path: str) -> None:
     """The JSON texts, one a line."""
     reports.select("json").write.text(path)

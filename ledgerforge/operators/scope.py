@@ -57,6 +57,16 @@ def visible_to(df: DataFrame, memberships: DataFrame, user_id: str, roles=("owne
     return df.join(mine.select("business_id"), "business_id", "left_semi")
 
 
+def newest_first(transactions: DataFrame) -> DataFrame:
+    """O1: latest date first; of one date the latest number first. A range-partitioned sort."""
+    return transactions.orderBy(F.col("transaction_date").desc(), F.col("number").desc())
+
+
+def by_name(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows in the order of a name, such as businesses, accounts, members, budgets or chunks."""
+    return rows.orderBy(*names)
+
+
 def user_businesses(memberships: DataFrame, businesses: DataFrame) -> DataFrame:
     """Active memberships with their active businesses."""
     return active(memberships, "membership").join(active(businesses, "business").drop("status"), "business_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import format_minor, masked_identifier
 from ..operators import analytics as A
+from ..operators import reports as R
 from ..operators import scope as S
 from .shapes import duck, pct_sql, shape
 
@@ -98,6 +99,9 @@ for name, rows in (("account_summary", "quarter"), ("account_summary_all", "ledg
         FROM ({FIGURES_SQL.format(rows=rows)}) WHERE transaction_count > 0""",
         rows, "accounts",
     )
+register("newest_transactions", lambda spark, sf: S.newest_first(shape(spark, sf, "ledger")).select("business_id", "account_id", "transaction_id", "transaction_date", "amount_minor"), "SELECT business_id, account_id, transaction_id, CAST(transaction_date AS VARCHAR) AS transaction_date, amount_minor FROM ledger ORDER BY transaction_date DESC, number DESC", "ledger")
+register("accounts_by_name", lambda spark, sf: S.by_name(shape(spark, sf, "accounts"), "business_id", "account_id"), "SELECT * FROM accounts ORDER BY business_id, account_id", "accounts")
+register("display_transactions", lambda spark, sf: R.for_display(shape(spark, sf, "ledger")), "SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, amount_minor, direction, currency, category, payment_mode, number FROM ledger", "ledger")
 register("transaction_rows", lambda spark, sf: A.transaction_rows(shape(spark, sf, "ledger")), "SELECT business_id, account_id, CAST(transaction_date AS VARCHAR) AS transaction_date, amount_minor, direction, category, payment_mode FROM ledger", "ledger")
 register(
     "ledger_summary",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +13,12 @@ from ..operators.identity import batch_verdict, classify, classify_within, with_
 from ..sources.sinks import append, committed
 
 
-def ingest(batch: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:
+def attempt_of(run: str):
+    """The attempt of a batch in one run: a run that is repeated after a crash makes a new one."""
+    return F.concat(F.lit("att_"), F.col("batch_id").cast("string"), F.lit(f"_{run}" if run else ""))
+
+
+def ingest(batch: DataFrame, identities: DataFrame, run: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows to insert, verdict of each batch): contract, identity, stored state, the batch itself.
 
     A record that breaks the contract fails its batch, as a conflict does. Identifiers come
@@ -24,7 +31,7 @@ def ingest(batch: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFram
     verdicts = batch_verdict(judged)
     good = verdicts.filter(F.col("status") == "completed").select("batch_id")
     new = judged.filter(F.col("outcome") == "UNIQUE").join(good, "batch_id", "left_semi")
-    new = new.withColumns({"attempt_id": F.concat(F.lit("att_"), F.col("batch_id").cast("string")), "transaction_id": F.concat(F.lit("txn_"), F.col("canonical_identity_hash")), "identity_id": F.concat(F.lit("idn_"), F.col("canonical_identity_hash"))})
+    new = new.withColumns({"attempt_id": attempt_of(run), "transaction_id": F.concat(F.lit("txn_"), F.col("canonical_identity_hash")), "identity_id": F.concat(F.lit("idn_"), F.col("canonical_identity_hash"))})
     zero = F.lit(0).cast("long")
     failed = batch.join(broken, "batch_id", "left_semi").groupBy("batch_id").agg(F.count("*").alias("record_count"))
     refused = failed.select("batch_id", "record_count", zero.alias("inserted_count"), zero.alias("duplicate_count"), zero.alias("rejected_count"), F.lit("failed").alias("status"), F.lit("VALIDATION_FAILED").alias("code"))
@@ -35,7 +42,9 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
     """Watch a folder of Parquet batches and append what is new to the tables in `out_dir`.
 
     The stored identities are the state: no watermark is needed, and copies are found however
-    late they come. A replayed batch finds its own rows stored and inserts nothing.
+    late they come. A replayed batch finds its own rows stored and inserts nothing; one that
+    failed before its attempts were written left rows of an attempt that is never completed,
+    which no reader sees, and inserts them under a new one.
     """
     reader = spark.readStream.schema(schema)
     if files_a_trigger:
@@ -50,8 +59,9 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
                 raise
             fields = "identity_id string, business_id string, account_id string, source_system string, source_transaction_id string, currency string, transaction_date date, amount_minor long, direction string, canonical_identity_hash string"
             identities = session.createDataFrame([], fields)
-        new, verdicts = ingest(batch, identities)
-        attempts = verdicts.withColumns({"attempt_id": F.concat(F.lit("att_"), F.col("batch_id").cast("string")), "epoch": F.lit(epoch)})
+        name = uuid.uuid4().hex
+        new, verdicts = ingest(batch, identities, name)
+        attempts = verdicts.withColumns({"attempt_id": attempt_of(name), "epoch": F.lit(epoch)})
         # Both results come from one input; it is kept so that the second write judges as the first.
         kept_new, kept_attempts = new.persist(), attempts.persist()
         kept_attempts.count()

@@ -165,7 +165,17 @@ def test_reports(tx, tables):
         assert not set(table.columns) & (set(R.SENSITIVE) - {"business_id", "account_id"})
     report = json.loads(one(R.report_json(parts, generated_at="2026-03-01T00:00:00Z"), account_id="a")["json"])
     assert report["sections"]["income_statement"]["savings_rate"] == "-83.33" and len(report["sections"]["category_report"]) == 3
+    amounts = [r["amount_minor"] for r in report["sections"]["category_report"]]
+    assert amounts == sorted(amounts, reverse=True) and "mode_order" not in json.dumps(report)
+    dates = [r.get("date_detected") or "" for r in report["sections"]["anomaly_report"]]
+    assert dates == sorted(dates)
+    trends = report["sections"]["cash_flow_summary"]["trends"]
+    assert list(trends) == ["daily", "weekly", "monthly"]
+    for grain, table in (("daily", tables["daily"]), ("weekly", weekly), ("monthly", tables["monthly"])):
+        own = sorted(str(r["period"]) for r in table.filter("account_id = 'a'").collect())
+        assert own and [r["period"] for r in trends[grain]] == own
     empty = json.loads(one(R.report_json(parts, "executive", "x"), account_id="empty")["json"])
+    assert empty["sections"]["cash_flow_summary"]["trends"] == {"daily": [], "weekly": [], "monthly": []}
     assert empty["sections"]["category_report"] == [] and empty["report_type"] == R.COMBINED
     rows = R.report_rows(parts).filter("account_id = 'a' AND section = 'income_statement'").collect()
     assert {r["field"]: r["value"] for r in rows} == {"income_minor": "120000", "expense_minor": "220000", "net_cash_flow_minor": "-100000", "savings_rate": "-83.33"}
@@ -270,6 +280,37 @@ def test_stream_of_batches(spark, tmp_path):
     assert again.count() == 0
 
 
+def test_replay_after_a_crash_shows_rows_once(spark, tmp_path, monkeypatch):
+    """A run that ends between the ledger and its attempts is repeated by the stream."""
+    incoming, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    spark.createDataFrame(batch_rows((1, 0, "A", 10), (1, 1, "B", 20), (1, 2, "C", 30)), BATCH).coalesce(1).write.parquet(incoming)
+
+    def half(accepted, attempts, folder):
+        accepted.select(*[c for c in sinks.LEDGER if c in accepted.columns]).write.mode("append").parquet(f"{folder}/ledger")
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(ING, "append", half)
+        with pytest.raises(Exception):
+            ING.ingest_stream(spark, incoming, out, BATCH, check).awaitTermination()
+    ING.ingest_stream(spark, incoming, out, BATCH, check).awaitTermination()
+    assert spark.read.parquet(out + "/ledger").count() == 6
+    assert sorted(r["amount_minor"] for r in sinks.committed(spark, out, "ledger").collect()) == [10, 20, 30]
+
+
+def test_white_space_of_any_script(spark):
+    from ledgerforge.functions.text import collapse, normalize_text
+    from ledgerforge.operators.contract import check_records
+
+    texts = {"\tRent\n": "rent", "\u00a0A\u2028 \u0085b ": "a b", " \u3000": "", None: ""}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize_text(F.col("t")).alias("n"), collapse(F.col("t")).alias("c"))
+    for r in rows.collect():
+        assert r["n"] == texts[r["t"]] and (r["c"] or "").lower() == texts[r["t"]]
+    records = [("2026-01-02", 5, "income", c) for c in ("Rent", "\u00a0Rent", "Rent\u2003", "Rent a")]
+    found = check_records(spark.createDataFrame(records, "transaction_date string, amount_minor long, direction string, category string")).collect()
+    assert {r["category"]: r["code"] for r in found} == {"Rent": None, "\u00a0Rent": "INVALID_FIELD", "Rent\u2003": "INVALID_FIELD", "Rent a": None}
+
+
 def test_uncommitted_rows_are_not_seen(spark, tmp_path):
     folder = str(tmp_path / "t")
     rows = spark.createDataFrame([("t1", "good"), ("t2", "lost")], "transaction_id string, attempt_id string")
