@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,16 @@ LEDGER = ("transaction_id", "business_id", "account_id", "transaction_date", "am
 IDENTITY = ("identity_id", "transaction_id", "attempt_id", "business_id", "account_id", "source_system", "source_transaction_id", "currency", "transaction_date", "amount_minor", "direction", "canonical_identity_hash")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one that `spark.checkpoint.dir` names; only a local session may do without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "ledgerforge-stored")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def append(accepted: DataFrame, attempts: DataFrame, folder: str) -> None:
     """Write ledger and identity rows first and the attempts' rows last: these are the commit mark."""
     accepted.select(*[c for c in LEDGER if c in accepted.columns]).write.mode("append").parquet(f"{folder}/ledger")
