@@ -45,6 +45,15 @@ def with_text_column(docs: DataFrame, make, kind: pa.DataType, name: str) -> Dat
     return docs.mapInArrow(add, schema)
 
 
+def slices(batches, column: str, most: int):
+    """The batches cut into runs of rows with about `most` bytes of text; at least one row each."""
+    for batch in batches:
+        size = batch.column(column).nbytes
+        rows = max(1, batch.num_rows * most // max(1, size))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def scratch_uri(spark: SparkSession) -> str:
     """A new folder URI below the session's shared checkpoint folder.
 
@@ -53,10 +62,14 @@ def scratch_uri(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "ledgerforge-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
+        # A bare path belongs to the cluster's default file system.
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        root = "file://" + os.path.abspath(root) if default.startswith("file:") else default.rstrip("/") + "/" + root.lstrip("/")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, with_text_column
+from .common import texts, unused, with_text_column
 from .tokenizing import blocks
 
 #: Documents of each language that the model is fitted on, in expectation.
@@ -295,4 +295,5 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
         found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in label_spans(model, rows[begin:end])]
         return [None if lang == UNKNOWN else share for lang, _, _, share in found]
 
-    return with_text_column(docs, shares, pa.float64(), "_lang_share").filter(F.col("_lang_share") >= least).drop("_lang_share")
+    name = unused("lang_share", docs)
+    return with_text_column(docs, shares, pa.float64(), name).filter(F.col(name) >= least).drop(name)

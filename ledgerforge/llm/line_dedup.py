@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shuffle_partitions, stored, texts
+from .common import maybe_broadcast, shuffle_partitions, stored, texts, unused
 from .components import components
 
 EDITS = 2
@@ -338,6 +338,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     place). Null and empty texts have no line but, with `least` 0, an empty one. Rows of the same doc_id count as one document, so
     lines at equal places are kept alike. Columns besides doc_id and text are ignored.
     """
+    return placed_classes(docs, edits, least, blank).drop("line_hash")
+
+
+def placed_classes(docs: DataFrame, edits: int, least: int, blank: bool) -> DataFrame:
+    """`line_classes` plus the hash of each line, which tells lines at equal places of equal identifiers apart."""
     links = line_links(docs, edits, least, blank)
     both = links.select("a").union(links.select("b")).withColumnRenamed("a", "id")
     degrees = both.groupBy("id").agg(F.count("*").alias("n_links"))
@@ -345,7 +350,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     places = lines_of(docs, least, blank).select("doc_id", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
     placed = stored(
         places.join(maybe_broadcast(linked, linked.count()), "id", "left").select(
-            "doc_id", "line_no", "n_chars", F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+            "doc_id", "line_no", "n_chars", F.col("id").alias("line_hash"), F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
         )
     )
     firsts = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -357,6 +362,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
         F.col("first.line_no").alias("class_line_no"),
         "n_links",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        "line_hash",
     )
 
 
@@ -367,14 +373,16 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = 0)
 
     All columns stay; `text`, and `n_chars` where it exists, are those of the lines left.
     A document that loses every line goes, blank ones aside; one that had none to lose stays as it is.
+    Where identifiers are missing or repeat, a line goes from the rows that have it at its place.
     """
-    gone = line_classes(docs, edits, least, blank=False).filter("NOT kept")
-    by_document = gone.groupBy(F.col("doc_id").alias("_gone_from")).agg(F.collect_set("line_no").alias("_gone"))
-    held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_from")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col("_gone"), k))
-    held = held.withColumn("_kept", kept).filter(F.col("_gone").isNull() | F.exists("_kept", _says))
-    held = held.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    gone_from, gone, kept = (unused(name, docs) for name in ("gone_from", "gone", "kept"))
+    repeated = placed_classes(docs, edits, least, blank=False).filter("NOT kept")
+    by_document = repeated.groupBy(F.col("doc_id").alias(gone_from)).agg(F.collect_set(F.struct("line_no", "line_hash")).alias(gone))
+    held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_from)), "left")
+    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col(gone), F.struct(k.alias("line_no"), F.xxhash64(line).alias("line_hash"))))
+    held = held.withColumn(kept, left).filter(F.col(gone).isNull() | F.exists(kept, _says))
+    held = held.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        held = held.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(changed))
+        held = held.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(changed))
     return held.select(*docs.columns)

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
-from .tokenizing import WordEncoder, of_worker
+from .common import slices, stored, texts
+from .tokenizing import BLOCK_CHARS, WordEncoder, of_worker
 
 CAPACITY = 2048
 #: Fillings looked at for one bin before the best so far is taken.
@@ -139,7 +139,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: i
     def cut(batches):
         encoder = of_worker(("WordEncoder", tokenizer_path), lambda: WordEncoder(shared.value))
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, "text", BLOCK_CHARS):
             rows = []
             encoded = encoder(batch.column("text").to_pylist())
             for doc_id, row_no, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), encoded):

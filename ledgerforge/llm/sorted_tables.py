@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_uri, shuffle_partitions, stored, texts
-from .tokenizing import ByteEncoder, of_worker
+from .common import scratch_uri, shuffle_partitions, slices, stored, texts
+from .tokenizing import BLOCK_CHARS, ByteEncoder, of_worker
 
 MAGIC = b"LFSSTAB1"
 BLOCK_BYTES = 64 * 1024
@@ -225,7 +225,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shards:
         encoder = of_worker(("ByteEncoder", tokenizer_path), lambda: ByteEncoder(shared.value))
         width = 2 if encoder.vocabulary.tokenizer.get_vocab_size() <= 1 << 16 else 4
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches, "text", BLOCK_CHARS):
             ids = [np.frombuffer(i + end, "<u4").astype(f"<u{width}").tobytes() for i in encoder(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("bucket"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())],

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, with_text_column
+from .common import texts, unused, with_text_column
 from .language_id import fold_of, sampled
 from .tokenizing import GENERATION_BYTES, Remembered, of_worker
 
@@ -239,4 +239,5 @@ def keep_below(docs: DataFrame, model: Classifier, limit: float) -> DataFrame:
         scorer = of_worker(("toxicity", name), lambda: Scorer(shared.value))
         return [scorer(text) for text in rows]
 
-    return with_text_column(docs, scores, pa.float64(), "_toxic_score").filter(F.col("_toxic_score") < limit).drop("_toxic_score")
+    column = unused("toxic_score", docs)
+    return with_text_column(docs, scores, pa.float64(), column).filter(F.col(column) < limit).drop(column)

@@ -401,3 +401,59 @@ def test_crowded_segments_lose_no_link(spark, monkeypatch):
     for row in found:
         own = lines[row["doc_id"]]
         assert row["n_links"] == sum(distance(own, b) <= limit(min(len(own), len(b))) for b in lines if b != own and abs(len(b) - len(own)) <= 2), own
+
+
+def test_a_second_model_frees_the_first():
+    from ledgerforge.llm import tokenizing
+
+    first = tokenizing.of_worker("one", object)
+    assert tokenizing.of_worker("one", object) is first
+    tokenizing.of_worker("two", object)
+    assert list(tokenizing._OF_WORKER) == ["two"]
+
+
+def test_remembered_pieces_are_bounded():
+    from ledgerforge.llm.tokenizing import ENTRY_BYTES, Pieces
+
+    pieces = Pieces(lambda new: [p.encode() for p in new], most=10 * ENTRY_BYTES)
+    for k in range(40):
+        assert pieces.values([f"a{k}", f"b{k}", "same"]) == [f"a{k}".encode(), f"b{k}".encode(), b"same"]
+        assert len(pieces.new) <= 12 and len(pieces.old) <= 12
+
+
+def test_spans_are_the_best_labelling():
+    """Viterbi against all labellings of short documents."""
+    import itertools
+
+    import numpy as np
+
+    from ledgerforge.llm.language_id import viterbi
+
+    draw = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = draw.integers(1, 6, 3)
+        doc = np.repeat(np.arange(3), sizes)
+        scores = draw.normal(0, 3, (len(doc), 3))
+        labels = viterbi(scores, doc, 2.0)
+
+        def total(own, chosen):
+            return sum(own[k, c] for k, c in enumerate(chosen)) - 2.0 * sum(a != b for a, b in zip(chosen, chosen[1:]))
+
+        for k in range(3):
+            own, chosen = scores[doc == k], labels[doc == k].tolist()
+            best = max(total(own, c) for c in itertools.product(range(3), repeat=len(own)))
+            assert abs(total(own, chosen) - best) < 1e-9
+
+
+def test_links_through_rows_without_identifier(spark):
+    """1 and 3 are linked only over a text whose row has no identifier; copies without any identifier are thinned too."""
+    from ledgerforge.llm.ngram_join import first_of_each, ngram_components
+
+    words = [f"w{k}" for k in range(60)]
+    middle, low, high = words, words[:50] + [f"x{k}" for k in range(3)], [f"y{k}" for k in range(3)] + words[10:]
+    rows = [(1, " ".join(low)), (None, " ".join(middle)), (3, " ".join(high)), (None, "one text without any identifier here"), (4, "quite another text of six words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_components(docs).collect()}
+    assert found[1, 49] == 1 and found[3, 49] == 1 and found[None, 56] == 1 and found[4, 2] == 4
+    kept = sorted(r["text"] for r in first_of_each(docs).collect())
+    assert kept == sorted([" ".join(low), rows[3][1], rows[4][1]])
