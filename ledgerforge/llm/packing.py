@@ -1,13 +1,13 @@
 """Operator 7: best-fit packing by bin completion on the histogram of piece lengths.
 
 Pieces of one length are interchangeable, so the search works on counts by length: at most
-`capacity` rows, however large the corpus. It repeatedly completes the bin of the largest
-piece left: fillings of the remaining room are enumerated longest first, dominated ones
-(where one member could be swapped for a longer piece that still fits) are skipped,
-branches whose waste passes the bound are pruned, and the best-fit filling stands as the
-incumbent. A chosen filling is repeated as often as the counts allow. The best-fit solution
-of the whole histogram is the incumbent of the search; whichever uses fewer bins wins, and
-equality with the volume bound ends it.
+`capacity` rows, however large the corpus. It completes the bin of the largest piece left:
+fillings of the remaining room are enumerated longest first, dominated ones (where one member
+could be swapped for a longer piece that still fits) are skipped, and branches whose waste
+passes the bound are pruned. A chosen filling is repeated as often as the counts allow. The
+search branches over bins as well: it goes back to a bin and tries fewer repeats and its other
+undominated fillings while the waste so far leaves room for fewer bins than the incumbent has.
+The best-fit solution is the first incumbent; a lower bound of the bins ends the search.
 
 Spark then deals concrete pieces to the planned places: pieces are numbered within
 (length, salt), the few salts are summed, and each number falls into one planned range.
@@ -29,6 +29,8 @@ from .tokenizing import BLOCK_CHARS, WordEncoder, of_worker
 CAPACITY = 2048
 #: Fillings looked at for one bin before the best so far is taken.
 NODES = 4000
+#: Times the search goes back to a bin before the best solution so far is taken.
+TURNS = 1000
 #: Pieces numbered together; only sets how finely hot lengths are split.
 ROWS_PER_SALT = 20_000
 
@@ -92,39 +94,164 @@ def _complete(room: int, lengths: np.ndarray, counts: np.ndarray, nodes: int) ->
     return best
 
 
-def _fill_all(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[Filling, int]]:
-    """Bins as (filling, repeats); `nodes` of 0 gives the best-fit solution."""
-    lengths = np.array(sorted(l for l, n in histogram.items() if n > 0), np.int64)
-    counts = np.array([histogram[int(l)] for l in lengths], np.int64)
+def _undominated(room: int, lengths: np.ndarray, counts: np.ndarray, most_waste: int, nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(waste, filling) of the undominated fillings of `room` within `most_waste`, least waste first.
+
+    A filling is dominated where a piece left out would still fit, or would fit in place of a
+    shorter member. At most `nodes` are looked at.
+    """
+    volume = np.cumsum(lengths * counts)
+    found, left = [], nodes
+
+    def extend(room: int, at: int, chosen: list[tuple[int, int]], skipped: int, limit: int) -> None:
+        nonlocal left
+        while left > 0:
+            at = min(at, int(np.searchsorted(lengths, room, side="right")) - 1)
+            if at < 0:
+                if room < limit:
+                    found.append((room, chosen))
+                return
+            if room - int(volume[at]) >= limit:
+                return
+            length, there = int(lengths[at]), int(counts[at])
+            swap = min(limit, skipped - length) if skipped else limit
+            for take in range(min(there, room // length), 0, -1):
+                left -= 1
+                out = take < there
+                extend(room - take * length, at - 1, [*chosen, (at, take)], length if out else skipped, min(swap, length) if out else swap)
+            skipped, limit = length, min(limit, length)
+            at -= 1
+
+    extend(room, len(lengths) - 1, [], 0, most_waste + 1)
+    return sorted(found, key=lambda f: f[0])
+
+
+def least_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins for a histogram with ascending lengths.
+
+    Pieces above half the capacity have a bin each. For every length k up to there, those above
+    capacity - k leave no room for pieces of k or more, so these need what the other bins leave.
+    """
+    half = int(np.searchsorted(lengths, capacity // 2, side="right"))
+    pieces, volume = (np.append(0, np.cumsum(v)) for v in (counts, lengths * counts))
+    big = int(pieces[-1] - pieces[half])
+    shared = np.searchsorted(lengths, capacity - lengths[:half], side="right")
+    free = (pieces[shared] - pieces[half]) * capacity - (volume[shared] - volume[half])
+    over = volume[half] - volume[:half] - free
+    return max(-(-int(volume[-1]) // capacity), big, *(big + -(-over // capacity)).tolist())
+
+
+def _step(top: int, fill: list[tuple[int, int]], counts: np.ndarray) -> tuple[dict[int, int], int]:
+    """(pieces by index of a bin with piece `top` and `fill`, how often the counts allow it)."""
+    need = Counter(dict(fill))
+    need[top] += 1
+    return need, min(int(counts[k]) // n for k, n in need.items())
+
+
+def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """The best-fit solution as (filling, repeats): the longest pieces that fit, bin by bin."""
+    lengths, counts = _columns(histogram)
     bins: list[tuple[Filling, int]] = []
     while len(lengths):
-        counts[-1] -= 1
-        room = capacity - int(lengths[-1])
-        fill = _complete(room, lengths, counts, nodes) if nodes else _best_fit_fill(room, lengths, counts)
-        counts[-1] += 1
-        need = Counter(dict(fill))
-        need[len(lengths) - 1] += 1
-        times = min(int(counts[k]) // n for k, n in need.items())
+        top = len(lengths) - 1
+        counts[top] -= 1
+        fill = _best_fit_fill(capacity - int(lengths[top]), lengths, counts)
+        counts[top] += 1
+        need, times = _step(top, fill, counts)
         for k, n in need.items():
             counts[k] -= n * times
-        bins.append((tuple(sorted(((int(lengths[k]), n) for k, n in need.items()), reverse=True)), times))
+        bins.append((_named(need, lengths), times))
         lengths, counts = lengths[counts > 0], counts[counts > 0]
     return bins
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
+def _columns(histogram: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array(sorted(l for l, n in histogram.items() if n > 0), np.int64)
+    return lengths, np.array([histogram[int(l)] for l in lengths], np.int64)
+
+
+def _named(need: dict[int, int], lengths: np.ndarray) -> Filling:
+    return tuple(sorted(((int(lengths[k]), n) for k, n in need.items()), reverse=True))
+
+
+def _branch(histogram: dict[int, int], capacity: int, nodes: int, turns: int, best: int) -> list[tuple[Filling, int]] | None:
+    """Bins for the histogram, fewer than `best` of them, or None where none were found.
+
+    Depth first over bins: each one is filled around the largest piece left, first with the
+    filling of least waste, repeated as often as the counts allow. Going back to a bin tries fewer
+    repeats, down to one, and then its other undominated fillings, by waste. A branch ends
+    when its waste exceeds what fewer bins than `best` leave, or by the lower bound of the rest.
+    The search ends at the lower bound of all, or after going back `turns` times; without that
+    end the result has the fewest bins possible, as far as `nodes` were enough for each bin.
+    """
+    lengths, counts = _columns(histogram)
+    volume, least = int((lengths * counts).sum()), least_bins(lengths, counts, capacity)
+    answer = None
+
+    def choices(lengths: np.ndarray, counts: np.ndarray, wasted: int):
+        top = len(lengths) - 1
+        room = capacity - int(lengths[top])
+        rest = counts.copy()
+        rest[top] -= 1
+        first = _complete(room, lengths, rest, nodes)
+
+        def repeats(fill: list[tuple[int, int]]):
+            need, times = _step(top, fill, counts)
+            waste = room - sum(int(lengths[k]) * n for k, n in fill)
+            while times:
+                yield need, times, waste
+                times //= 2
+
+        yield from repeats(first)
+        kept = rest > 0
+        at = np.flatnonzero(kept)
+        spare = (best - 1) * capacity - volume - wasted
+        for _, fill in _undominated(room, lengths[kept], rest[kept], min(room, spare), nodes):
+            fill = [(int(at[k]), n) for k, n in fill]
+            if dict(fill) != dict(first):
+                yield from repeats(fill)
+
+    stack = [(lengths, counts, 0, 0, choices(lengths, counts, 0))]
+    path: list[tuple[Filling, int]] = []
+    fresh = True
+    while stack and turns > 0 and best > least:
+        lengths, counts, used, wasted, more = stack[-1]
+        turns -= not fresh
+        step = next(more, None)
+        fresh = False
+        if step is None:
+            stack.pop()
+            path = path[:-1]
+            continue
+        need, times, waste = step
+        now, lost = used + times, wasted + waste * times
+        if lost > (best - 1) * capacity - volume:
+            continue
+        rest = counts.copy()
+        for k, n in need.items():
+            rest[k] -= n * times
+        kept = rest > 0
+        here = (_named(need, lengths), times)
+        if not kept.any():
+            best, answer = now, [*path, here]
+        elif now + least_bins(lengths[kept], rest[kept], capacity) < best:
+            path.append(here)
+            stack.append((lengths[kept], rest[kept], now, lost, choices(lengths[kept], rest[kept], lost)))
+            fresh = True
+    return answer
+
+
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, turns: int = TURNS) -> list[tuple[Filling, int]]:
     """Fillings with their repeats that hold every piece of the histogram.
 
     Work and result depend on the number of different lengths, at most `capacity`.
     """
     if any(not 0 < l <= capacity for l in histogram):
         raise ValueError("a piece must have from 1 to `capacity` tokens")
-    incumbent = _fill_all(histogram, capacity, 0)
-    least = -(-sum(l * n for l, n in histogram.items()) // capacity)
-    if sum(times for _, times in incumbent) == least:
-        return incumbent
-    searched = _fill_all(histogram, capacity, nodes)
-    return min((incumbent, searched), key=lambda bins: sum(times for _, times in bins))
+    if not any(histogram.values()):
+        return []
+    incumbent = _best_fit(histogram, capacity)
+    return _branch(histogram, capacity, nodes, turns, sum(times for _, times in incumbent)) or incumbent
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -234,14 +234,50 @@ def test_plans_hold_every_piece(seed):
         for length, n in filling:
             held[length] += n * times
     assert held == histogram
-    best_fit = sum(t for _, t in packing._fill_all(histogram, 100, 0))
+    best_fit = sum(t for _, t in packing._best_fit(histogram, 100))
     assert sum(t for _, t in bins) <= best_fit
 
 
 def test_completion_beats_best_fit():
     histogram = {70: 300, 69: 300, 66: 300, 100: 50, 103: 50, 34: 100}
     least = -(-sum(l * n for l, n in histogram.items()) // 204)
-    assert least <= sum(t for _, t in packing.plan_bins(histogram, 204)) <= sum(t for _, t in packing._fill_all(histogram, 204, 0))
+    assert least <= sum(t for _, t in packing.plan_bins(histogram, 204)) <= sum(t for _, t in packing._best_fit(histogram, 204))
+
+
+def fewest_bins(pieces, capacity):
+    """By trying every bin for every piece."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(at, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if at == len(pieces):
+            best = len(bins)
+            return
+        for room in {b for b in bins if b + pieces[at] <= capacity}:
+            k = bins.index(room)
+            place(at + 1, [*bins[:k], room + pieces[at], *bins[k + 1 :]])
+        place(at + 1, [*bins, pieces[at]])
+
+    place(0, [])
+    return best
+
+
+def test_branching_over_bins_finds_the_fewest():
+    import random
+
+    dice = random.Random(11)
+    missed_by_best_fit = 0
+    for _ in range(300):
+        capacity = dice.choice([20, 50, 100])
+        pieces = [dice.randint(capacity // 6, capacity * dice.choice([5, 7, 10]) // 10) for _ in range(dice.randint(1, 10))]
+        histogram, fewest = Counter(pieces), fewest_bins(pieces, capacity)
+        assert packing.least_bins(*packing._columns(histogram), capacity) <= fewest
+        assert sum(t for _, t in packing.plan_bins(histogram, capacity)) == fewest
+        missed_by_best_fit += sum(t for _, t in packing._best_fit(histogram, capacity)) > fewest
+    assert missed_by_best_fit
 
 
 def test_fingerprints(docs, texts):
