@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, shuffle_partitions, stored, texts, unused
+from .common import maybe_broadcast, shuffle_partitions, slices, stored, texts, unused
 from .components import components
 
 WORDS = 5
@@ -59,8 +59,9 @@ CELL_SETS = 300
 LARGE = 50
 #: Rounds of pivots, and pivots a set is compared with in one.
 ROUNDS, PIVOTS = 3, 4
-#: Bytes of text cut into words together; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text cut into words together, and handed on together; a longer text is on its own.
+#: Words of a block take some twenty times its bytes, the sets handed on about twice theirs.
+BLOCK_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -77,7 +78,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted different shingle hashes of each text of an Arrow string column, some megabytes at a time."""
+    """Sorted different shingle hashes of each text of an Arrow string column, a block at a time."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -195,7 +196,7 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
 
     def scan(batches):
         sketch = np.zeros(size, np.uint32)
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(batch.column("text"))
             rows = len(sets)
             if rows:
@@ -254,7 +255,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, frequent: int) -> DataFrame:
 
     def cut(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             columns = [[], [], [], [], []]
             for hashes in shingle_sets(batch.column("text")):
                 n = len(hashes)
@@ -300,7 +301,7 @@ def _hashes(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     # Keys are hashes; a set is known by its own id.
     def pack(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             own = [(sid, s) for sid, s in zip(batch.column("sid").to_pylist(), shingle_sets(batch.column("text"))) if set_id(s) == sid]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sid", "hashes"])
 
