@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 SIZE, OVERLAP, K = 500, 50, 4
+#: Parts in which the chunks of every group meet questions and are ranked.
+SALTS = 32
 NOTHING = "No relevant information was found."
 
 
@@ -54,14 +56,16 @@ def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_co
 def top_k(questions: DataFrame, chunks: DataFrame, group: str, k: int = K) -> DataFrame:
     """The k chunks nearest to each question within its group, by Euclidean distance.
 
-    Questions (few: one a request) meet the chunks of their group. Each salt of chunks keeps
-    its own k best before the final ranking, so no task ranks a whole group. Ties go by
-    chunk id.
+    Questions (few beside the chunks) are repeated for each salt and meet the chunks of
+    their group and that salt, so a group that holds most chunks is dealt over many tasks.
+    Each salt keeps its own k best before the final ranking. Ties go by chunk id.
     """
-    q = questions.select(F.col("question_id"), group, F.col("embedding").alias("_q"))
-    pairs = chunks.select("chunk_id", group, F.col("embedding").alias("_c")).join(q, group)
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    q = questions.select(F.col("question_id"), group, F.col("embedding").alias("_q"), every.alias("_salt"))
+    pairs = chunks.select("chunk_id", group, F.col("embedding").alias("_c"), salt.alias("_salt")).join(q, [group, "_salt"])
     square = F.aggregate(F.zip_with("_q", "_c", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
-    scored = pairs.select("question_id", group, "chunk_id", F.sqrt(square).alias("distance"), F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("_salt"))
+    scored = pairs.select("question_id", group, "chunk_id", F.sqrt(square).alias("distance"), "_salt")
     part = Window.partitionBy("question_id", "_salt").orderBy("distance", "chunk_id")
     best = scored.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= k)
     whole = Window.partitionBy("question_id").orderBy("distance", "chunk_id")
