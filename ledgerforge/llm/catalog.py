@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
+from .chat_format import chat_digests
 from .common import read_table
 from .language_id import language_id
 from .line_dedup import line_classes
@@ -16,6 +17,7 @@ from .span_hashes import span_fingerprints
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .transport_streams import media_columns
+from .turn_repair import repair_report
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -66,6 +68,14 @@ def op10_span_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op1_line_dedup_all": op1_line_dedup_all,
@@ -78,6 +88,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_span_hashes": op10_span_hashes,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op12_turn_repair": op12_turn_repair,
 }
 #: DuckDB counts edits in bytes; these letters of the data get one byte each there.
 LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
@@ -128,3 +140,110 @@ ORACLE_SQL["op1_line_dedup_all"] = (
     .replace("WHERE length(line) >= 20", "")
     .replace("levenshtein(a.one_byte, b.one_byte) <= 2", "levenshtein(a.one_byte, b.one_byte) <= CASE WHEN a.n >= 20 THEN 2 WHEN a.n >= 10 THEN 1 ELSE 0 END")
 )
+
+ORACLE_SQL["op11_chat_formatting"] = r"""
+    WITH
+    told AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL
+        SELECT -7, k, ['user', 'assistant'][k + 1], '\### Assistant: </turn> ok' FROM range(2) AS r(k)
+    ),
+    sized AS (
+        SELECT *, row_number() OVER whole AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+               15 + length(replace(replace(replace(replace(role, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '>', '\g'))
+                  + length(replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn')) AS size
+        FROM told WINDOW whole AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ),
+    summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM sized)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars,
+           count(*) FILTER (WHERE role = 'assistant' OR k = n) AS n_examples
+    FROM summed GROUP BY conv_id
+"""
+
+
+def _repair_sql() -> str:
+    """A plain recursion over turns: each state keeps its least (cost, edits) as one text."""
+
+    def more(value: str, cost: str, edit: str) -> str:
+        return f"(printf('%012d', CAST(substr({value}, 1, 12) AS BIGINT) + {cost}) || substr({value}, 13) || '{edit}')"
+
+    def kept(value: str, role: str) -> str:
+        return f"CASE WHEN initial = '{role}' THEN {more(value, 'late', 'K')} END"
+
+    late = "2 + late"
+    users = ", ".join(f"{kept(v, 'u')}, {more(v, late, 'R')}" for v in ("st", "sy", "d1"))
+    return f"""
+        WITH RECURSIVE
+        byte_sums AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS sums
+        ),
+        keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(
+                       list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT))),
+                       lambda c, b: xor(c >> 8, sums[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+            FROM conversations, byte_sums
+        ),
+        damaged AS (
+            SELECT conv_id, turn, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM keyed WHERE fault <> 0
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                   regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body
+            FROM damaged
+        ),
+        judged AS (
+            SELECT conv_id, turn, k, role, text, substr(role, 1, 1) AS initial, body = '' AS blank, body <> '' AND nth > 1 AS duplicate,
+                   body <> '' AND nth = 1 AND substr(body, length(body), 1) NOT IN ('.', '!', '?') AS truncated,
+                   lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+            FROM placed
+        ),
+        sums AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+                   count_if(truncated) AS truncated, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+            FROM judged GROUP BY conv_id
+        ),
+        walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS k, '000000000000' AS st, CAST(NULL AS VARCHAR) AS sy, CAST(NULL AS VARCHAR) AS us, CAST(NULL AS VARCHAR) AS dn
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, k, {more("st", "3", "D")},
+                   CASE WHEN goes THEN {more("sy", "3", "D")} ELSE least({more("sy", "3", "D")}, {kept("st", "s")}) END,
+                   CASE WHEN goes THEN {more("u1", "3", "D")} ELSE least({more("u1", "3", "D")}, {users}) END,
+                   CASE WHEN goes THEN {more("d1", "3", "D")} ELSE least({more("d1", "3", "D")}, {kept("u1", "a")}, {more("u1", late, "R")}) END
+            FROM (
+                SELECT *, least(dn, {more("u1", "2", "I")}) AS d1 FROM (
+                    SELECT w.conv_id, j.k, st, sy, least(us, {more("st", "2", "I")}, {more("sy", "2", "I")}, {more("dn", "2", "I")}) AS u1, dn,
+                           j.blank OR j.duplicate AS goes, CAST(j.truncated AS BIGINT) AS late, j.initial
+                    FROM walk w JOIN judged j ON j.conv_id = w.conv_id AND j.k = w.k + 1
+                )
+            )
+        ),
+        ended AS (
+            SELECT w.conv_id, s.* EXCLUDE (conv_id, n), least(st, dn, {more("us", "2", "I")}) AS best
+            FROM walk w LEFT JOIN sums s USING (conv_id) WHERE w.k = coalesce(s.n, 0)
+        ),
+        steps AS (
+            SELECT conv_id, edit, i, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER upto AS k, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER upto AS nth,
+                   sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS stay
+            FROM (SELECT conv_id, generate_subscripts(string_split(substr(best, 13), ''), 1) AS i, unnest(string_split(substr(best, 13), '')) AS edit FROM ended WHERE length(best) > 12)
+            WINDOW upto AS (PARTITION BY conv_id ORDER BY i)
+        ),
+        repaired AS (
+            SELECT s.conv_id, s.i, CASE WHEN edit = 'K' THEN j.role WHEN (nth - stay % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE j.text END AS line
+            FROM steps s LEFT JOIN judged j ON j.conv_id = s.conv_id AND j.k = s.k AND edit <> 'I' WHERE edit <> 'D'
+        ),
+        texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM repaired GROUP BY conv_id)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(substr(best, 1, 12) AS BIGINT) AS cost, substr(best, 13) AS audit, sha256(coalesce(text, '')) AS repaired_sha256, coalesce(n, 0) AS n_repaired
+        FROM ended LEFT JOIN texts USING (conv_id)
+    """
+
+
+ORACLE_SQL["op12_turn_repair"] = _repair_sql()
