@@ -12,6 +12,7 @@ from .language_id import language_id
 from .line_dedup import line_classes
 from .ngram_join import ngram_components
 from .packing import packed_documents
+from .phrase_mining import collocations
 from .sorted_tables import token_tables
 from .span_hashes import span_fingerprints
 from .token_counts import token_counts
@@ -76,6 +77,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op1_line_dedup_all": op1_line_dedup_all,
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_span_hashes": op10_span_hashes,
     "op11_chat_formatting": op11_chat_formatting,
     "op12_turn_repair": op12_turn_repair,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 #: DuckDB counts edits in bytes; these letters of the data get one byte each there.
 LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
@@ -247,3 +253,39 @@ def _repair_sql() -> str:
 
 
 ORACLE_SQL["op12_turn_repair"] = _repair_sql()
+
+ORACLE_SQL["op13_phrase_mining"] = r"""
+    WITH
+    pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ),
+    listed AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') AS ws FROM pieces),
+    placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+    grams AS (
+        SELECT lang, 1 AS len, ws[i] AS phrase FROM placed
+        UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM placed WHERE i + 1 <= len(ws)
+        UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM placed WHERE i + 2 <= len(ws)
+    ),
+    f AS MATERIALIZED (SELECT lang, len, phrase, count(*) AS a FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
+    cuts AS (
+        SELECT lang, len, phrase, a, k, list_aggregate(string_split(phrase, ' ')[:k], 'string_agg', ' ') AS head, list_aggregate(string_split(phrase, ' ')[k + 1:], 'string_agg', ' ') AS rest
+        FROM f, range(1, 3) AS cut(k) WHERE len > 1 AND a >= 10 AND k < len
+    ),
+    scored AS (
+        SELECT c.*, h.a AS l, t.a AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+        FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.rest
+    ),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+        SELECT lang, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2], string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS phrase, a
+        FROM f WHERE len = 3 AND a >= 10
+    ),
+    longer AS (SELECT lang, phrase, max(a) AS a FROM inside GROUP BY ALL),
+    ranked AS (
+        SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, w.phrase) AS rank
+        FROM lowest w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * w.a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
