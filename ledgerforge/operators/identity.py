@@ -6,30 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_amount, normalize_text
+from ..sources.sinks import kept
 
 VERSION = "v1"
 SCOPE = ("business_id", "account_id", "source_system")
+#: Depth of a parent that is not there; sums with it stay negative.
+LOST = -(1 << 62)
 COMPONENTS = ("currency", "transaction_date", "amount_minor", "direction")
 
 
 def _json_text(value: Column) -> Column:
-    """A text as JSON, from Spark's own writer without the object around it."""
+    """A text as JSON, from Spark's own writer without the object around it.
+
+    Control characters are written with capital hexadecimal digits there; they are lowered here,
+    unless the backslash before them is itself escaped.
+    """
     whole = F.to_json(F.struct(value.alias("a")))
-    return F.substring(whole, F.lit(6), F.char_length(whole) - 6)
+    plain = F.substring(whole, F.lit(6), F.char_length(whole) - 6)
+    lowered = plain
+    for digit in "ABCDEF":
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.when(value.rlike(r"[\x00-\x1f]"), lowered).otherwise(plain)
 
 
 def identity_hash(account_id: Column, source_system: Column, currency: Column, transaction_date: Column, amount_minor: Column, direction: Column, version: Column | None = None) -> Column:
-    """SHA-256 of the compact JSON array of the identity's parts; NULL where one is missing or not positive.
-
-    Identifiers with control characters are refused (NULL): JSON writers disagree on them.
-    """
+    """SHA-256 of the compact JSON array of the identity's parts; NULL where one is missing, empty or not positive."""
     version = F.lit(VERSION) if version is None else version
     day = F.date_format(transaction_date, "yyyy-MM-dd")
-    texts = [version, account_id, source_system, currency, day]
-    clean = ~F.concat(*texts, direction).rlike(r"[\x00-\x1f]")
-    parts = [*map(_json_text, texts), amount_minor.cast("string"), _json_text(direction)]
-    joined = F.concat(F.lit("["), F.array_join(F.array(*parts), ","), F.lit("]"))
-    return F.when(clean & (amount_minor > 0), F.sha2(joined, 256))
+    texts = [version, account_id, source_system, currency, day, direction]
+    filled = amount_minor > 0
+    for text in texts:
+        filled = filled & (text != "")
+    parts = [*map(_json_text, texts[:-1]), amount_minor.cast("string"), _json_text(direction)]
+    # A missing part leaves the comparison, and so the hash, NULL.
+    return F.when(filled, F.sha2(F.concat(F.lit("["), F.array_join(F.array(*parts), ","), F.lit("]")), 256))
 
 
 def ledger_hash(business_id: Column, entity_id: Column, transaction_date: Column, amount: Column, transaction_type: Column, category: Column, payment_mode: Column, description: Column, user_id: Column) -> Column:
@@ -46,7 +56,8 @@ def classify(batch: DataFrame, identities: DataFrame) -> DataFrame:
     """Each row against the stored identities of its own account: outcome and matching identity.
 
     A source id that is already stored decides before the hash does. The state is cut to the
-    batch's accounts first, and never by date, since a conflict may carry another date.
+    batch's accounts first, and never by date, since a conflict may carry another date. A row
+    without an identity (no hash) is `INVALID_IDENTITY`, which fails its batch as a conflict does.
     """
     keys = list(SCOPE)
     state = identities.join(batch.select(*keys).distinct(), keys, "left_semi")
@@ -57,7 +68,8 @@ def classify(batch: DataFrame, identities: DataFrame) -> DataFrame:
     own = F.struct(*COMPONENTS)
     found = batch.join(by_source, [*keys, "source_transaction_id"], "left").join(by_hash, [*keys, "canonical_identity_hash"], "left")
     outcome = (
-        F.when(F.col("_s_id").isNotNull(), F.when(F.col("_s") == own, "DUPLICATE_SOURCE_ID").otherwise("SOURCE_IDENTITY_CONFLICT"))
+        F.when(F.col("canonical_identity_hash").isNull(), "INVALID_IDENTITY")
+        .when(F.col("_s_id").isNotNull(), F.when(F.col("_s") == own, "DUPLICATE_SOURCE_ID").otherwise("SOURCE_IDENTITY_CONFLICT"))
         .when(F.col("_h_id").isNull(), "UNIQUE")
         .when(F.col("_h") == own, "DUPLICATE_CANONICAL_IDENTITY")
         .otherwise("CANONICAL_IDENTITY_CONFLICT")
@@ -76,9 +88,12 @@ def classify_within(batch: DataFrame, batch_id: str = "batch_id", position: str
     hashes = F.min("canonical_identity_hash").over(by_source) != F.max("canonical_identity_hash").over(by_source)
     nth = F.row_number().over(by_source.orderBy(position))
     seen = with_id.withColumns({"_clash": hashes, "_nth_source": nth}).unionByName(without.withColumns({"_clash": F.lit(False), "_nth_source": F.lit(1)}))
-    seen = seen.withColumn("_nth_hash", F.row_number().over(Window.partitionBy(batch_id, "canonical_identity_hash").orderBy(position)))
+    # Rows without a hash are no copies of one another.
+    known = F.coalesce("canonical_identity_hash", F.concat(F.lit("at "), F.col(position).cast("string")))
+    seen = seen.withColumn("_nth_hash", F.row_number().over(Window.partitionBy(batch_id, known).orderBy(position)))
     outcome = (
-        F.when(F.col("_clash") & (F.col("_nth_source") > 1), "SOURCE_IDENTITY_CONFLICT")
+        F.when(F.col("outcome") == "INVALID_IDENTITY", F.col("outcome"))
+        .when(F.col("_clash") & (F.col("_nth_source") > 1), "SOURCE_IDENTITY_CONFLICT")
         .when(F.col("outcome") != "UNIQUE", F.col("outcome"))
         .when(F.col("_nth_source") > 1, "DUPLICATE_SOURCE_ID")
         .when(F.col("_nth_hash") > 1, "DUPLICATE_CANONICAL_IDENTITY")
@@ -89,7 +104,7 @@ def classify_within(batch: DataFrame, batch_id: str = "batch_id", position: str
 
 def batch_verdict(batch: DataFrame, batch_id: str = "batch_id") -> DataFrame:
     """One conflict fails the whole batch; otherwise what it inserts and what it repeats."""
-    conflict = F.bool_or(F.col("outcome").endswith("CONFLICT"))
+    conflict = F.bool_or(F.col("outcome").endswith("CONFLICT") | (F.col("outcome") == "INVALID_IDENTITY"))
     sums = batch.groupBy(batch_id).agg(
         F.count("*").alias("record_count"), F.count_if(F.col("outcome") == "UNIQUE").alias("_unique"), F.count_if(F.col("outcome").startswith("DUPLICATE")).alias("_repeats"), conflict.alias("_conflict")
     )
@@ -117,26 +132,35 @@ def retry_depth(attempts: DataFrame) -> DataFrame:
     so a chain of n needs log2(n) joins. They end when no attempt has an ancestor left, or when
     2**k passes the number of attempts: what then has one is in a cycle or leads to one.
     """
-    known = attempts.select("attempt_id", F.col("parent_attempt_id").alias("up"), F.when(F.col("parent_attempt_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    lost = known.select(F.col("up").alias("attempt_id")).filter("attempt_id IS NOT NULL").distinct().join(known.select("attempt_id"), "attempt_id", "left_anti")
+    nodes = attempts.select("attempt_id", F.col("parent_attempt_id").alias("up"), F.when(F.col("parent_attempt_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    lost = nodes.select(F.col("up").alias("attempt_id")).filter("attempt_id IS NOT NULL").distinct().join(nodes.select("attempt_id"), "attempt_id", "left_anti")
     # A parent that does not exist is a chain's end of its own kind.
-    table = known.unionByName(lost.select("attempt_id", F.lit(None).cast(known.schema["up"].dataType).alias("up"), F.lit(-(1 << 62)).alias("depth")))
-    # Each table is written out: plans that contain the last one twice would double with every join.
-    shared = attempts.sparkSession.sparkContext.getCheckpointDir() is not None
-    kept = lambda df: df.checkpoint() if shared else df.localCheckpoint()
-    table = kept(table)
-    most, steps = table.count(), 1
-    while steps <= most and table.filter("up IS NOT NULL").count():
-        parents = table.select(F.col("attempt_id").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
-        table = kept(table.join(parents, "up", "left").select(
-            "attempt_id", F.col("_next").alias("up"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("_more")).alias("depth")
-        ))
+    table = kept(nodes.unionByName(lost.select("attempt_id", F.lit(None).cast(nodes.schema["up"].dataType).alias("up"), F.lit(LOST).alias("depth"))))
+    # Attempts whose chain has ended take no further part on the asking side of a join.
+    ended, open_ = table.filter("up IS NULL"), table.filter("up IS NOT NULL")
+    done, most, steps, left = [ended], table.count(), 1, open_.count()
+    while left and steps <= most:
+        asked = kept(open_.join(_ancestors(done, open_), "up").select("attempt_id", F.col("_next").alias("up"), (F.col("depth") + F.col("_more")).alias("depth")))
+        done.append(asked.filter("up IS NULL"))
+        open_ = asked.filter("up IS NOT NULL")
+        left = open_.count()
         steps *= 2
     code = F.when(F.col("depth") < 0, "PARENT_MISSING").when(F.col("up").isNotNull(), "CYCLE")
-    own = table.join(attempts.select("attempt_id"), "attempt_id", "left_semi")
+    whole = open_
+    for part in done:
+        whole = whole.unionByName(part)
+    own = whole.join(attempts.select("attempt_id"), "attempt_id", "left_semi")
     return own.select("attempt_id", F.when(code.isNull(), F.col("depth")).cast("long").alias("retry_count"), code.alias("code"))
 
 
+def _ancestors(done: list[DataFrame], open_: DataFrame) -> DataFrame:
+    """What is known of every attempt so far, keyed for those that ask for their ancestor."""
+    whole = open_
+    for part in done:
+        whole = whole.unionByName(part)
+    return whole.select(F.col("attempt_id").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
+
+
 def attempt_status(events: DataFrame) -> DataFrame:
     """The state of each attempt: its first terminal event, else `processing`."""
     terminal = F.col("status").isin("completed", "failed")

@@ -83,6 +83,41 @@ register(
     CLASSIFY_SQL + "SELECT batch_id, position, amount_minor FROM within_batch WHERE outcome = 'UNIQUE' AND batch_id NOT IN (SELECT batch_id FROM within_batch WHERE outcome LIKE '%CONFLICT')",
     "batch", "identities",
 )
+#: Batch after batch: which of them fail, given those before that failed. Only rows whose source id
+#: another batch gives a different identity are looked at.
+SEQUENCE_SQL = f"""
+    WITH RECURSIVE hashed AS (SELECT *, {IDENTITY_SQL} AS h FROM uploads), stored AS (SELECT *, {IDENTITY_SQL} AS h FROM identities),
+    judged AS (
+        SELECT b.*, s.identity_id IS NOT NULL AS s_known, s.identity_id IS NOT NULL AND s.h <> b.h AS s_clash, t.identity_id IS NOT NULL AS h_known,
+               b.source_transaction_id IS NOT NULL AND min(b.h) OVER (PARTITION BY batch_id, b.source_transaction_id) <> max(b.h) OVER (PARTITION BY batch_id, b.source_transaction_id) AS inner_clash
+        FROM hashed b LEFT JOIN stored s ON s.business_id = b.business_id AND s.account_id = b.account_id AND s.source_transaction_id = b.source_transaction_id
+        LEFT JOIN stored t ON t.business_id = b.business_id AND t.account_id = b.account_id AND t.h = b.h),
+    claims AS (SELECT DISTINCT batch_id, account_id, source_transaction_id AS s, h FROM judged WHERE source_transaction_id IS NOT NULL AND NOT s_known),
+    told AS (SELECT account_id, s, list({{'b': batch_id, 'h': h}} ORDER BY batch_id) AS all_of FROM claims GROUP BY 1, 2 HAVING min(h) <> max(h)),
+    edges AS (SELECT c.batch_id, list({{'h': c.h, 'before': list_filter(t.all_of, lambda x: x.b < c.batch_id)}}) AS rows FROM claims c JOIN told t ON t.account_id = c.account_id AND t.s = c.s GROUP BY 1),
+    own AS (SELECT batch_id, bool_or(s_clash OR inner_clash) AS bad FROM judged GROUP BY 1),
+    walk AS (
+        SELECT CAST(-1 AS BIGINT) AS b, CAST([] AS BIGINT[]) AS failed
+        UNION ALL
+        SELECT w.b + 1, CASE WHEN o.bad OR list_bool_or(list_transform(coalesce(e.rows, []), lambda r: list_filter(r.before, lambda x: NOT list_contains(w.failed, x.b))[1].h <> r.h)) THEN list_append(w.failed, w.b + 1) ELSE w.failed END
+        FROM walk w LEFT JOIN own o ON o.batch_id = w.b + 1 LEFT JOIN edges e ON e.batch_id = w.b + 1 WHERE w.b < 49),
+    failures AS (SELECT unnest(failed) AS batch_id FROM walk WHERE b = 49),
+    inserted AS (SELECT * FROM judged WHERE NOT s_known AND NOT h_known AND batch_id NOT IN (SELECT batch_id FROM failures) QUALIFY row_number() OVER (PARTITION BY account_id, h ORDER BY batch_id, position) = 1)
+    """
+register(
+    "sequenced_uploads",
+    lambda spark, sf: ingest(shape(spark, sf, "uploads"), _stored(spark, sf))[0].select("batch_id", "position", "account_id", "amount_minor"),
+    SEQUENCE_SQL + "SELECT batch_id, position, account_id, amount_minor FROM inserted",
+    "uploads", "identities",
+)
+register(
+    "sequenced_verdicts",
+    lambda spark, sf: ingest(shape(spark, sf, "uploads"), _stored(spark, sf))[1],
+    SEQUENCE_SQL + """SELECT j.batch_id, count(*) AS record_count, CASE WHEN f.batch_id IS NULL THEN count(i.position) ELSE 0 END AS inserted_count, CASE WHEN f.batch_id IS NULL THEN count(*) - count(i.position) ELSE 0 END AS duplicate_count,
+        CAST(0 AS BIGINT) AS rejected_count, CASE WHEN f.batch_id IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN f.batch_id IS NOT NULL THEN 'IDENTITY_CONFLICT' END AS code
+        FROM judged j LEFT JOIN failures f ON f.batch_id = j.batch_id LEFT JOIN inserted i ON i.batch_id = j.batch_id AND i.position = j.position AND i.h = j.h GROUP BY j.batch_id, f.batch_id""",
+    "uploads", "identities",
+)
 register(
     "repeated_ledger_rows",
     lambda spark, sf: D.flag_repeats(_legacy_twice(spark, sf)).filter("duplicate").select("transaction_id", "business_id"),

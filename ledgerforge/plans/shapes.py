@@ -81,6 +81,14 @@ SHAPES = {
         SELECT number % 50, number + 100000000, business_id, account_id, 'bank', source_transaction_id, currency, transaction_date, amount_minor, direction, category, payment_mode FROM {ledger} WHERE number % 20 = 0
         UNION ALL
         SELECT number % 50, number + 200000000, business_id, account_id, 'bank', source_transaction_id, currency, transaction_date, amount_minor + 1, direction, category, payment_mode FROM {ledger} WHERE number % 977 = 0""",
+    "uploads": """
+        SELECT * FROM {batch}
+        UNION ALL
+        SELECT (number * 7 + 3) % 50, number + 300000000, business_id, account_id, 'bank', source_transaction_id, currency, transaction_date, amount_minor, direction, category, payment_mode FROM {ledger} WHERE number % 3 = 1
+        UNION ALL
+        SELECT (number * 11 + 5) % 50, number + 400000000, business_id, account_id, 'bank', source_transaction_id, currency, transaction_date, amount_minor + 7, direction, category, payment_mode FROM {ledger} WHERE number % 1301 = 0
+        UNION ALL
+        SELECT (number * 13 + 1) % 50, number + 500000000, business_id, account_id, 'bank', source_transaction_id, currency, transaction_date, amount_minor + 7, direction, category, payment_mode FROM {ledger} WHERE number % 1301 = 0""",
     "attempts": """
         SELECT concat('att_', event_id) AS attempt_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('att_', event_id - 1) END AS parent_attempt_id FROM {events}""",
     "attempt_events": """

@@ -23,6 +23,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: lineage ends there, and lost executors take nothing with them."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(accepted: DataFrame, attempts: DataFrame, folder: str) -> None:
     """Write ledger and identity rows first and the attempts' rows last: these are the commit mark."""
     accepted.select(*[c for c in LEDGER if c in accepted.columns]).write.mode("append").parquet(f"{folder}/ledger")

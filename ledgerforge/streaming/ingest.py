@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.contract import check_records
-from ..operators.identity import batch_verdict, classify, classify_within, with_hash
+from ..operators.identity import batch_verdict, with_hash
+from ..operators.sequence import classify_sequence
 from ..sources.sinks import append, committed
 
 
@@ -18,16 +19,18 @@ def attempt_of(run: str):
     return F.concat(F.lit("att_"), F.col("batch_id").cast("string"), F.lit(f"_{run}" if run else ""))
 
 
-def ingest(batch: DataFrame, identities: DataFrame, run: str = "") -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, verdict of each batch): contract, identity, stored state, the batch itself.
+def ingest(batch: DataFrame, identities: DataFrame, run: str = "", order: str = "batch_id") -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, verdict of each batch): contract, identity, stored state, earlier batches, the batch itself.
 
-    A record that breaks the contract fails its batch, as a conflict does. Identifiers come
-    from the identity hash, so a repeated run gives the same rows.
+    Several batches are judged as if they came one after another in the order of the column
+    `order`. A record that breaks the contract fails its batch, as a conflict does, and a failed
+    batch leaves nothing that later ones could repeat. Identifiers come from the identity hash, so
+    a repeated run gives the same rows.
     """
     checked = check_records(batch.withColumn("transaction_date", F.date_format("transaction_date", "yyyy-MM-dd")))
     broken = checked.filter("code IS NOT NULL").select("batch_id").distinct()
     hashed = with_hash(batch.join(broken, "batch_id", "left_anti"))
-    judged = classify_within(classify(hashed, identities))
+    judged = classify_sequence(hashed, identities, order)
     verdicts = batch_verdict(judged)
     good = verdicts.filter(F.col("status") == "completed").select("batch_id")
     new = judged.filter(F.col("outcome") == "UNIQUE").join(good, "batch_id", "left_semi")
@@ -41,7 +44,8 @@ def ingest(batch: DataFrame, identities: DataFrame, run: str = "") -> tuple[Data
 def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, checkpoint: str, files_a_trigger: int | None = None) -> StreamingQuery:
     """Watch a folder of Parquet batches and append what is new to the tables in `out_dir`.
 
-    The stored identities are the state: no watermark is needed, and copies are found however
+    Batches of one trigger follow by the time at which their first file was written and by its
+    path. The stored identities are the state: no watermark is needed, and copies are found however
     late they come. A replayed batch finds its own rows stored and inserts nothing; one that
     failed before its attempts were written left rows of an attempt that is never completed,
     which no reader sees, and inserts them under a new one.
@@ -60,7 +64,8 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
             fields = "identity_id string, business_id string, account_id string, source_system string, source_transaction_id string, currency string, transaction_date date, amount_minor long, direction string, canonical_identity_hash string"
             identities = session.createDataFrame([], fields)
         name = uuid.uuid4().hex
-        new, verdicts = ingest(batch, identities, name)
+        first = batch.groupBy("batch_id").agg(F.min(F.struct("_written", "_path")).alias("upload"))
+        new, verdicts = ingest(batch.drop("_written", "_path").join(first, "batch_id"), identities, name, "upload")
         attempts = verdicts.withColumns({"attempt_id": attempt_of(name), "epoch": F.lit(epoch)})
         # Both results come from one input; it is kept so that the second write judges as the first.
         kept_new, kept_attempts = new.persist(), attempts.persist()
@@ -70,4 +75,5 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
         kept_new.unpersist()
         kept_attempts.unpersist()
 
-    return reader.parquet(in_dir).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = reader.parquet(in_dir).select("*", F.col("_metadata.file_modification_time").alias("_written"), F.col("_metadata.file_path").alias("_path"))
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
