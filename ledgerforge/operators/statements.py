@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_header_key, collapse, direction_of_key, nfkc_cells, parse_date, parse_number, payment_mode_of, to_minor
+from ..sources.sinks import kept
 from .contract import MOST_MINOR, TEXT_LIMITS
 
 # Header names of each role.
@@ -102,7 +103,7 @@ def map_headers(layouts: DataFrame) -> DataFrame:
         .when(lacking, "REQUIRED_COLUMN")
     )
     unit = lambda role: F.coalesce(F.get("headers", F.col(f"at_{role}")).rlike("minor|paise|cents"), F.lit(False))
-    return mapped.select("layout", "by_type", code.alias("layout_code"), unit("amount").alias("amount_minor_units"), unit("balance").alias("balance_minor_units"), *[f"at_{r}" for r in ALIASES])
+    return mapped.select("layout", "by_type", code.alias("layout_code"), (F.size(shown) == 0).alias("no_headers"), unit("amount").alias("amount_minor_units"), unit("balance").alias("balance_minor_units"), *[f"at_{r}" for r in ALIASES])
 
 
 def _word(clean: Column) -> Column:
@@ -112,23 +113,37 @@ def _word(clean: Column) -> Column:
 def directional_files(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Files without a direction column whose type column holds direction words only, and at least one."""
     plain = mapping.filter("NOT by_type AND at_direction IS NULL AND at_type >= 0").select("layout", "at_type")
-    cells = rows.join(F.broadcast(plain), "layout").select("file", collapse(F.get("cells", F.col("at_type"))).alias("v"))
+    cells = rows.join(_small(plain), "layout").select("file", collapse(F.get("cells", F.col("at_type"))).alias("v"))
     told = cells.filter("v IS NOT NULL").groupBy("file").agg(F.bool_and(_word(F.col("v")).isNotNull()).alias("by_type"))
     return told.filter("by_type")
 
 
+#: Layouts are broadcast up to this number, about 40 MB; more are joined by shuffle.
+MOST_LAYOUTS = 50_000
+
+
+def _small(mapping: DataFrame) -> DataFrame:
+    return F.broadcast(mapping) if mapping.count() <= MOST_LAYOUTS else mapping
+
+
+#: What is looked at before what, over a whole file: reading, headers, widths, columns, signs, rows, contract.
+READING, HEADERS, WIDTHS, COLUMNS, SIGNS, ROWS, CONTRACT = range(7)
+
+
 def canonicalize(rows: DataFrame, layouts: DataFrame, mode: str = "file") -> tuple[DataFrame, DataFrame]:
     """(accepted records, rejections) of `rows` (file, layout, position, cells, fault).
 
-    In mode `file` one bad row rejects its file with the first row's code; in mode `row` only
-    bad rows go. `fault` is what reading found wrong with a row or its file. Layouts are few
-    and broadcast; per-file facts are small sums joined back.
+    In mode `file` one bad row rejects its file; the code is that of the first check that fails
+    anywhere in the file, in the order reading, headers, widths, columns, signs, rows, contract,
+    and of its first row there. In mode `row` only bad rows go. `fault` is what reading found wrong
+    with a row or its file. Cells are normalised once and stored; the layouts are counted before
+    they are broadcast; per-file facts are small sums joined back.
     """
-    mapping = map_headers(layouts)
+    mapping = kept(map_headers(layouts))
     rows = rows.filter(F.exists("cells", lambda cell: F.trim(F.coalesce(cell, F.lit(""))) != "") | F.col("fault").isNotNull())
-    rows = rows.withColumn("cells", nfkc_cells(F.col("cells")))
+    rows = kept(rows.withColumn("cells", nfkc_cells(F.col("cells"))))
     named = rows.join(directional_files(rows, mapping), "file", "left").fillna(False, ["by_type"])
-    r = named.join(F.broadcast(mapping), ["layout", "by_type"])
+    r = named.join(_small(mapping), ["layout", "by_type"], "left")
     cell = lambda role: collapse(F.get("cells", F.when(F.col(f"at_{role}") >= 0, F.col(f"at_{role}"))))
     r = r.withColumns({f"c_{role}": cell(role) for role in ALIASES})
     sided = F.col("at_debit").isNotNull() | F.col("at_credit").isNotNull()
@@ -142,34 +157,50 @@ def canonicalize(rows: DataFrame, layouts: DataFrame, mode: str = "file") -> tup
     r = r.withColumn("_minor", to_minor(F.col("_number"), F.col("amount_minor_units"))).withColumn("_day", parse_date(F.col("c_date")))
     r = r.withColumn("_balance_number", parse_number(F.col("c_balance")))
     r = r.withColumn("_balance", to_minor(F.col("_balance_number"), F.col("balance_minor_units"), signed=True))
-    unsigned = F.col("at_direction").isNull() & ~sided
-    positive = r.filter(unsigned).groupBy("file").agg((F.min("_number") >= 0).alias("_positive"))
+    unsigned = F.col("layout").isNotNull() & F.col("at_direction").isNull() & ~sided
+    positive = r.filter(unsigned).groupBy("file").agg(((F.min("_number") >= 0) & (F.count("*") == F.count("_number"))).alias("_positive"))
     r = r.join(positive, "file", "left")
     texts = {"source_transaction_id": "c_source_id", "category": "c_category", "description": "c_description", "counterparty": "c_counterparty", "source_subtype": "c_subtype", "source_record_reference": "c_reference"}
     too_long = F.lit(False)
     for field, column in texts.items():
         too_long = too_long | F.coalesce(F.char_length(column) > TEXT_LIMITS[field], F.lit(False))
-    code = (
-        F.when(F.col("fault").isNotNull(), F.col("fault"))
-        .when(F.col("layout_code").isNotNull(), F.col("layout_code"))
-        .when(F.coalesce("_positive", F.lit(False)), "LOW_CONFIDENCE")
-        .when(sided & F.col("c_debit").isNotNull() & F.col("c_credit").isNotNull(), "INVALID_DIRECTION")
-        .when(F.col("_number").isNull(), "INVALID_AMOUNT")
-        .when(F.col("_direction").isNull(), F.when(sided, "INVALID_DIRECTION").otherwise("INVALID_AMOUNT"))
-        .when(F.col("_minor").isNull(), "INVALID_PRECISION")
-        .when(F.col("_minor") <= 0, "INVALID_AMOUNT")
-        .when(F.col("_day").isNull(), "INVALID_DATE")
-        .when(F.col("c_balance").isNotNull() & F.col("_balance_number").isNull(), "INVALID_AMOUNT")
-        .when(F.col("c_balance").isNotNull() & F.col("_balance").isNull(), "INVALID_PRECISION")
-        .when(F.col("_minor") > MOST_MINOR, "INVALID_AMOUNT")
-        .when(too_long, "INVALID_CANONICAL")
+    headers = F.col("layout_code").isin("DUPLICATE_HEADER") | F.col("no_headers")
+    unread = F.coalesce(unsigned & F.col("_number").isNull() & F.col("layout").isNotNull(), F.lit(False))
+    found = _first(
+        (F.col("layout").isNull() & F.col("fault").isNotNull(), READING, F.col("fault")),
+        (headers, HEADERS, F.col("layout_code")),
+        (F.col("fault").isNotNull(), WIDTHS, F.col("fault")),
+        (F.col("layout_code").isNotNull(), COLUMNS, F.col("layout_code")),
+        (unread, SIGNS, F.lit("INVALID_AMOUNT")),
+        (F.col("_positive"), SIGNS, F.lit("LOW_CONFIDENCE")),
+        (sided & F.col("c_debit").isNotNull() & F.col("c_credit").isNotNull(), ROWS, F.lit("INVALID_DIRECTION")),
+        (F.col("_number").isNull(), ROWS, F.lit("INVALID_AMOUNT")),
+        (F.col("_direction").isNull(), ROWS, F.when(sided, "INVALID_DIRECTION").otherwise("INVALID_AMOUNT")),
+        (F.col("_minor").isNull(), ROWS, F.lit("INVALID_PRECISION")),
+        (F.col("_minor") <= 0, ROWS, F.lit("INVALID_AMOUNT")),
+        (F.col("_day").isNull(), ROWS, F.lit("INVALID_DATE")),
+        (F.col("c_balance").isNotNull() & F.col("_balance_number").isNull(), ROWS, F.lit("INVALID_AMOUNT")),
+        (F.col("c_balance").isNotNull() & F.col("_balance").isNull(), ROWS, F.lit("INVALID_PRECISION")),
+        (F.col("_minor") > MOST_MINOR, CONTRACT, F.lit("INVALID_AMOUNT")),
+        (too_long, CONTRACT, F.lit("INVALID_CANONICAL")),
     )
+    r = r.withColumn("_found", found)
     done = r.select(
-        "file", "position", code.alias("code"), F.col("_day").alias("transaction_date"), F.col("_minor").alias("amount_minor"), F.col("_direction").alias("direction"),
+        "file", "position", F.col("_found.code").alias("code"), F.col("_found.stage").alias("stage"), F.col("_day").alias("transaction_date"), F.col("_minor").alias("amount_minor"), F.col("_direction").alias("direction"),
         *[F.col(column).alias(field) for field, column in texts.items()], payment_mode_of(F.col("c_payment")).alias("payment_method"), F.col("_balance").alias("balance_after_minor"),
     )
     bad = done.filter("code IS NOT NULL")
     if mode == "row":
-        return done.filter("code IS NULL").drop("code"), bad.select("file", "position", "code")
-    verdicts = bad.groupBy("file").agg(F.min("position").alias("position"), F.min_by("code", "position").alias("code"))
-    return done.join(verdicts.select("file"), "file", "left_anti").drop("code"), verdicts
+        return done.filter("code IS NULL").drop("code", "stage"), bad.select("file", "position", "code")
+    worst = F.min(F.struct("stage", "position", "code"))
+    verdicts = bad.groupBy("file").agg(worst.alias("w")).select("file", "w.position", "w.code")
+    return done.join(verdicts.select("file"), "file", "left_anti").drop("code", "stage"), verdicts
+
+
+def _first(*cases: tuple[Column, int, Column]) -> Column:
+    """(stage, code) of the first case that holds."""
+    out = None
+    for hit, stage, code in cases:
+        value = F.struct(F.lit(stage).alias("stage"), code.alias("code"))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out

@@ -208,6 +208,19 @@ FILES = {
     "quote.csv": ('Date,Amount,Direction\n2026-08-31,"5,income\n', "MALFORMED_CSV", 0),
     "both.csv": ("Date,Debit,Credit\n2026-08-31,5,6\n", "INVALID_DIRECTION", 0),
     "part.csv": ("Date,Amount,Direction\n2026-08-31,5.001,income\n2026-08-31,5,income\n", "INVALID_PRECISION", 0),
+    "doubled.csv": ('Date,Description,Amount,Direction\n2026-08-31,"two\nlines ""q""",5,income\n2026-09-01,"5"" pipe",6,income\n', None, 2),
+    "blank_wide.csv": ("Date,Amount,Direction\n2026-08-31,5,income,\n", "MALFORMED_CSV", 0),
+    "wider.csv": ("Date,Amount,Direction\n2026-08-31,5,income,,more\n", "MALFORMED_CSV", 0),
+    "again.csv": ("Date,Amount,Direction\n2026-08-31,5,income\nDate,Amount,Direction\n", "INVALID_AMOUNT", 0),
+    "header.csv": ("\n ,,\nDate,Amount,Direction\n\n", "EMPTY_CSV", 0),
+    "nothing.csv": ("", "EMPTY_CSV", 0),
+    "blank.csv": ("\n  \n,,\n", "EMPTY_CSV", 0),
+    "inner.csv": ('Date,Description,Amount,Direction\n2026-08-31,5" and 3" pipes,5,income\n', None, 1),
+    "apart.csv": ('Date,Description,Amount,Direction\n2026-08-31,5" pipe,5,income\n2026-08-31,3" pipe,5,income\n', None, 2),
+    "trailing.csv": ('Date, "Description" ,Amount,Direction\n2026-08-31, "a, b" c,5,income\n', None, 1),
+    "late_wide.csv": ("Date,Amount,Direction\n2026-02-31,5,income\n2026-08-31,5,income,x\n", "MALFORMED_CSV", 0),
+    "late_sign.csv": ("Date,Amount\n2026-02-31,5\n2026-08-31,none\n", "INVALID_AMOUNT", 0),
+    "long.csv": ("Date,Description,Amount,Direction\n2026-02-31," + "x" * 501 + ",5,income\n", "INVALID_DATE", 0),
     "day.csv": ("Date,Amount,Direction\n2026-08-31,5,income\n2026-02-30,5,income\n", "INVALID_DATE", 0),
 }
 
@@ -226,10 +239,43 @@ def test_statement_files(spark, tmp_path):
     assert [(r["amount_minor"], r["direction"], r["category"], r["description"], r["payment_method"]) for r in typed] == [(123450, "income", "Sales", "Shop, left", "UPI"), (50000, "expense", None, "Rent", "Cash")]
     pair = accepted.filter(name == "pair.csv").orderBy("position").collect()
     assert [(r["amount_minor"], r["direction"], r["balance_after_minor"]) for r in pair] == [(1050, "expense", -500), (2000, "income", 1500)]
+    said = {f: [r["description"] for r in accepted.filter(name == f).orderBy("position").collect()] for f in ("doubled.csv", "inner.csv", "apart.csv", "trailing.csv")}
+    assert said == {"doubled.csv": ['two lines "q"', '5" pipe'], "inner.csv": ['5" and 3" pipes'], "apart.csv": ['5" pipe', '3" pipe'], "trailing.csv": ["a, b c"]}
     by_row = ST.canonicalize(rows, layouts, mode="row")[0]
     assert by_row.filter(name == "day.csv").count() == 1
 
 
+@pytest.mark.parametrize("seed,delimiter", [(1, ","), (2, ";"), (3, "\t"), (4, "|")])
+def test_records_across_slices(spark, tmp_path, seed, delimiter):
+    """Files cut into slices of a few bytes give the records that Python's reader gives."""
+    import csv
+    import io
+    import random
+
+    dice = random.Random(seed)
+    cell = lambda: dice.choice(["", "a", "b c", "1.50", '5" pipe', '"x"', '"two\nlines"', '"a ""q"" b"', f'"in{delimiter}side"', '""', ' "led"', '"tail" end', '"\n\n"', '"""\n"""'])
+    expected = {}
+    for k in range(6):
+        lines = [delimiter.join(["h1", "h2", "h3", "h4"])] + [delimiter.join(cell() for _ in range(dice.randrange(1, 5))) for _ in range(dice.randrange(1, 60))]
+        text = "\n".join(lines) + "\n"
+        if text.count('"') % 2 == 0:
+            (tmp_path / f"{k}.csv").write_text(text, encoding="utf-8")
+            expected[f"{k}.csv"] = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, skipinitialspace=True) if any(r)]
+    assert len(expected) > 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        paths = [str(tmp_path / n) for n in expected]
+        files = statements.file_layouts(spark, paths)
+        records = statements.read_records(spark, paths, files).withColumn("cells", F.transform(statements._cells(F.col("text")), statements._bare)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for n, rows in expected.items():
+        found = [r["cells"] for r in sorted((r for r in records if r["file"].endswith(f"/{n}")), key=lambda r: r["position"]) if any(r["cells"])]
+        assert found == rows, n
+
+
 def test_payload_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"contract_version": "v1", "source_system": "bank", "extra": 1, "records": [{"transaction_date": "2026-08-31", "amount_minor": 1234, "direction": "income"}, {"transaction_date": "2026-08-32", "amount_minor": 0, "direction": "x"}]}))
     (tmp_path / "b.txt").write_text("a,b\n1,2\n")
