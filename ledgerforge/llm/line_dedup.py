@@ -36,12 +36,21 @@ CROWDS = (32, 128, None)
 FIRST_COLUMNS = 24
 
 
-def lines_of(docs: DataFrame, least: int = LEAST_CHARS, blank: bool = True) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """Tells rows apart whose identifiers are missing or repeat; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def lines_of(docs: DataFrame, least: int = LEAST_CHARS, blank: bool = True, key: bool = False) -> DataFrame:
     """(doc_id, line_no, line) of every line of at least `least` characters; numbers count from 0.
 
-    Without `blank`, lines of white space shorter than `LEAST_CHARS` are left out.
+    Without `blank`, lines of white space shorter than `LEAST_CHARS` are left out; with `key`,
+    the key of the whole text stands beside each.
     """
-    rows = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = texts(docs)
+    # Taken before lines are, else each line would carry and hash the whole text.
+    rows = rows.withColumn("key", text_key(F.col("text"))) if key else rows
+    rows = rows.select("doc_id", *["key"][: int(key)], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.filter(F.char_length("line") >= least)
     return rows if blank else rows.filter((F.char_length("line") >= LEAST_CHARS) | _says(F.col("line")))
 
@@ -338,23 +347,28 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     place). Null and empty texts have no line but, with `least` 0, an empty one. Rows of the same doc_id count as one document, so
     lines at equal places are kept alike. Columns besides doc_id and text are ignored.
     """
-    return placed_classes(docs, edits, least, blank).drop("line_hash")
+    return placed_classes(docs, edits, least, blank).drop("key")
 
 
 def placed_classes(docs: DataFrame, edits: int, least: int, blank: bool) -> DataFrame:
-    """`line_classes` plus the hash of each line, which tells lines at equal places of equal identifiers apart."""
+    """`line_classes` plus `key`, the hash of the whole text, which tells rows of equal identifiers apart."""
     links = line_links(docs, edits, least, blank)
     both = links.select("a").union(links.select("b")).withColumnRenamed("a", "id")
     degrees = both.groupBy("id").agg(F.count("*").alias("n_links"))
     linked = stored(components(links).withColumnRenamed("node", "id").join(degrees, "id"))
-    places = lines_of(docs, least, blank).select("doc_id", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
+    places = lines_of(docs, least, blank, key=True).select("doc_id", "key", "line_no", F.char_length("line").alias("n_chars"), F.xxhash64("line").alias("id"))
     placed = stored(
         places.join(maybe_broadcast(linked, linked.count()), "id", "left").select(
-            "doc_id", "line_no", "n_chars", F.col("id").alias("line_hash"), F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+            "doc_id", "key", "line_no", "n_chars", F.coalesce("component", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
         )
     )
-    firsts = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return placed.join(firsts, "class").select(
+    # Lines of a kind of their own are their first place. The others' first places are stored
+    # before they are joined: a class that holds a third of all lines can then be split.
+    here = F.struct("doc_id", "line_no")
+    firsts = placed.groupBy("class").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = stored(firsts)
+    found = placed.join(maybe_broadcast(firsts, firsts.count()), "class", "left").withColumn("first", F.coalesce("first", here))
+    return found.select(
         "doc_id",
         "line_no",
         "n_chars",
@@ -362,7 +376,7 @@ def placed_classes(docs: DataFrame, edits: int, least: int, blank: bool) -> Data
         F.col("first.line_no").alias("class_line_no"),
         "n_links",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
-        "line_hash",
+        "key",
     )
 
 
@@ -373,14 +387,20 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = 0)
 
     All columns stay; `text`, and `n_chars` where it exists, are those of the lines left.
     A document that loses every line goes, blank ones aside; one that had none to lose stays as it is.
-    Where identifiers are missing or repeat, a line goes from the rows that have it at its place.
+    Rows with the same identifier and text count as one, and lines at equal places of rows with
+    the same identifier (or with none) as equally early. The numbers of a text's lost lines are
+    taken out of the numbers of all its lines by a hash set, so the work is linear in its lines;
+    a row holds its text and both lists of numbers. An empty table stays empty, and columns that
+    have the names used here keep their values.
     """
-    gone_from, gone, kept = (unused(name, docs) for name in ("gone_from", "gone", "kept"))
+    gone_from, gone_key, gone, kept = (unused(name, docs) for name in ("gone_from", "gone_key", "gone", "kept"))
     repeated = placed_classes(docs, edits, least, blank=False).filter("NOT kept")
-    by_document = repeated.groupBy(F.col("doc_id").alias(gone_from)).agg(F.collect_set(F.struct("line_no", "line_hash")).alias(gone))
-    held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_from)), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col(gone), F.struct(k.alias("line_no"), F.xxhash64(line).alias("line_hash"))))
-    held = held.withColumn(kept, left).filter(F.col(gone).isNull() | F.exists(kept, _says))
+    by_document = repeated.groupBy(F.col("doc_id").alias(gone_from), F.col("key").alias(gone_key)).agg(F.collect_set("line_no").alias(gone))
+    text = docs["text"].cast("string")
+    held = docs.join(by_document, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_from)) & (text_key(text) == F.col(gone_key)), "left")
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = _let(F.split("text", "\n"), lambda lines: F.transform(numbers(lines), lambda k: F.get(lines, k)))
+    held = held.withColumn(kept, F.when(F.col(gone).isNotNull(), left)).filter(F.col(gone).isNull() | F.exists(kept, _says))
     held = held.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)

@@ -53,8 +53,9 @@ LEAST, LEAST_SHARED = 8, 3
 SUFFIX_DEPTH = 2
 #: Prefix shingles that similar sets must share.
 SHARED = 4
-#: Sets of one side of a cell in which sets are verified, about.
-CELL_SETS = 300
+#: Hashes of one side of a cell in which sets are verified, about (800 kB), and of a set that gets a
+#: side for itself. Hashes of right-hand sets that are looked at together.
+CELL_HASHES, LONE, BESIDE = 100_000, 25_000, 1 << 16
 #: Components with so many sets are met as a whole by sets outside of them.
 LARGE = 50
 #: Rounds of pivots, and pivots a set is compared with in one.
@@ -319,17 +320,22 @@ def _check_cell(rows):
         found = [(a, b) for a, b in zip(listed["sid"], listed["other"]) if a in held and b in held and similar(held[a], held[b])]
     else:
         right = sorted({s for side, s in zip(rows["side"], rows["sid"]) if side == 1})
-        every = np.concatenate([held[t] for t in right]) if right else np.zeros(0, np.uint64)
-        sizes = np.array([len(held[t]) for t in right], np.int64)
-        owner = np.repeat(np.arange(len(right)), sizes)
-        for s in {s for side, s in zip(rows["side"], rows["sid"]) if side == 0}:
-            # Intersections of the set with all right sets at once.
-            own = held[s]
-            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            common = np.bincount(owner[own[at] == every], minlength=len(right))
-            hit = np.flatnonzero(common * (SIMILAR + OF) >= SIMILAR * (len(own) + sizes))
-            if len(hit):
-                found.append((min(s, right[hit[0]]), max(s, right[hit[0]])))
+        open_ = {s for side, s in zip(rows["side"], rows["sid"]) if side == 0}
+        while right and open_:
+            sizes = np.array([len(held[t]) for t in right], np.int64)
+            few = max(1, int(np.searchsorted(np.cumsum(sizes), BESIDE)))
+            block, right, sizes = right[:few], right[few:], sizes[:few]
+            every = np.concatenate([held[t] for t in block])
+            owner = np.repeat(np.arange(few), sizes)
+            for s in sorted(open_):
+                # Intersections of the set with all sets of the block at once.
+                own = held[s]
+                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                common = np.bincount(owner[own[at] == every], minlength=few)
+                hit = np.flatnonzero(common * (SIMILAR + OF) >= SIMILAR * (len(own) + sizes))
+                if len(hit):
+                    found.append((min(s, block[hit[0]]), max(s, block[hit[0]])))
+                    open_.discard(s)
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -337,12 +343,18 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The similar ones among the different (a, b) pairs of set ids, a stored table.
 
     Sets are dealt to buckets and pairs to cells of two buckets, so that a set is sent once
-    to a cell however many of its pairs are there. A bucket has some hundred sets.
+    to a cell however many of its pairs are there. A bucket has about `CELL_HASHES` hashes, and
+    large sets have buckets of their own.
     """
-    wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
-    buckets = F.lit(max(1, -(-wanted.count() // CELL_SETS)))
-    bucket = lambda c: F.pmod(F.xxhash64(c), buckets)
-    cells = pairs.withColumn("cell", (bucket("a") * buckets + bucket("b")).cast("long"))
+    sizes = sets.filter("n > 0").select("sid", "n").dropDuplicates(["sid"])
+    wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sizes, "sid"))
+    total = wanted.agg(F.sum(F.when(F.col("n") <= LONE, F.col("n")))).first()[0] or 0
+    buckets = F.lit(max(1, -(-total // CELL_HASHES)))
+    bucket = F.when(F.col("n") > LONE, F.xxhash64("sid")).otherwise(F.pmod(F.xxhash64("sid"), buckets))
+    dealt = wanted.select("sid", bucket.alias("bucket"))
+    one, two = (dealt.select(F.col("sid").alias(c), F.col("bucket").alias(f"in_{c}")) for c in "ab")
+    cells = pairs.join(one, "a").join(two, "b").select("a", "b", F.xxhash64("in_a", "in_b").alias("cell"))
+    wanted = wanted.select("sid")
     need = cells.select("cell", F.col("a").alias("sid")).union(cells.select("cell", "b")).distinct()
     sent = need.join(_hashes(wanted, docs, sets), "sid").select("cell", F.lit(0).alias("side"), "sid", F.col("sid").alias("other"), "hashes")
     asked = cells.select("cell", F.lit(2).alias("side"), F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("hashes"))
@@ -353,15 +365,15 @@ def _verify_with_large(left: DataFrame, large: DataFrame, docs: DataFrame, sets:
     """Links of sets with large components (c, size) that share a prefix shingle with them.
 
     One link with a component is enough, so its members are not paired as rows: they are cut
-    into parts of some hundred, as are the sets that meet the component, and each part meets
-    each part in a cell of its own. Of two large components only the sets of one are dealt
-    to the members of the other.
+    into parts of about `CELL_HASHES` hashes, as are the sets that meet the component, and each
+    part meets each part in a cell of its own. Of two large components only the sets of one are
+    dealt to the members of the other.
     """
     named = left.join(large.select("c"), "c").select("token", F.col("c").alias("large")).distinct()
     sides = left.join(large.select("c", "size"), "c", "left")
-    meets = stored(sides.join(named, "token").filter("c < large OR (size IS NULL AND c <> large)").select("sid", "large").distinct())
-    counts = meets.groupBy("large").agg(F.count("*").alias("met"))
-    parts = large.select(F.col("c").alias("large"), F.ceil(F.col("size") / CELL_SETS).alias("k")).join(counts, "large").withColumn("j", F.ceil(F.col("met") / CELL_SETS))
+    meets = stored(sides.join(named, "token").filter("c < large OR (size IS NULL AND c <> large)").select("sid", "large", "n").distinct())
+    counts = meets.groupBy("large").agg(F.sum("n").alias("met"))
+    parts = large.select(F.col("c").alias("large"), F.ceil(F.col("weight") / CELL_HASHES).alias("k")).join(counts, "large").withColumn("j", F.ceil(F.col("met") / CELL_HASHES))
     part = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n))
     cell = F.xxhash64("large", "x", "y")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -467,7 +479,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         final = stored(components(links))
         left = stored(_meeting(_with_components(left.drop("c"), final)))
     left = stored(_meeting(_with_components(_shared_prefixes(docs, levels, frequent), final)))
-    sized = left.select("sid", "c").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    sized = left.select("sid", "c", "n").distinct().groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     large = stored(sized.filter(F.col("size") >= LARGE))
     rest = stored(_across(left.join(large, "c", "left_anti")).join(tried, ["a", "b"], "left_anti"))
     late = stored(_verify(rest, docs, sets).union(_verify_with_large(left, large, docs, sets)))

@@ -106,6 +106,30 @@ def test_repeated_lines_go(docs, no_docs):
     assert line_dedup.without_repeated_lines(no_docs).collect() == []
 
 
+def test_repeated_lines_of_rows_without_identifier(spark):
+    """Rows without identifier, and rows that share one, lose their own lines; further columns keep their values."""
+    line = "a line that many documents of this table have"
+    rows = [(None, f"{line}\nown words of the first row\n{line}"), (None, f"own words of the second row\n{line}"), (3, f"{line}\nleft alone"), (3, f"other words of the row\n{line}"), (4, line)]
+    names = ["gone_from", "gone_key", "gone", "kept", "key", "line_no", "line", "class", "n"]
+    docs = spark.createDataFrame([(*r, *range(9)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    made = line_dedup.without_repeated_lines(docs)
+    assert made.columns == docs.columns
+    # The first place is line 0 of a row without identifier, as it sorts before all others.
+    expected = Counter([(None, f"{line}\nown words of the first row"), (None, "own words of the second row"), (3, "left alone"), (3, "other words of the row")])
+    found = made.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in found) == expected and all(tuple(r)[2:] == tuple(range(9)) for r in found)
+    # Of two rows with one identifier both keep a line at its first place.
+    twice = spark.createDataFrame([(1, f"{line}\na"), (1, f"{line}\nb")], "doc_id long, text string")
+    assert Counter(r["text"] for r in line_dedup.without_repeated_lines(twice).collect()) == Counter([f"{line}\na", f"{line}\nb"])
+
+
+def test_many_repeated_lines_of_one_document(spark):
+    lines = [f"line number {k} of a long text, unlike others {k * 7919 % 10007}" for k in range(30_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::-1], "and one line of its own here"]))], "doc_id long, text string")
+    made = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs, edits=0).collect()}
+    assert made == {1: "\n".join(lines), 2: "and one line of its own here"}
+
+
 def test_transport_streams(docs, texts):
     rows = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["n_faults"]) for r in transport_streams.media_columns(docs).collect())
     expected = Counter()
