@@ -23,6 +23,7 @@ from ledgerforge.operators import reports as R
 from ledgerforge.operators import retrieval as M
 from ledgerforge.operators import scope as S
 from ledgerforge.operators import statements as ST
+from ledgerforge.operators.uploads import read_uploads
 from ledgerforge.sources import sinks, statements
 from ledgerforge.streaming import ingest as ING
 
@@ -276,14 +277,51 @@ def test_records_across_slices(spark, tmp_path, seed, delimiter):
         assert found == rows, n
 
 
+GOOD = {"transaction_date": "2026-08-31", "amount_minor": 1234, "direction": "income"}
+RECORDS = [
+    (GOOD, None, None), ({**GOOD, "note": 1}, "UNKNOWN_FIELD", None), ({"amount_minor": 1, "x": 1}, "UNKNOWN_FIELD", None), ({}, "MISSING_FIELD", "transaction_date"),
+    ({"transaction_date": None}, "INVALID_FIELD", "transaction_date"), ({k: GOOD[k] for k in ("transaction_date", "direction")}, "MISSING_FIELD", "amount_minor"),
+    ({**GOOD, "amount_minor": "1234"}, "INVALID_FIELD", "amount_minor"), ({**GOOD, "amount_minor": True}, "INVALID_FIELD", "amount_minor"), ({**GOOD, "amount_minor": 12.0}, "INVALID_FIELD", "amount_minor"),
+    ({**GOOD, "amount_minor": 0}, "AMOUNT_OUT_OF_RANGE", "amount_minor"), ({**GOOD, "amount_minor": 10**30}, "AMOUNT_OUT_OF_RANGE", "amount_minor"), ({**GOOD, "amount_minor": 99_999_999_999_999}, None, None),
+    ({**GOOD, "transaction_date": "2026-02-30"}, "INVALID_FIELD", "transaction_date"), ({**GOOD, "transaction_date": "2026-8-31"}, "INVALID_FIELD", "transaction_date"), ({**GOOD, "transaction_date": 20260831}, "INVALID_FIELD", "transaction_date"),
+    ({**GOOD, "direction": "Income"}, "INVALID_FIELD", "direction"), ({**GOOD, "source_transaction_id": None}, None, None), ({**GOOD, "category": None}, "INVALID_FIELD", "category"),
+    ({**GOOD, "category": " x"}, "INVALID_FIELD", "category"), ({**GOOD, "category": "\u2003"}, "INVALID_FIELD", "category"), ({**GOOD, "category": "x" * 100}, None, None), ({**GOOD, "category": "x" * 101}, "TEXT_TOO_LONG", "category"),
+    ({**GOOD, "description": 5, "category": 5}, "INVALID_FIELD", "category"), ({**GOOD, "balance_after_minor": -99_999_999_999_999}, None, None), ({**GOOD, "balance_after_minor": 10**14}, "BALANCE_OUT_OF_RANGE", "balance_after_minor"),
+    ({**GOOD, "balance_after_minor": None}, "INVALID_FIELD", "balance_after_minor"), (5, "INVALID_RECORDS", None), ([GOOD], "INVALID_RECORDS", None), (None, "INVALID_RECORDS", None),
+]
+WHOLE = {"contract_version": "v1", "source_system": "bank", "records": [GOOD]}
+PAYLOADS = [
+    (json.dumps(WHOLE), None, None, None), ("\ufeff" + json.dumps(WHOLE), None, None, None), ("{", "INVALID_PAYLOAD", None, None), ("[]", "INVALID_PAYLOAD", None, None), (json.dumps({**WHOLE, "more": 1}), "UNKNOWN_FIELD", None, None),
+    (json.dumps({"records": [], "more": 1}), "UNKNOWN_FIELD", None, None), (json.dumps({"records": []}), "MISSING_FIELD", "contract_version", None), (json.dumps({**WHOLE, "source_system": None, "contract_version": "v0"}), "INVALID_FIELD", "source_system", None),
+    (json.dumps({**WHOLE, "contract_version": "v0"}), "UNSUPPORTED_CONTRACT_VERSION", "contract_version", None), (json.dumps({**WHOLE, "source_system": ["bank"]}), "INVALID_FIELD", "source_system", None),
+    (json.dumps({**WHOLE, "records": None}), "INVALID_RECORDS", "records", None), (json.dumps({**WHOLE, "records": []}), "RECORD_COUNT_OUT_OF_RANGE", "records", None), (json.dumps({**WHOLE, "records": [GOOD] * 4}), "RECORD_COUNT_OUT_OF_RANGE", "records", None),
+    (json.dumps({**WHOLE, "records": [GOOD, {**GOOD, "amount_minor": 0}, 7]}), "AMOUNT_OUT_OF_RANGE", "amount_minor", 1),
+]
+
+
 def test_payload_files(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"contract_version": "v1", "source_system": "bank", "extra": 1, "records": [{"transaction_date": "2026-08-31", "amount_minor": 1234, "direction": "income"}, {"transaction_date": "2026-08-32", "amount_minor": 0, "direction": "x"}]}))
-    (tmp_path / "b.txt").write_text("a,b\n1,2\n")
-    envelopes, records = statements.read_payloads(spark, [str(tmp_path / "a.json")])
-    assert envelopes.first()["unknown_fields"] == ["extra"] and C.check_envelopes(envelopes, "v1", "bank").first()["code"] is None
-    assert [(r["position"], r["code"], r["field"]) for r in C.check_records(records).orderBy("position").collect()] == [(0, None, None), (1, "INVALID_FIELD", "transaction_date")]
-    kinds = {r["file"].rsplit("/", 1)[1]: r["kind"] for r in statements.upload_kinds(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.txt")]).collect()}
-    assert kinds == {"a.json": "json", "b.txt": "csv"}
+    (tmp_path / "all.json").write_text(json.dumps({**WHOLE, "records": [r for r, _, _ in RECORDS]}))
+    _, records = statements.read_payloads(spark, [str(tmp_path / "all.json")])
+    assert [(r["code"], r["field"]) for r in C.check_json_records(records).orderBy("position").collect()] == [(c, f) for _, c, f in RECORDS]
+    for k, (text, *_) in enumerate(PAYLOADS):
+        (tmp_path / f"{k}.txt").write_text(text, encoding="utf-8")
+    envelopes, records = statements.read_payloads(spark, [str(tmp_path / f"{k}.txt") for k in range(len(PAYLOADS))])
+    verdicts = C.payload_verdicts(C.check_json_envelopes(envelopes, "v1", "bank", 3), C.check_json_records(records))
+    found = {int(r["file"].rsplit("/", 1)[1][:-4]): (r["code"], r["field"], r["record_index"]) for r in verdicts.collect()}
+    assert found == {k: tuple(rest) for k, (_, *rest) in enumerate(PAYLOADS)}
+
+
+def test_uploads_of_either_kind(spark, tmp_path):
+    csv_text, json_text = "Date,Amount,Direction\n2026-08-31,5,income\n", json.dumps(WHOLE)
+    files = {"a.csv": csv_text, "b.JSON": json_text, "c.txt": "\n  " + json_text, "d.txt": csv_text, "e.dat": json_text, "f.csv": json_text, "g": csv_text, "h.json": csv_text}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    types = spark.createDataFrame([("e.dat", "text/csv"), ("d.txt", "Application/vnd.x+JSON"), ("a.csv", "application/json"), ("g", "image/png")], "file_name string, content_type string")
+    kinds = {r["file"].rsplit("/", 1)[1]: r["kind"] for r in statements.upload_kinds(spark, [str(tmp_path)], types).collect()}
+    assert kinds == {"a.csv": "csv", "b.JSON": "json", "c.txt": "json", "d.txt": "json", "e.dat": "csv", "f.csv": "csv", "g": "csv", "h.json": "json"}
+    records, refused = read_uploads(spark, [str(tmp_path)], "v1", "bank", types)
+    assert sorted((r["file"].rsplit("/", 1)[1], r["amount_minor"], str(r["transaction_date"])) for r in records.collect()) == [(n, k, "2026-08-31") for n, k in (("a.csv", 500), ("b.JSON", 1234), ("c.txt", 1234), ("g", 500))]
+    assert {r["file"].rsplit("/", 1)[1] for r in refused.collect()} == {"d.txt", "e.dat", "f.csv", "h.json"}
 
 
 BATCH = "batch_id long, position long, business_id string, account_id string, source_system string, source_transaction_id string, currency string, transaction_date date, amount_minor long, direction string, category string, payment_mode string"
