@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -134,6 +134,16 @@ def payment_mode(text: Column) -> Column:
     return payment_mode_of(clean_text(text))
 
 
+def with_nfkc_cells(rows: DataFrame, name: str = "cells") -> DataFrame:
+    """`rows` with the texts of an array column in NFKC form; only rows with text beyond ASCII go through Python.
+
+    The rows are read twice, once for each part, so they should be stored.
+    """
+    odd = F.exists(name, lambda c: F.coalesce(c.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    plain = F.transform(name, lambda c: F.coalesce(c, F.lit("")))
+    return rows.filter(~odd).withColumn(name, plain).unionByName(rows.filter(odd).withColumn(name, nfkc_cells(F.col(name))))
+
+
 def nfkc_cells(cells: Column) -> Column:
     """NFKC form of every text of an array, in one call for the row."""
     apart = "\x1f"

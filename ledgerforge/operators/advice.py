@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .scope import KEYS
 
 RANKS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
-LARGE = ("Risk", "Review the large transaction", "HIGH")
 # Category, title, priority (also the severity) and action of each anomaly type.
 ANOMALY_RULES = {
     "negative_cash_flow": ("Cash Flow", "Address negative cash flow", "HIGH", "Review spending and restore positive cash flow."),
@@ -19,9 +18,9 @@ ANOMALY_RULES = {
     "income_interruption": ("Income", "Restore income continuity", "CRITICAL", "Investigate the interruption and restore reliable income activity."),
     "expense_explosion": ("Expense", "Investigate expense explosion", "CRITICAL", "Investigate the expense increase and pause avoidable spending."),
     "sudden_expense_spike": ("Expense", "Investigate expense spike", "HIGH", "Review the affected period and reduce discretionary spending."),
-    "large_transaction": (*LARGE, "Investigate the large payment before approving similar activity."),
+    "large_transaction": ("Risk", "Review the large transaction", "HIGH", "Investigate the large payment before approving similar activity."),
     "unusually_large_income": ("Risk", "Review the large transaction", "MEDIUM", "Verify the unusual income and retain supporting records."),
-    "unusually_large_expense": (*LARGE, "Investigate the large payment before approving similar activity."),
+    "unusually_large_expense": ("Risk", "Review the large transaction", "HIGH", "Investigate the large payment before approving similar activity."),
     "category_spike": ("Category Spending", "Monitor category spending", "HIGH", "Monitor the affected category and reduce avoidable costs."),
     "recurring_expense_growth": ("Expense", "Review recurring expenses", "HIGH", "Review recurring subscriptions and renegotiate fixed costs."),
     "very_high_recurring_expenses": ("Expense", "Review recurring expenses", "HIGH", "Review recurring subscriptions and renegotiate fixed costs."),

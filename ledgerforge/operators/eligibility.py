@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rules that are broadcast, about 20 MB.
+MOST_RULES = 50_000
+
 
 def eligibility(businesses: DataFrame, schemes: DataFrame) -> DataFrame:
     """Every business against every scheme: `eligible` and the list of checks.
 
-    Schemes are a rule table of a few rows kept by hand, far below any broadcast limit; the
-    conditions are columns, so the pairing is a nested loop over it. Ages bound only where
-    they are set.
+    Every pair is a row of the result, so the pairing is a nested loop; the rule table is
+    broadcast when its count allows it. Ages bound only where they are set.
     """
     c = F.col
     check = lambda label, ok: F.struct(label.alias("check"), F.coalesce(ok, F.lit(False)).alias("passed"))
@@ -25,15 +27,36 @@ def eligibility(businesses: DataFrame, schemes: DataFrame) -> DataFrame:
         F.when(low.isNotNull(), check(F.concat(F.lit("Owner age >= "), low.cast("int").cast("string")), c("b.owner_age") >= low)),
         F.when(high.isNotNull(), check(F.concat(F.lit("Owner age <= "), high.cast("int").cast("string")), c("b.owner_age") <= high)),
     ))
-    pairs = businesses.alias("b").join(F.broadcast(schemes).alias("s"))
+    rules = F.broadcast(schemes) if schemes.count() <= MOST_RULES else schemes
+    pairs = businesses.alias("b").crossJoin(rules.alias("s"))
     kept = [c for c in ("scheme_id", "scheme_name", "benefit_summary", "source_url", "last_verified_date") if c in schemes.columns]
     rows = pairs.select("b.business_id", *[f"s.{k}" for k in kept], checks.alias("checks"))
     return rows.withColumn("eligible", F.forall("checks", lambda x: x["passed"]))
 
 
+def _scale(turnover: Column) -> Column:
+    """The power of two a turnover lies in; 0 below 1. It never falls as turnovers rise."""
+    return F.when(turnover >= 1, F.floor(F.log2(turnover)).cast("int") + 1).otherwise(0)
+
+
 def eligible_names(businesses: DataFrame, schemes: DataFrame) -> DataFrame:
-    """Names of the schemes that fit, once each."""
-    return eligibility(businesses, schemes).filter("eligible").select("business_id", "scheme_name").distinct()
+    """Names of the schemes that fit, once each, without looking at those that do not.
+
+    A business asks under its own state, sector and category and under `Any` for each (eight keys
+    at most) and under its scale of turnover; a scheme answers under its three values and every
+    scale that its range touches. What meets by these keys is checked against the exact ranges.
+    """
+    c = F.col
+    either = lambda own: F.array_distinct(F.array_compact(F.array(c(own), F.lit("Any"))))
+    asking = businesses.filter("turnover IS NOT NULL").select("business_id", "turnover", "owner_age", F.explode(either("state")).alias("state"), "sector", "business_category")
+    asking = asking.withColumn("sector", F.explode(either("sector"))).withColumn("business_category", F.explode(either("business_category"))).withColumn("scale", _scale(c("turnover")))
+    rules = schemes.filter("min_turnover <= max_turnover").select(
+        "scheme_name", c("applicable_states").alias("state"), "sector", "business_category", "min_turnover", "max_turnover", "min_age", "max_age",
+        F.explode(F.sequence(_scale(c("min_turnover")), _scale(c("max_turnover")))).alias("scale"),
+    )
+    met = asking.join(rules, ["state", "sector", "business_category", "scale"])
+    fits = c("turnover").between(c("min_turnover"), c("max_turnover")) & (c("min_age").isNull() | (c("owner_age") >= c("min_age"))) & (c("max_age").isNull() | (c("owner_age") <= c("max_age")))
+    return met.filter(fits).select("business_id", "scheme_name").distinct()
 
 
 def profile_from_kpis(figures: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scope import KEYS
 
@@ -30,7 +31,37 @@ def sections(figures: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: D
         "business_health_report": metrics,
         "anomaly_report": anomalies,
     }
-    return {name: table.select(*[c for c in table.columns if c in KEYS or c not in SENSITIVE]) for name, table in found.items()}
+    return {name: without_sensitive(table) for name, table in found.items()}
+
+
+def _rewritten(value: Column, kind: T.DataType) -> Column | None:
+    """`value` without sensitive names at any depth; None where there are none."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, _rewritten(value.getField(f.name), f.dataType)) for f in kind.fields if f.name not in SENSITIVE]
+        if len(parts) == len(kind.fields) and all(part is None for _, part in parts):
+            return None
+        made = F.struct(*[(value.getField(name) if part is None else part).alias(name) for name, part in parts])
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return None if _same(kind.elementType) else F.transform(value, lambda x: _rewritten(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        # Names of a map are its keys, known only row by row.
+        out = F.map_filter(value, lambda k, _: ~k.isin(*SENSITIVE)) if isinstance(kind.keyType, T.StringType) else value
+        return out if _same(kind.valueType) else F.transform_values(out, lambda _, v: _rewritten(v, kind.valueType))
+    return None
+
+
+def _same(kind: T.DataType) -> bool:
+    """Whether nothing within a type could be sensitive."""
+    if isinstance(kind, T.StructType):
+        return all(f.name not in SENSITIVE and _same(f.dataType) for f in kind.fields)
+    return _same(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType)
+
+
+def without_sensitive(table: DataFrame) -> DataFrame:
+    """R2: `table` without sensitive columns, fields of structs, and keys of maps, however deep; the account keys stay."""
+    names = [f for f in table.schema.fields if f.name in KEYS or f.name not in SENSITIVE]
+    return table.select(*[F.col(f.name) if _same(f.dataType) else _rewritten(F.col(f.name), f.dataType).alias(f.name) for f in names])
 
 
 def trends(figures: DataFrame, daily: DataFrame, weekly: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_header_key, collapse, direction_of_key, nfkc_cells, parse_date, parse_number, payment_mode_of, to_minor
+from ..functions.text import ascii_header_key, collapse, direction_of_key, with_nfkc_cells, parse_date, parse_number, payment_mode_of, to_minor
 from ..sources.sinks import kept
 from .contract import MOST_MINOR, TEXT_LIMITS
 
@@ -141,7 +141,7 @@ def canonicalize(rows: DataFrame, layouts: DataFrame, mode: str = "file") -> tup
     """
     mapping = kept(map_headers(layouts))
     rows = rows.filter(F.exists("cells", lambda cell: F.trim(F.coalesce(cell, F.lit(""))) != "") | F.col("fault").isNotNull())
-    rows = kept(rows.withColumn("cells", nfkc_cells(F.col("cells"))))
+    rows = kept(with_nfkc_cells(kept(rows)))
     named = rows.join(directional_files(rows, mapping), "file", "left").fillna(False, ["by_type"])
     r = named.join(_small(mapping), ["layout", "by_type"], "left")
     cell = lambda role: collapse(F.get("cells", F.when(F.col(f"at_{role}") >= 0, F.col(f"at_{role}"))))

@@ -49,6 +49,12 @@ register(
     f"SELECT transaction_id, {IDENTITY_SQL} AS canonical_identity_hash FROM (SELECT *, 'bank' AS source_system FROM ledger)",
     "ledger",
 )
+register(
+    "identity_hash_odd",
+    lambda spark, sf: D.with_hash(shape(spark, sf, "ledger").withColumns({"source_system": F.lit('say "bank"'), "account_id": F.concat(F.lit("\t"), "account_id", F.lit("\x1f\\\\"))})).select("transaction_id", "canonical_identity_hash"),
+    """SELECT transaction_id, sha256('["v1","\\t' || account_id || '\\u001f\\\\\\\\","say \\"bank\\"","' || currency || '","' || strftime(transaction_date, '%Y-%m-%d') || '",' || amount_minor || ',"' || direction || '"]') AS canonical_identity_hash FROM ledger""",
+    "ledger",
+)
 register(
     "ledger_hash",
     lambda spark, sf: shape(spark, sf, "legacy").select("transaction_id", D.ledger_hash(F.col("business_id"), F.lit(None).cast("string"), F.col("transaction_date"), X.major_units(F.col("amount_minor")), F.col("transaction_type"), F.col("category"), F.col("payment_mode"), F.lit("  Monthly   Bill "), F.col("user_id")).alias("transaction_hash")),
@@ -224,12 +230,15 @@ def _profit_shown(spark, sf) -> DataFrame:
 register("profit_and_loss", _profit_shown, PL_SQL, "main_account", "card_account", "payroll")
 register(
     "table_profile",
-    lambda spark, sf: P.profile(shape(spark, sf, "main_account"), "date").filter("measure <> 'values'"),
+    lambda spark, sf: P.profile(shape(spark, sf, "main_account"), "date"),
     """SELECT '*' AS column_name, 'rows' AS measure, CAST(count(*) AS VARCHAR) AS value FROM main_account UNION ALL SELECT 'date', 'first', CAST(min(date) AS VARCHAR) FROM main_account
        UNION ALL SELECT 'date', 'last', CAST(max(date) AS VARCHAR) FROM main_account
+       UNION ALL SELECT 'category', 'values', (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT category AS c FROM main_account)) UNION ALL SELECT 'type', 'values', (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT type AS c FROM main_account))
        UNION ALL SELECT unnest(['business_id', 'date', 'category', 'type', 'amount']), 'missing', unnest([CAST(count(*) - count(business_id) AS VARCHAR), CAST(count(*) - count(date) AS VARCHAR), CAST(count(*) - count(category) AS VARCHAR), CAST(count(*) - count(type) AS VARCHAR), CAST(count(*) - count(amount) AS VARCHAR)]) FROM main_account""",
     "main_account",
 )
+register("first_ledger_rows", lambda spark, sf: P.first_rows(shape(spark, sf, "ledger").select("transaction_id", "transaction_date", "amount_minor"), ["transaction_date", "transaction_id"]),
+         "SELECT transaction_id, CAST(transaction_date AS VARCHAR) AS transaction_date, amount_minor, row_number() OVER (ORDER BY ledger.transaction_date, transaction_id) AS row FROM ledger QUALIFY row <= 3", "ledger")
 register("source_totals", lambda spark, sf: double(P.source_totals(shape(spark, sf, "main_account"), "business_id"), "credit", "debit", "net"),
          """SELECT business_id, CAST(sum(CASE WHEN type = 'Credit' THEN amount ELSE 0 END) AS DOUBLE) AS credit, CAST(sum(CASE WHEN type = 'Debit' THEN amount ELSE 0 END) AS DOUBLE) AS debit,
             CAST(sum(CASE WHEN type = 'Credit' THEN amount ELSE -amount END) AS DOUBLE) AS net FROM main_account GROUP BY 1""", "main_account")
@@ -248,6 +257,7 @@ register(
     "profiles", "schemes",
 )
 register("eligible_names", lambda spark, sf: E.eligible_names(shape(spark, sf, "profiles"), shape(spark, sf, "schemes")), f"SELECT DISTINCT business_id, scheme_name FROM profiles p, schemes s WHERE {FITS}", "profiles", "schemes")
+register("eligible_parts", lambda spark, sf: E.eligible_names(shape(spark, sf, "profiles"), shape(spark, sf, "part_schemes")), f"SELECT DISTINCT business_id, scheme_name FROM profiles p, part_schemes s WHERE {FITS}", "profiles", "part_schemes")
 register(
     "turnover_profiles",
     lambda spark, sf: E.profile_from_kpis(_profit_shown(spark, sf), shape(spark, sf, "businesses")),

@@ -113,6 +113,13 @@ SHAPES = {
             ('S7', 'Scale', 'Any', 500001, 1000000, '7', 'Micro', 18, 65), ('S8', 'Large', 'Any', 1000001, 2000000, 'Any', 'Micro', 18, 65),
             ('S9', 'Stand', 'Any', 0, 100000000, 'Any', 'Small', 18, NULL), ('S10', 'Startup', 'Any', 0, 200000000, '3', 'Startup', NULL, 40)
         ) AS s(scheme_id, scheme_name, sector, min_turnover, max_turnover, applicable_states, business_category, min_age, max_age)""",
+    "part_schemes": """
+        SELECT concat('P', p_partkey) AS scheme_id, p_name AS scheme_name, CASE p_partkey % 4 WHEN 0 THEN 'Any' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'MACHINERY' ELSE 'AUTOMOBILE' END AS sector,
+               CAST(p_size AS DOUBLE) * 90000 AS min_turnover, CAST(p_size AS DOUBLE) * 90000 + p_retailprice * 100 AS max_turnover,
+               CASE WHEN p_partkey % 5 = 0 THEN 'Any' ELSE CAST(p_partkey % 25 AS VARCHAR(10)) END AS applicable_states,
+               CASE p_partkey % 3 WHEN 0 THEN 'Any' WHEN 1 THEN 'Micro' ELSE 'Small' END AS business_category,
+               CASE WHEN p_partkey % 7 < 3 THEN 18 + p_partkey % 20 END AS min_age, CASE WHEN p_partkey % 11 < 5 THEN 60 - p_partkey % 20 END AS max_age
+        FROM {part}""",
     "profiles": """
         SELECT concat('biz_', c_custkey) AS business_id, c_acctbal * 1000 AS turnover, CAST(c_nationkey AS VARCHAR(10)) AS state, c_mktsegment AS sector,
                CASE c_custkey % 3 WHEN 0 THEN 'Micro' WHEN 1 THEN 'Small' ELSE 'Startup' END AS business_category, 18 + c_custkey % 60 AS owner_age

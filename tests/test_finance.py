@@ -456,6 +456,32 @@ def test_eligibility(spark):
     assert [tuple(r) for r in E.eligible_names(profiles, schemes).collect()] == [("b", "One")]
 
 
+def test_eligible_names_are_those_of_all_pairs(spark):
+    import random
+
+    dice = random.Random(4)
+    pick = lambda *values: dice.choice(values)
+    amount = lambda: pick(0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 1023.0, 1024.0, 1025.0, 5e5, -3.0)
+    schemes = [(f"s{k}", f"Name {k % 40}", pick("Any", "A", "B"), *sorted([amount(), amount()])[:: pick(1, 1, 1, -1)], pick("Any", "x", "y"), pick("Any", "m", "n"), pick(None, 18.0, 30.0), pick(None, 40.0, 60.0)) for k in range(80)]
+    profiles = [(f"b{k}", pick(None, amount(), amount()), pick("x", "y", "z", "Any", None), pick("A", "B", "C", None), pick("m", "n", None), pick(None, 17, 18, 35, 61)) for k in range(120)]
+    rules = spark.createDataFrame(schemes, "scheme_id string, scheme_name string, sector string, min_turnover double, max_turnover double, applicable_states string, business_category string, min_age double, max_age double")
+    people = spark.createDataFrame(profiles, "business_id string, turnover double, state string, sector string, business_category string, owner_age int")
+    expected = {(r["business_id"], r["scheme_name"]) for r in E.eligibility(people, rules).filter("eligible").collect()}
+    found = [tuple(r) for r in E.eligible_names(people, rules).collect()]
+    assert set(found) == expected and len(found) == len(expected) > 100
+
+
+def test_sensitive_names_at_any_depth(spark):
+    value = """named_struct('token', 1, 'kept', named_struct('path', 2, 'rows', array(named_struct('sql', 3, 'ok', map('session_id', 'x', 'fine', 'y')), NULL)), 'none', CAST(NULL AS STRUCT<token: INT, a: INT>))"""
+    table = spark.sql(f"SELECT 'b' AS business_id, 'a' AS account_id, 't' AS transaction_id, {value} AS nested, map(1, named_struct('token', 5, 'b', 6)) AS by_number, array(1, 2) AS plain")
+    cleaned = R.without_sensitive(table)
+    names = cleaned.schema.simpleString()
+    assert all(f"{n}:" not in names for n in ("token", "path", "sql", "transaction_id"))
+    row = json.loads(cleaned.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0])
+    assert row == {"business_id": "b", "account_id": "a", "nested": {"kept": {"rows": [{"ok": {"fine": "y"}}, None]}, "none": None}, "by_number": {"1": {"b": 6}}, "plain": [1, 2]}
+    assert R.without_sensitive(table.select("plain")).schema == table.select("plain").schema
+
+
 def test_chunks_and_neighbours(spark):
     text = "para one. " * 40 + "\n\n" + "word " * 200 + "x" * 700
     pieces = M.split_text(text)
