@@ -5,9 +5,10 @@ languages to those seen in that script while learning; each candidate gets the s
 log-probabilities of the word's character n-grams. Viterbi over the words, with a penalty
 for each switch, labels spans; the document takes the language with most letters.
 
-The model is fitted on a bounded sample: about `SAMPLE_PER_LANGUAGE` documents of each
-language (all, where there are fewer), chosen by a hash of the identifier. Prediction reads
-every whole text and nothing else.
+The model is fitted on a bounded sample: of each language about `SAMPLE_PER_LANGUAGE` documents
+or `SAMPLE_BYTES` of text, whichever is less (all, where there are fewer), chosen by a hash of the
+identifier among texts of at most `LONGEST_SAMPLED` bytes; `SAMPLE_BYTES_ALL` bound all languages
+together. Prediction reads every whole text and nothing else.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .tokenizing import blocks
 
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_PER_LANGUAGE = 1500
+#: Bytes of the sample's texts: of one value, of all values, and of one text.
+SAMPLE_BYTES, SAMPLE_BYTES_ALL, LONGEST_SAMPLED = 16 << 20, 256 << 20, 1 << 20
 #: Every so many-th remainder class of crc32(doc_id) is held out from learning.
 FOLDS = 5
 #: Log-probability lost by changing the language between two words.
@@ -58,11 +61,19 @@ def fold_of(column: str) -> F.Column:
 
 
 def sampled(rows: DataFrame, label: str, each: int) -> DataFrame:
-    """About `each` rows of every value of `label`, chosen by a hash of doc_id; one count, no order."""
-    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    shares = F.create_map(*[x for value, n in sizes.items() for x in (F.lit(value), F.lit(min(1.0, each / n)))]) if sizes else None
-    if shares is None:
+    """About `each` rows or `SAMPLE_BYTES` of every value of `label`, whichever is less.
+
+    `rows` has doc_id and n_bytes. Rows are chosen by a hash of doc_id: one sum, no order. What
+    all values take together is bounded too.
+    """
+    rows = rows.filter(F.col("n_bytes") <= LONGEST_SAMPLED)
+    sums = rows.groupBy(label).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    # Values may be many; a row each with two numbers is all that the driver gets of them.
+    sizes = {r[label]: (r["n"], max(1, r["size"])) for r in sums.collect()}
+    if not sizes:
         return rows.limit(0)
+    most = min(SAMPLE_BYTES, SAMPLE_BYTES_ALL // len(sizes))
+    shares = F.create_map(*[x for value, (n, size) in sizes.items() for x in (F.lit(value), F.lit(min(1.0, each / n, most / size)))])
     uniform = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rows.filter(uniform < shares[F.col(label)])
 
@@ -84,8 +95,14 @@ class Words:
     doc: np.ndarray
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places are those of the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def words_of(rows: list[str]) -> Words:
-    rows = [r.lower() for r in rows]
+    rows = [lowered(r) for r in rows]
     joined = " " + " ".join(rows) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(r) for r in rows], np.int64)
@@ -206,35 +223,59 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
-def predict(model: Model, rows: list[str]) -> list[tuple[str, float, int]]:
-    """(language, score, spans) of each text."""
-    return [found[:3] for found in label_spans(model, rows)]
+@dataclass
+class Labelled:
+    """What is found in a text: its language, the score, the share of letters labelled with it, and all spans."""
 
+    language: str
+    score: float
+    share: float
+    spans: list[tuple[int, int, str]]  # from, to (code points, the last one out), language
 
-def label_spans(model: Model, rows: list[str]) -> list[tuple[str, float, int, float]]:
-    """(language, score, spans, share) of each text; share is that of the letters labelled with the language."""
+
+def label_spans(model: Model, rows: list[str]) -> list[Labelled]:
+    """Languages and spans of texts.
+
+    A span goes from its first word to its last. Its posterior compares the sums of its words'
+    scores over all languages; the score of the text's language is the mean of its spans'
+    posteriors, weighted by their share of all letters.
+    """
     if not model.languages:
-        return [(UNKNOWN, 0.0, 0, 0.0)] * len(rows)
+        return [Labelled(UNKNOWN, 0.0, 0.0, []) for _ in rows]
     words = words_of(rows)
     n = len(model.languages)
     scores = word_scores(model, words)
     labels = viterbi(scores, words.doc, SWITCH_PENALTY)
     letters = np.bincount(words.doc * n + labels, words.lengths, len(rows) * n).reshape(-1, n)
-    total = np.stack([np.bincount(words.doc, scores[:, k], len(rows)) for k in range(n)], axis=1)
-    posterior = np.exp(total - total.max(axis=1, keepdims=True))
-    posterior /= posterior.sum(axis=1, keepdims=True)
-    changes = np.zeros(len(words.doc), np.int64)
-    if len(changes):
-        changes[1:] = (words.doc[1:] == words.doc[:-1]) & (labels[1:] != labels[:-1])
-    spans = np.bincount(words.doc, changes, len(rows)).astype(int) + (letters.sum(axis=1) > 0)
-    unsure = np.abs(total).max(axis=1) == 0
+    some = letters.sum(axis=1) > 0
+    # Words that begin a span, and what each span sums up to.
+    begins = np.flatnonzero(np.concatenate([[True], (words.doc[1:] != words.doc[:-1]) | (labels[1:] != labels[:-1])])) if len(labels) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(labels)) - 1 if len(begins) else begins
+    sums = np.add.reduceat(scores, begins, axis=0) if len(begins) else np.zeros((0, n))
+    span_doc, span_label = words.doc[begins], labels[begins]
+    odds = np.exp(sums - sums.max(axis=1, keepdims=True)) if len(begins) else sums
+    posterior = odds[np.arange(len(begins)), span_label] / odds.sum(axis=1) if len(begins) else np.zeros(0)
+    span_letters = np.add.reduceat(words.lengths, begins) if len(begins) else begins
+    unsure = np.bincount(span_doc, np.abs(sums).max(axis=1), len(rows)) == 0 if len(begins) else np.ones(len(rows), bool)
     best = np.where(unsure, model.common, letters.argmax(axis=1))
-    share = letters[np.arange(len(rows)), best] / np.maximum(1, letters.sum(axis=1))
-    score = share * posterior[np.arange(len(rows)), best]
-    return [
-        (model.languages[b], float(s), int(k), float(h)) if some else (UNKNOWN, 0.0, 0, 0.0)
-        for b, s, k, h, some in zip(best, score, spans, share, letters.sum(axis=1) > 0)
-    ]
+    own = span_label == best[span_doc]
+    whole = np.maximum(1, letters.sum(axis=1))
+    score = np.bincount(span_doc[own], (posterior * span_letters)[own], len(rows)) / whole
+    share = letters[np.arange(len(rows)), best] / whole
+    score = np.where(unsure, 1 / n, score)
+    # Places within each text: texts lie behind one another with a blank between them.
+    text_begins = 1 + np.cumsum([0, *[len(r) + 1 for r in rows]])[:-1] if rows else np.zeros(0, np.int64)
+    first = words.starts[begins] - text_begins[span_doc]
+    last = words.starts[ends] + words.lengths[ends] - text_begins[span_doc]
+    found = [Labelled(model.languages[b], min(1.0, float(s)), float(h), []) if x else Labelled(UNKNOWN, 0.0, 0.0, []) for b, s, h, x in zip(best, score, share, some)]
+    for doc, low, high, label in zip(span_doc.tolist(), first.tolist(), last.tolist(), span_label.tolist()):
+        found[doc].spans.append((low, high, model.languages[label]))
+    return found
+
+
+def predict(model: Model, rows: list[str]) -> list[tuple[str, float, int]]:
+    """(language, score, number of spans) of each text."""
+    return [(f.language, f.score, len(f.spans)) for f in label_spans(model, rows)]
 
 
 def learn(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -243,17 +284,22 @@ def learn(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> Model:
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of("doc_id") != 0)
     )
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("n_bytes", F.octet_length("text").cast("long"))
     rows = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in sampled(known, "lang", each).collect())
     return fit([(lang, text) for lang, _, text in rows], counts)
 
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans int"
+SPAN = "struct<begin:int,end:int,lang:string>"
+SCHEMA = f"doc_id long, held_out boolean, lang_pred string, score double, spans int, labelled array<{SPAN}>"
+SPAN_KIND = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and number of spans of every row of `docs`.
+    """doc_id, held_out, lang_pred, score, number of spans and the spans themselves of every row of `docs`.
 
-    Null texts and texts without a letter are `und` with score 0. Letters of a script that no
+    `labelled` has (begin, end, lang) of each span in code points. Null texts and texts without a
+    letter are `und` with score 0 and no span; a very long text is labelled whole, in memory of some
+    hundred times its size; an empty table gives no rows; columns besides doc_id and text are left out. Letters of a script that no
     learned language uses say nothing; a text of such letters only gets the most frequent
     language. Repeated rows repeat. The model, fixed by `TABLE_BITS` and the number of
     languages, is broadcast; nothing is shuffled.
@@ -267,12 +313,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = []
             text = batch.column("text").to_pylist()
             for begin, end in blocks(text, BLOCK_CHARS):
-                found += predict(model, text[begin:end])
-            lang, score, spans = zip(*found) if found else ((), (), ())
+                found += label_spans(model, text[begin:end])
+            spans = [[{"begin": low, "end": high, "lang": lang} for low, high, lang in f.spans] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int32())],
-                names=["doc_id", "held_out", "lang_pred", "score", "spans"],
-            )
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array([f.language for f in found], pa.string()), pa.array([f.score for f in found], pa.float64()),
+                    pa.array([len(s) for s in spans], pa.int32()), pa.array(spans, SPAN_KIND),
+                ],
+                names=["doc_id", "held_out", "lang_pred", "score", "spans", "labelled"],
+            )
 
     return rows.mapInArrow(label, SCHEMA)
 
@@ -285,15 +334,15 @@ def language_id(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of `docs` with a language that holds at least `least` of their letters, with all their columns.
 
-    Only the labels of the spans count: in a text of two languages the posterior of either is
-    about 0 or 1.
+    Only the labels of the spans count, not how sure they are. Texts without a letter go, very long
+    ones are labelled whole, an empty table stays empty, and columns of any name keep their values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def shares(rows):
         model = shared.value
         found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in label_spans(model, rows[begin:end])]
-        return [None if lang == UNKNOWN else share for lang, _, _, share in found]
+        return [None if f.language == UNKNOWN else f.share for f in found]
 
     name = unused("lang_share", docs)
     return with_text_column(docs, shares, pa.float64(), name).filter(F.col(name) >= least).drop(name)

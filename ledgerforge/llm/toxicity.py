@@ -7,8 +7,8 @@ the rewriting is part of the loss. Terms that only name a group thus lose their
 which keeps neutral mentions from being rejected, while abuse keeps its weight.
 
 The model is fitted on a bounded sample, about `SAMPLE_PER_LABEL` documents of each label
-(all, where there are fewer), chosen by a hash of the identifier; scoring reads every whole
-text and nothing else.
+(all, where there are fewer) and no more than the bytes that `language_id.sampled` allows, chosen
+by a hash of the identifier; scoring reads every whole text and nothing else.
 """
 
 from __future__ import annotations
@@ -136,33 +136,57 @@ def fit(
     for term in sorted({t for family in families for t in family if any(t in s for s, _ in sets)}):
         index.setdefault(term, len(index))
     y = np.array([label for _, label in sets], float)
-    row, column = _matrix([s for s, _ in sets], index)
-    pairs = [(k, other) for k, (found, _) in enumerate(sets) for other in swapped(found, families)]
-    origin = np.array([k for k, _ in pairs], np.int64)
-    pair_row, pair_column = _matrix([other for _, other in pairs], index)
-    n, m, p = len(sets), len(index), len(pairs)
-    weight = np.where(y == 1, n / 2 / y.sum(), n / 2 / (n - y.sum()))
-    w, bias = np.zeros(m), 0.0
-    sums, counts = np.zeros(m + 1), 0
+    problem = Problem(sets, index, families, penalty)
+    params = np.zeros(len(index) + 1)
+    sums, counts = np.zeros(len(params)), 0
     for step in range(STEPS):
-        z = np.bincount(row, w[column], n) + bias
-        prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = weight * (prob - y) / n
-        gradient = np.bincount(column, error[row], m) + RIDGE * w / m**0.5
-        if p:
-            other = np.bincount(pair_row, w[pair_column], p) + bias
-            other_prob = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
-            gap = 2 * penalty * (prob[origin] - other_prob) / p
-            slope = np.bincount(origin, gap * prob[origin] * (1 - prob[origin]), n)
-            gradient += np.bincount(column, slope[row], m)
-            gradient -= np.bincount(pair_column, (gap * other_prob * (1 - other_prob))[pair_row], m)
-        full = np.append(gradient, error.sum())
+        full = problem.gradient(params)
         sums = 0.999 * sums + 0.001 * full**2
         counts = counts * 0.999 + 0.001
         rate = 0.1 / (1 + step / 100)
-        move = rate * full / (np.sqrt(sums / counts) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return Classifier(index, w, float(bias))
+        params = params - rate * full / (np.sqrt(sums / counts) + 1e-8)
+    return Classifier(index, params[:-1], float(params[-1]))
+
+
+class Problem:
+    """The loss over labelled texts and their rewritten forms, as a function of all weights and the bias (last)."""
+
+    def __init__(self, sets: list[tuple[set[str], int]], index: dict[str, int], families, penalty: float):
+        self.penalty = penalty
+        self.y = np.array([label for _, label in sets], float)
+        self.row, self.column = _matrix([s for s, _ in sets], index)
+        pairs = [(k, other) for k, (found, _) in enumerate(sets) for other in swapped(found, families)]
+        self.origin = np.array([k for k, _ in pairs], np.int64)
+        self.pair_row, self.pair_column = _matrix([other for _, other in pairs], index)
+        self.n, self.m, self.p = len(sets), len(index), len(pairs)
+        self.weight = np.where(self.y == 1, self.n / 2 / self.y.sum(), self.n / 2 / (self.n - self.y.sum()))
+
+    def _scores(self, params):
+        w, bias = params[:-1], params[-1]
+        logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        prob = logistic(np.bincount(self.row, w[self.column], self.n) + bias)
+        return prob, logistic(np.bincount(self.pair_row, w[self.pair_column], self.p) + bias) if self.p else np.zeros(0)
+
+    def loss(self, params) -> float:
+        """Weighted log loss, ridge on the weights, and the mean squared change of scores under rewriting."""
+        prob, other = self._scores(params)
+        likely = -np.sum(self.weight * (self.y * np.log(prob) + (1 - self.y) * np.log(1 - prob))) / self.n
+        change = self.penalty * np.mean((prob[self.origin] - other) ** 2) if self.p else 0.0
+        return float(likely + RIDGE * np.sum(params[:-1] ** 2) / 2 / self.m**0.5 + change)
+
+    def gradient(self, params):
+        prob, other = self._scores(params)
+        # The slope of the loss in each text's own sum of weights; rewriting pulls on both forms.
+        slope = self.weight * (prob - self.y) / self.n
+        out = RIDGE * params[:-1] / self.m**0.5
+        bias = 0.0
+        if self.p:
+            gap = 2 * self.penalty * (prob[self.origin] - other) / self.p
+            slope = slope + np.bincount(self.origin, gap * prob[self.origin] * (1 - prob[self.origin]), self.n)
+            back = gap * other * (1 - other)
+            out = out - np.bincount(self.pair_column, back[self.pair_row], self.m)
+            bias = -back.sum()
+        return np.append(out + np.bincount(self.column, slope[self.row], self.m), slope.sum() + bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -> Classifier:
@@ -173,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -> C
     """
     known = labels.filter(F.col("toxic").isNotNull() & (fold_of("doc_id") != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    picked = sampled(known, "toxic", each)
+    sizes = texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
+    picked = sampled(known.join(sizes, "doc_id"), "toxic", each).select("doc_id", "toxic")
     # About 2 * `each` identifiers: a size fixed by the sample's bound.
     rows = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
     return fit([(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
@@ -207,7 +232,9 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.5) of every row of `docs`.
 
     Null and empty texts have no features and get the score that the bias alone gives.
-    Repeated rows repeat. The model has at most `MOST_FEATURES` weights and is broadcast.
+    Repeated rows repeat, a very long text is scored whole, an empty table gives no rows, and
+    columns besides doc_id and text are left out. The model has at most `MOST_FEATURES` weights and
+    those of identity terms, and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = _name(model)
@@ -231,7 +258,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -
 
 
 def keep_below(docs: DataFrame, model: Classifier, limit: float) -> DataFrame:
-    """The rows of `docs` with a score below `limit`, with all their columns."""
+    """The rows of `docs` with a score below `limit`, with all their columns, whatever their names.
+
+    Null and empty texts have the score of the bias alone; a score equal to `limit` goes; repeated
+    rows are judged alike, very long texts whole; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = _name(model)
 
