@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ACCOUNT = ("business_id", "account_id", "source_system")
 LEDGER = ("transaction_id", "business_id", "account_id", "transaction_date", "amount_minor", "direction", "currency", "category", "payment_mode", "attempt_id")
 IDENTITY = ("identity_id", "transaction_id", "attempt_id", "business_id", "account_id", "source_system", "source_transaction_id", "currency", "transaction_date", "amount_minor", "direction", "canonical_identity_hash")
 
@@ -30,14 +31,49 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the identity table. An account's identities are in one of them.
+BUCKETS = 64
+#: Batches up to this many rows (some 100 MB of keys) are broadcast to the identities they may meet.
+FEW_ROWS = 500_000
+
+
+def bucket_of() -> Column:
+    """The folder of a row's account, for rows with the columns of `ACCOUNT`."""
+    return F.pmod(F.xxhash64(*ACCOUNT), F.lit(BUCKETS)).cast("int")
+
+
 def append(accepted: DataFrame, attempts: DataFrame, folder: str) -> None:
     """Write ledger and identity rows first and the attempts' rows last: these are the commit mark."""
     accepted.select(*[c for c in LEDGER if c in accepted.columns]).write.mode("append").parquet(f"{folder}/ledger")
-    accepted.select(*[c for c in IDENTITY if c in accepted.columns]).write.mode("append").parquet(f"{folder}/identities")
+    identities = accepted.select(*[c for c in IDENTITY if c in accepted.columns]).withColumn("bucket", bucket_of())
+    identities.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/identities")
     attempts.write.mode("append").parquet(f"{folder}/attempts")
 
 
+def identities_met_by(batch: DataFrame, folder: str) -> DataFrame:
+    """Committed identities with the account and either the source id or the hash of some row of `batch`.
+
+    Only folders of accounts in the batch are read (their numbers, at most `BUCKETS`, are the
+    driver's). A batch that a count shows to be small is broadcast, so that stored rows are not
+    shuffled; the commit mark is looked up for those that match.
+    """
+    spark = batch.sparkSession
+    hit = [r["bucket"] for r in batch.select(bucket_of().alias("bucket")).distinct().collect()]
+    stored = spark.read.parquet(f"{folder}/identities").filter(F.col("bucket").isin(hit)).drop("bucket")
+    few = batch.count() <= FEW_ROWS
+    found = None
+    for key in ("source_transaction_id", "canonical_identity_hash"):
+        keys = batch.select(*ACCOUNT, key).filter(F.col(key).isNotNull()).distinct()
+        met = stored.join(F.broadcast(keys) if few else keys, [*ACCOUNT, key], "left_semi")
+        found = met if found is None else found.unionByName(met)
+    return _of_completed(found.dropDuplicates(["attempt_id", "identity_id"]), folder)
+
+
 def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Rows of completed attempts only; what a broken run left behind is not seen."""
-    done = spark.read.parquet(f"{folder}/attempts").filter(F.col("status") == "completed").select("attempt_id").distinct()
-    return spark.read.parquet(f"{folder}/{name}").join(done, "attempt_id", "left_semi")
+    return _of_completed(spark.read.parquet(f"{folder}/{name}"), folder)
+
+
+def _of_completed(rows: DataFrame, folder: str) -> DataFrame:
+    done = rows.sparkSession.read.parquet(f"{folder}/attempts").filter(F.col("status") == "completed").select("attempt_id").distinct()
+    return rows.join(done, "attempt_id", "left_semi")

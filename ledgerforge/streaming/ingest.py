@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.contract import check_records
 from ..operators.identity import batch_verdict, with_hash
 from ..operators.sequence import classify_sequence
-from ..sources.sinks import append, committed
+from ..sources.sinks import append, identities_met_by
 
 
 def attempt_of(run: str):
@@ -46,7 +46,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
 
     Batches of one trigger follow by the time at which their first file was written and by its
     path. The stored identities are the state: no watermark is needed, and copies are found however
-    late they come. A replayed batch finds its own rows stored and inserts nothing; one that
+    late they come. They lie in folders by account, and a trigger reads those that its accounts are in. A replayed batch finds its own rows stored and inserts nothing; one that
     failed before its attempts were written left rows of an attempt that is never completed,
     which no reader sees, and inserts them under a new one.
     """
@@ -57,7 +57,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, schema: str, c
     def run(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         try:
-            identities = committed(session, out_dir, "identities")
+            identities = identities_met_by(with_hash(batch), out_dir)
         except Exception as missing:  # the first batch finds no tables yet
             if "PATH_NOT_FOUND" not in str(missing):
                 raise

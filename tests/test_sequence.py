@@ -90,6 +90,24 @@ def test_one_trigger_equals_one_each(spark, tmp_path):
     assert {b: v[0] for b, v in verdicts[0].items()} == {1: "completed", 2: "completed", 3: "failed", 4: "completed", 5: "completed", 6: "completed"}
 
 
+def test_identities_are_read_by_account(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [r for k in range(200) for r in rows_of((1, k, f"S{k}", k + 1), account=f"acc{k}")]
+    stored = I.with_hash(spark.createDataFrame(rows, BATCH)).withColumns({"attempt_id": F.lit("a"), "transaction_id": F.col("canonical_identity_hash"), "identity_id": F.concat(F.lit("idn_"), "canonical_identity_hash")})
+    sinks.append(stored, spark.createDataFrame([("a", "completed")], "attempt_id string, status string"), out)
+    lost = stored.filter("account_id = 'acc7'").withColumns({"attempt_id": F.lit("broken"), "identity_id": F.lit("lost")})
+    sinks.append(lost, spark.createDataFrame([], "attempt_id string, status string"), out)
+    asked = [*rows_of((2, 0, "S7", 999), (2, 1, None, 8), (2, 2, "S9", 10), account="acc7"), *rows_of((2, 3, "S9", 1), account="acc9")]
+    batch = I.with_hash(spark.createDataFrame(asked, BATCH))
+    met = sinks.identities_met_by(batch, out)
+    plan = met._jdf.queryExecution().toString()
+    # The source id of one row and the amount of another find the same identity of acc7.
+    assert sorted((r["account_id"], r["source_transaction_id"], r["amount_minor"]) for r in met.collect()) == [("acc7", "S7", 8), ("acc9", "S9", 10)]
+    assert "bucket" in plan.split("PartitionFilters")[1][:200] and plan.count("BroadcastHashJoin") >= 2
+    found = {(r["batch_id"], r["position"]): r["outcome"] for r in I.classify(batch, met).collect()}
+    assert found == {(2, 0): "SOURCE_IDENTITY_CONFLICT", (2, 1): "DUPLICATE_CANONICAL_IDENTITY", (2, 2): "UNIQUE", (2, 3): "SOURCE_IDENTITY_CONFLICT"}
+
+
 def test_order_of_uploads(spark):
     """The batch that was uploaded first wins, whatever its number."""
     rows = spark.createDataFrame(rows_of((1, 0, "A", 10), (2, 0, "A", 11)), BATCH).withColumn("at", -F.col("batch_id"))
