@@ -94,12 +94,44 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _choose(rows: list[tuple[set[str], int]]) -> dict[str, int]:
-    """The features whose presence tells most about the label (by the chi-squared statistic)."""
-    seen = (Counter(), Counter())
-    totals = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
+class Bags:
+    """The word sets of labelled texts, kept as numbers: each word once, four bytes for each place it is in."""
+
+    def __init__(self, rows):
+        known: dict[str, int] = {}
+        self.labels, self.parts = [], []
+        for text, label in rows:
+            self.parts.append(np.array(sorted(known.setdefault(w, len(known)) for w in words(text)), np.int32))
+            self.labels.append(label)
+        self.words = list(known)
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __iter__(self):
+        for part, label in zip(self.parts, self.labels):
+            yield {self.words[k] for k in part.tolist()}, label
+
+
+#: Slots in which features are counted before they are counted by name.
+SLOTS = 1 << 20
+
+
+def _choose(rows) -> dict[str, int]:
+    """The features whose presence tells most about the label (by the chi-squared statistic).
+
+    Most features are in one text only. They are counted in slots first, several to a slot, and
+    named only where a slot is full enough, so that memory holds few names that cannot be chosen.
+    """
+    slots = np.zeros(SLOTS, np.int32)
+    for found, _ in rows:
+        own = {hash(f) % SLOTS for w in found for f in features_of(w)}
+        slots[np.fromiter(own, np.int64, len(own))] += 1
+    full = slots >= LEAST_DOCUMENTS
+    seen, totals = (Counter(), Counter()), [0, 0]
     for found, label in rows:
-        seen[label].update({f for w in found for f in features_of(w)})
+        totals[label] += 1
+        seen[label].update({f for w in found for f in features_of(w) if full[hash(f) % SLOTS]})
     n = max(1, sum(totals))
     ranked = []
     for name in seen[0].keys() | seen[1].keys():
@@ -114,28 +146,28 @@ def _choose(rows: list[tuple[set[str], int]]) -> dict[str, int]:
     return {name: k for k, (value, name) in enumerate(ranked[:MOST_FEATURES]) if value > 6.6}
 
 
-def _matrix(sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    row, column = [], []
-    for k, found in enumerate(sets):
+def _matrix(sets, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    sizes, columns = [], []
+    for found in sets:
         hit = {index[f] for w in found for f in features_of(w) if f in index}
-        row += [k] * len(hit)
-        column += hit
-    return np.array(row, np.int64), np.array(column, np.int64)
+        sizes.append(len(hit))
+        columns.append(np.fromiter(sorted(hit), np.int32, len(hit)))
+    return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(columns).astype(np.int64) if columns else np.zeros(0, np.int64)
 
 
 def fit(
-    rows: list[tuple[str, int]], families=IDENTITY_FAMILIES, penalty: float = COUNTERFACTUAL, base_rate: float | None = None
+    rows, families=IDENTITY_FAMILIES, penalty: float = COUNTERFACTUAL, base_rate: float | None = None
 ) -> Classifier:
     """Fit on (text, label) rows. `base_rate` is the share of label 1 in all rows, if they were sampled by label."""
-    sets = [(words(text), label) for text, label in rows]
+    sets = Bags(rows)
     index = _choose(sets)
-    if not rows or len({label for _, label in rows}) < 2:
-        share = (sum(label for _, label in rows) + 0.5) / (len(rows) + 1)
+    if len(set(sets.labels)) < 2:
+        share = (sum(sets.labels) + 0.5) / (len(sets) + 1)
         return Classifier({}, np.zeros(0), math.log(share / (1 - share)))
     # Identity terms get a weight too, so that the penalty has something to take away.
-    for term in sorted({t for family in families for t in family if any(t in s for s, _ in sets)}):
+    named = set(sets.words)
+    for term in sorted({t for family in families for t in family if t in named}):
         index.setdefault(term, len(index))
-    y = np.array([label for _, label in sets], float)
     problem = Problem(sets, index, families, penalty)
     params = np.zeros(len(index) + 1)
     sums, counts = np.zeros(len(params)), 0
@@ -151,14 +183,22 @@ def fit(
 class Problem:
     """The loss over labelled texts and their rewritten forms, as a function of all weights and the bias (last)."""
 
-    def __init__(self, sets: list[tuple[set[str], int]], index: dict[str, int], families, penalty: float):
+    def __init__(self, sets, index: dict[str, int], families, penalty: float):
+        # `sets` gives (words, label) as often as it is gone through.
         self.penalty = penalty
         self.y = np.array([label for _, label in sets], float)
-        self.row, self.column = _matrix([s for s, _ in sets], index)
-        pairs = [(k, other) for k, (found, _) in enumerate(sets) for other in swapped(found, families)]
-        self.origin = np.array([k for k, _ in pairs], np.int64)
-        self.pair_row, self.pair_column = _matrix([other for _, other in pairs], index)
-        self.n, self.m, self.p = len(sets), len(index), len(pairs)
+        self.row, self.column = _matrix((s for s, _ in sets), index)
+        origin = []
+
+        def rewritten():
+            for k, (found, _) in enumerate(sets):
+                for other in swapped(found, families):
+                    origin.append(k)
+                    yield other
+
+        self.pair_row, self.pair_column = _matrix(rewritten(), index)
+        self.origin = np.array(origin, np.int64)
+        self.n, self.m, self.p = len(sets), len(index), len(origin)
         self.weight = np.where(self.y == 1, self.n / 2 / self.y.sum(), self.n / 2 / (self.n - self.y.sum()))
 
     def _scores(self, params):
@@ -201,7 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -> C
     picked = sampled(known.join(sizes, "doc_id"), "toxic", each).select("doc_id", "toxic")
     # About 2 * `each` identifiers: a size fixed by the sample's bound.
     rows = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
-    return fit([(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit((r["text"], int(r["toxic"])) for r in rows)
 
 
 class Scorer:
