@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 SIZE, OVERLAP, K = 500, 50, 4
 #: Parts in which the chunks of every group meet questions and are ranked.
@@ -13,36 +11,46 @@ SALTS = 32
 NOTHING = "No relevant information was found."
 
 
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Greedy pieces of at most `size` characters that end at a paragraph, line or blank if one is near.
-
-    The cut is the last separator in the second half of the window, paragraphs before lines
-    before blanks, else the window's end; the next piece starts `overlap` characters earlier.
-    """
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            for mark in ("\n\n", "\n", " "):
-                at = text.rfind(mark, start + size // 2, end)
-                if at > 0:
-                    end = at + len(mark)
-                    break
-        out.append(text[start:end])
-        if end == len(text):
-            break
-        start = max(start + 1, end - overlap)
-    return out
+#: Characters in which a text is held while it is walked through, so that windows are cut from short strings.
+BLOCK = 1 << 16
 
 
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", tag_col: str = "source") -> DataFrame:
-    """(id, tag, chunk_index, chunk_text) by the greedy splitter, in Arrow batches."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_text(t, size, overlap) if t else [])
+    """(id, tag, chunk_index, chunk_text): greedy pieces of at most `size` characters.
 
-    return docs.select(id_col, tag_col, F.posexplode(pieces("text")).alias("chunk_index", "chunk_text"))
+    A piece ends behind the last paragraph mark, else line end, else blank in the second half of
+    its window, else at the window's end; the next one begins `overlap` characters earlier. A fold
+    walks from piece to piece and keeps their places.
+    """
+    half = size // 2
+    n = F.char_length("text")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.substring(F.col("text"), k * BLOCK + 1, F.lit(BLOCK)))
+    held = docs.filter(n > 0).select(id_col, tag_col, "text", n.cast("int").alias("_n")).withColumn("_blocks", blocks).drop("text")
+
+    def window(at: Column) -> Column:
+        k = F.floor(at / BLOCK).cast("int")
+        return F.substring(F.concat(F.get("_blocks", k), F.coalesce(F.get("_blocks", k + 1), F.lit(""))), at % BLOCK + 1, F.lit(size))
+
+    def end(at: Column) -> Column:
+        tail = F.substring(window(at), half + 1, size - half)
+        found = [F.char_length(F.regexp_extract(tail, f"(?s)^(.*{mark})", 1)) for mark in ("\n\n", "\n", " ")]
+        cut = F.coalesce(*[F.when(length > 0, at + half + length) for length in found], at + size)
+        return F.when(at + size >= F.col("_n"), F.col("_n")).otherwise(cut)
+
+    def step(state: Column, _: Column) -> Column:
+        def after(to: Column) -> Column:
+            places = F.array_append(state["places"], F.struct(state["at"].alias("at"), to.alias("to")))
+            following = F.when(to == F.col("_n"), F.lit(-1)).otherwise(F.greatest(state["at"] + 1, to - overlap))
+            return F.struct(following.alias("at"), places.alias("places"))
+
+        return F.when(state["at"] < 0, state).otherwise(F.transform(F.array(end(state["at"])), after)[0])
+
+    none = F.array().cast("array<struct<at: int, to: int>>")
+    least = max(1, half + 1 - overlap)  # so far every piece goes beyond the one before, at least
+    steps = F.sequence(F.lit(0), F.floor(F.col("_n") / least).cast("int"))
+    places = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("places")), step, lambda s: s["places"])
+    pieces = held.withColumn("_places", places).select(id_col, tag_col, "_blocks", F.posexplode("_places").alias("chunk_index", "_p"))
+    return pieces.select(id_col, tag_col, "chunk_index", F.substring(window(F.col("_p.at")), F.lit(1), F.col("_p.to") - F.col("_p.at")).alias("chunk_text"))
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", tag_col: str = "source") -> DataFrame:

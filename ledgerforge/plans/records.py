@@ -270,7 +270,18 @@ register(
     """SELECT doc_id, source, CAST(i AS INTEGER) AS chunk_index, length(substr(text, 1 + 450 * i, 500)) AS chars, md5(substr(text, 1 + 450 * i, 500)) AS chunk_md5
        FROM (SELECT doc_id, source, text, unnest(range(0, (length(text) - 1) // 450 + 1)) AS i FROM documents WHERE length(text) > 0)""",
 )
-register("chunks", lambda spark, sf: M.chunk(shape(spark, sf, "documents")))
+BEHIND = lambda mark: f"nullif(length(regexp_extract(substr(text, start + 251, 250), '(?s)^.*{mark}')), 0)"
+register(
+    "chunks",
+    lambda spark, sf: M.chunk(shape(spark, sf, "documents")).select("doc_id", "source", "chunk_index", F.char_length("chunk_text").cast("long").alias("chars"), F.md5("chunk_text").alias("chunk_md5")),
+    f"""WITH RECURSIVE walk AS (
+            SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, CAST(0 AS BIGINT) AS start, CAST(-1 AS BIGINT) AS until FROM documents WHERE length(text) > 0
+            UNION ALL
+            SELECT doc_id, chunk_index + CASE WHEN until < 0 THEN 0 ELSE 1 END, CASE WHEN until < 0 THEN start ELSE greatest(start + 1, until - 50) END,
+                   CASE WHEN until >= 0 THEN -1 WHEN start + 500 >= length(text) THEN length(text) ELSE start + coalesce(250 + {BEHIND(chr(92) + 'n' + chr(92) + 'n')}, 250 + {BEHIND(chr(92) + 'n')}, 250 + {BEHIND(' ')}, 500) END
+            FROM walk JOIN documents USING (doc_id) WHERE until < length(text))
+        SELECT doc_id, source, chunk_index, until - start AS chars, md5(substr(text, start + 1, until - start)) AS chunk_md5 FROM walk JOIN documents USING (doc_id) WHERE until >= 0""",
+)
 
 
 def _vectors(spark, sf, asked: str) -> tuple[DataFrame, DataFrame]:

@@ -483,15 +483,26 @@ def test_sensitive_names_at_any_depth(spark):
 
 
 def test_chunks_and_neighbours(spark):
+    def split(text, size=500, overlap=50):
+        out, start = [], 0
+        while start < len(text):
+            end = min(len(text), start + size)
+            if end < len(text):
+                ends = [text.rfind(mark, start + size // 2, end) + len(mark) for mark in ("\n\n", "\n", " ") if mark in text[start + size // 2 : end]]
+                end = ends[0] if ends else end
+            out.append(text[start:end])
+            if end == len(text):
+                break
+            start = max(start + 1, end - overlap)
+        return out
+
     text = "para one. " * 40 + "\n\n" + "word " * 200 + "x" * 700
-    pieces = M.split_text(text)
-    assert all(len(p) <= 500 for p in pieces) and pieces[0].endswith("\n\n")
-    joined = pieces[0]
-    for p in pieces[1:]:
-        joined += p[50:]
-    assert joined == text and M.split_text("") == []
-    docs = spark.createDataFrame([(1, "t", text), (2, "t", None), (3, "t", "")], "doc_id long, source string, text string")
-    assert [r["chunk_text"] for r in M.chunk(docs).orderBy("chunk_index").collect()] == pieces
+    docs = spark.createDataFrame([(1, "t", text), (2, "t", None), (3, "t", ""), (4, "t", "é\n" * 249 + "\n\n" + "🙂 b" * 60_000), (5, "t", "z" * 500), (6, "t", "z" * 501)], "doc_id long, source string, text string")
+    made = {}
+    for r in M.chunk(docs).orderBy("doc_id", "chunk_index").collect():
+        made.setdefault(r["doc_id"], []).append(r["chunk_text"])
+    assert made == {r["doc_id"]: split(r["text"]) for r in docs.filter("length(text) > 0").collect()} and len(made[4]) > 300
+    docs = docs.filter("doc_id < 4")
     assert M.chunk_fixed(docs).count() == -(-len(text) // 450)
     chunks = spark.createDataFrame([(k, "g", [float(k), 0.0], f"text {k}") for k in range(10)] + [(99, "h", [0.0, 0.0], "far")], "chunk_id long, label string, embedding array<float>, chunk_text string")
     asked = spark.createDataFrame([(1, "g", [2.5, 0.0]), (2, "none", [0.0, 0.0])], "question_id long, label string, embedding array<float>")
