@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import kept
 from .scope import KEYS
 
 # Section names in order, their fields, other names, and keys that must not be shown.
@@ -15,6 +16,8 @@ COMBINED = "combined_executive_report"
 SENSITIVE = ("account_id", "business_id", "canonical_identity_hash", "identity_id", "path", "session_id", "session_token", "source_transaction_id", "sql", "stack_trace", "token", "transaction_id", "transaction_reference")
 #: Columns that only order a list.
 HIDDEN = ("mode_order",)
+#: List sections with as many rows as an account has hits.
+MANY = ("anomaly_report",)
 TYPE_ALIASES = {"executive": COMBINED, "combined_executive": COMBINED}
 
 
@@ -107,14 +110,35 @@ def field_rows(section: str, table: DataFrame) -> DataFrame:
     return table.select(*KEYS, F.lit(section).alias("section"), F.lit(None).cast("long").alias("row"), pairs.alias("p")).select(*KEYS, "section", "row", "p.field", "p.value")
 
 
+def numbered(table: DataFrame, order: list[Column]) -> DataFrame:
+    """`table` plus `_row`, the place of each row (from 0) among those of its account.
+
+    An account may hold most rows, so none is ranked as a whole: rows are dealt by ranges of
+    account and order, numbered within their range, and each range's rows are moved on by the
+    number of the account's rows in earlier ranges.
+    """
+    keys = {f"_o{k}": c for k, c in enumerate(order)}
+    dealt = table.withColumns(keys).repartitionByRange(*KEYS, *keys).withColumn("_part", F.spark_partition_id())
+    # Ranges are drawn from a sample; they are stored so that both readers see the same ones.
+    dealt = kept(dealt)
+    earlier = Window.partitionBy(*KEYS).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*KEYS, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*KEYS, "_part").orderBy(*keys))
+    placed = dealt.withColumn("_nth", nth).join(offsets.drop("_n"), [*KEYS, "_part"])
+    return placed.withColumn("_row", (F.col("_before") + F.col("_nth") - 1).cast("long")).select(*table.columns, "_row")
+
+
 def list_rows(section: str, table: DataFrame, order: list) -> DataFrame:
-    """A list section as (section, row from 0, field, value). Windows run over groups or hits of one account."""
+    """A list section as (section, row from 0, field, value).
+
+    Windows run over the few groups of an account; hits, which may be many, are numbered by ranges.
+    """
     kinds = dict(table.dtypes)
     fields = sorted(c for c in table.columns if c not in (*KEYS, *HIDDEN))
-    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order)) - 1
+    few = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order)) - 1
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _text(f, kinds[f]).alias("value")) for f in fields]))
-    numbered = table.withColumn("_row", nth.cast("long"))
-    return numbered.select(*KEYS, F.lit(section).alias("section"), F.col("_row").alias("row"), pairs.alias("p")).select(*KEYS, "section", "row", "p.field", "p.value")
+    placed = numbered(table, order) if section in MANY else table.withColumn("_row", few.cast("long"))
+    return placed.select(*KEYS, F.lit(section).alias("section"), F.col("_row").alias("row"), pairs.alias("p")).select(*KEYS, "section", "row", "p.field", "p.value")
 
 
 def report_rows(parts: dict[str, DataFrame]) -> DataFrame:
@@ -127,6 +151,21 @@ def report_rows(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def report_lines(parts: dict[str, DataFrame]) -> DataFrame:
+    """R4, S9 for accounts of any size: (section, row, json), a JSON text for each row of each section.
+
+    Nothing is collected for an account, as `report_json` must for its one text.
+    """
+    out = None
+    for name in SECTIONS:
+        order, kinds = list_orders(name), dict(parts[name].dtypes)
+        table = parts[name].withColumn("_row", F.lit(None).cast("long")) if not order else numbered(parts[name], order)
+        line = F.to_json(F.struct(*[_json_value(c, kinds[c]).alias(c) for c in parts[name].columns if c not in (*KEYS, *HIDDEN)]))
+        rows = table.select(*KEYS, F.lit(name).alias("section"), F.col("_row").alias("row"), line.alias("json"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def report_json(parts: dict[str, DataFrame], report_type: str = COMBINED, generated_at=None) -> DataFrame:
     """One JSON text for each account: decimals as plain strings, dates ISO.
 

@@ -236,16 +236,24 @@ register(
 )
 register(
     "report_fields",
-    lambda spark, sf, rows: R.field_rows("income_statement", Tables(spark, sf, rows).sections()["income_statement"]).select("business_id", "account_id", "section", "field", "value").filter("field <> 'savings_rate'"),
-    lambda rows: f"""WITH {parts_sql(rows)} SELECT business_id, account_id, 'income_statement' AS section, field, CAST(v AS VARCHAR) AS value
-        FROM (SELECT business_id, account_id, unnest(['income_minor', 'expense_minor', 'net_cash_flow_minor']) AS field, unnest([total_income_minor, total_expense_minor, net_cash_flow_minor]) AS v FROM figures)""",
+    lambda spark, sf, rows: R.field_rows("income_statement", Tables(spark, sf, rows).sections()["income_statement"]).select("business_id", "account_id", "section", "field", "value"),
+    lambda rows: f"""WITH {parts_sql(rows)} SELECT business_id, account_id, 'income_statement' AS section, field, v AS value
+        FROM (SELECT business_id, account_id, unnest(['income_minor', 'expense_minor', 'net_cash_flow_minor', 'savings_rate']) AS field,
+                     unnest([CAST(total_income_minor AS VARCHAR), CAST(total_expense_minor AS VARCHAR), CAST(net_cash_flow_minor AS VARCHAR), CAST(CAST(savings_rate AS DECIMAL(18, 2)) AS VARCHAR)]) AS v FROM figures)""",
 )
 register(
     "report_list",
-    lambda spark, sf, rows: R.list_rows("category_report", Tables(spark, sf, rows).categories, [F.col("amount_minor").desc(), "category"]).filter("field IN ('category', 'amount_minor', 'count')"),
+    lambda spark, sf, rows: R.list_rows("category_report", Tables(spark, sf, rows).categories, [F.col("amount_minor").desc(), "category"]),
     lambda rows: f"""WITH {parts_sql(rows)} SELECT business_id, account_id, 'category_report' AS section, row, field, value FROM (
         SELECT business_id, account_id, row_number() OVER (PARTITION BY business_id, account_id ORDER BY amount_minor DESC, category) - 1 AS row,
-               unnest(['category', 'amount_minor', 'count']) AS field, unnest([category, CAST(amount_minor AS VARCHAR), CAST(count AS VARCHAR)]) AS value FROM categories)""",
+               unnest(['category', 'amount_minor', 'count', 'income_minor', 'expense_minor', 'percentage']) AS field,
+               unnest([category, CAST(amount_minor AS VARCHAR), CAST(count AS VARCHAR), CAST(income_minor AS VARCHAR), CAST(expense_minor AS VARCHAR), CAST(CAST(percentage AS DECIMAL(18, 2)) AS VARCHAR)]) AS value FROM categories)""",
+)
+register(
+    "anomaly_places",
+    lambda spark, sf, rows: R.numbered(Tables(spark, sf, rows).anomalies(), R.list_orders("anomaly_report")).select("business_id", "account_id", F.col("_row").alias("row"), "type", "severity", "date_detected"),
+    lambda rows: f"""WITH {parts_sql(rows)}, {final_sql(rows)} SELECT business_id, account_id, row_number() OVER (PARTITION BY business_id, account_id ORDER BY coalesce(date_detected, ''), type, severity,
+        metric_value NULLS FIRST, affected_amount_minor NULLS FIRST, affected_category NULLS FIRST) - 1 AS row, type, severity, date_detected FROM found""",
 )
 register("report_rows", lambda spark, sf, rows: R.report_rows(Tables(spark, sf, rows).sections()))
 register("report_json", lambda spark, sf, rows: R.report_json(Tables(spark, sf, rows).sections(), generated_at="2026-08-31T00:00:00+00:00"))

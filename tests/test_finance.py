@@ -471,6 +471,21 @@ def test_eligible_names_are_those_of_all_pairs(spark):
     assert set(found) == expected and len(found) == len(expected) > 100
 
 
+def test_places_of_one_large_account(spark):
+    """Numbers of rows that lie in several ranges, with ties, beside those of small accounts."""
+    import random
+
+    dice = random.Random(9)
+    rows = [("b", "large", dice.randrange(300), k) for k in range(4000)] + [("b", f"a{k % 7}", k % 3, k) for k in range(60)]
+    table = spark.createDataFrame(rows, "business_id string, account_id string, x int, y int").repartition(9)
+    found = {(r["account_id"], r["y"]): r["_row"] for r in R.numbered(table, [F.col("x"), F.col("y")]).collect()}
+    for account in {r[1] for r in rows}:
+        own = sorted((x, y) for _, a, x, y in rows if a == account)
+        assert [found[account, y] for _, y in own] == list(range(len(own)))
+    lines = R.report_lines({name: table.withColumnRenamed("x", "amount_minor").withColumns({"category": F.lit("c"), "mode_order": F.lit(1), "token": F.lit(1)}) if name in ("category_report", "payment_mode_report") else table for name in R.SECTIONS if name != "anomaly_report"} | {"anomaly_report": table.selectExpr("business_id", "account_id", "'2026' AS date_detected", "'t' AS type", "'s' AS severity", "x AS metric_value", "y AS affected_amount_minor", "'c' AS affected_category")})
+    assert lines.filter("section = 'anomaly_report'").count() == len(rows) and lines.filter("section = 'anomaly_report' AND account_id = 'large'").agg(F.max("row")).first()[0] == 3999
+
+
 def test_sensitive_names_at_any_depth(spark):
     value = """named_struct('token', 1, 'kept', named_struct('path', 2, 'rows', array(named_struct('sql', 3, 'ok', map('session_id', 'x', 'fine', 'y')), NULL)), 'none', CAST(NULL AS STRUCT<token: INT, a: INT>))"""
     table = spark.sql(f"SELECT 'b' AS business_id, 'a' AS account_id, 't' AS transaction_id, {value} AS nested, map(1, named_struct('token', 5, 'b', 6)) AS by_number, array(1, 2) AS plain")
