@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
@@ -81,6 +82,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_one_task(sample: DataFrame, make):
+    """`make(rows)` of a bounded sample, computed in a task: rows are dictionaries, and the driver gets the result alone.
+
+    The sample's bound is its caller's; what fitting takes besides is then an executor's memory.
+    """
+
+    def run(batches):
+        rows = (row for batch in batches for row in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(rows))], pa.binary())], names=["made"])
+
+    found = sample.mapInArrow(run, "made binary").first()
+    # A sample that is known to be empty has no task.
+    return pickle.loads(found["made"]) if found else make(iter(()))
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint when its counted `rows` are few; a shuffle join otherwise."""
     return F.broadcast(df) if rows <= most else df

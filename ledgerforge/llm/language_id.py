@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, unused, with_text_column
+from .common import in_one_task, texts, unused, with_text_column
 from .tokenizing import blocks
 
 #: Documents of each language that the model is fitted on, in expectation.
@@ -279,14 +279,14 @@ def predict(model: Model, rows: list[str]) -> list[tuple[str, float, int]]:
 
 
 def learn(docs: DataFrame, each: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit a model on the bounded sample of rows with a language outside the held-out fold."""
+    """Fit a model, in one task, on the bounded sample of rows with a language outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of("doc_id") != 0)
     )
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     known = known.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in sampled(known, "lang", each).collect())
-    return fit([(lang, text) for lang, _, text in rows], counts)
+    sample = sampled(known, "lang", each).select("lang", "text").repartition(1)
+    return in_one_task(sample, lambda rows: fit([(r["lang"], r["text"]) for r in rows], counts))
 
 
 SPAN = "struct<begin:int,end:int,lang:string>"

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, unused, with_text_column
+from .common import in_one_task, texts, unused, with_text_column
 from .language_id import fold_of, sampled
 from .tokenizing import GENERATION_BYTES, Remembered, of_worker
 
@@ -232,17 +232,17 @@ class Problem:
 def learn(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_PER_LABEL) -> Classifier:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    The many labels are joined to the documents' identifiers by Spark; only the sample's
-    texts reach the driver.
+    The many labels are joined to the documents' identifiers by Spark; the sample's texts meet in
+    one task, which fits the model.
     """
     known = labels.filter(F.col("toxic").isNotNull() & (fold_of("doc_id") != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
     picked = sampled(known.join(sizes, "doc_id"), "toxic", each).select("doc_id", "toxic")
     # About 2 * `each` identifiers: a size fixed by the sample's bound.
-    rows = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit((r["text"], int(r["toxic"])) for r in rows)
+    sample = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    sample = sample.repartition(1).sortWithinPartitions("doc_id", "text")
+    return in_one_task(sample, lambda rows: fit((r["text"], int(r["toxic"])) for r in rows))
 
 
 class Scorer:
