@@ -18,7 +18,7 @@ are smaller than that), so sets meet only on those prefixes:
 4. each pair passes the suffix filter and is verified once on the whole sets.
 
 No link between different components is lost: a linked pair shares its prefix shingles, and is
-either in one component after step 2 or compared in step 3. Rounds and pivots only decide how
+either connected by links of step 2 or compared in step 3. Rounds and pivots only decide how
 much step 3 is spared.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, shuffle_partitions, slices, stored, texts, unused
-from .components import components
+from .components import components, contracted, labels
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact in integers.
@@ -60,6 +60,9 @@ CELL_HASHES, LONE, BESIDE = 100_000, 25_000, 1 << 16
 LARGE = 50
 #: Rounds of pivots, and pivots a set is compared with in one.
 ROUNDS, PIVOTS = 3, 4
+#: Steps in which a round's links are contracted. Labels need not be whole before the end: sets with
+#: one label are connected, and those not yet under one label are compared or already linked.
+STAR_STEPS = 2
 #: Bytes of text cut into words together, and handed on together; a longer text is on its own.
 #: Words of a block take some twenty times its bytes, the sets handed on about twice theirs.
 BLOCK_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
@@ -467,7 +470,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     hashes = sets.filter("n > 0").select("sid", "n", "least").dropDuplicates(["sid"])
     hashes = hashes.select(F.explode("least").alias("token"), "sid", F.col("n").cast("int").alias("n"))
     left = stored(_meeting(_with_components(hashes, None)))
-    links = tried = final = None
+    tried = stars = final = None
     for number in range(ROUNDS):
         pairs = _promising(_pivot_pairs(left, number), sets)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -475,16 +478,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
         new = stored(_verify(pairs, docs, sets))
         if not new.limit(1).count():
             break
-        links = new if links is None else links.union(new)
-        final = stored(components(links))
+        stars = contracted(new if stars is None else new.union(stars), STAR_STEPS)
+        final = stored(labels(stars))
         left = stored(_meeting(_with_components(left.drop("c"), final)))
     left = stored(_meeting(_with_components(_shared_prefixes(docs, levels, frequent), final)))
     sized = left.select("sid", "c", "n").distinct().groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     large = stored(sized.filter(F.col("size") >= LARGE))
-    rest = stored(_across(left.join(large, "c", "left_anti")).join(tried, ["a", "b"], "left_anti"))
+    rest = _across(left.join(large, "c", "left_anti"))
+    rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     late = stored(_verify(rest, docs, sets).union(_verify_with_large(left, large, docs, sets)))
-    if late.limit(1).count():
-        final = stored(components(late if links is None else links.union(late)))
+    links = late if stars is None else late.union(stars)
+    final = stored(components(links)) if links.limit(1).count() else None
 
     return _with_components(sets.select("doc_id", "key", "n", "sid"), final).drop("sid")
 

@@ -16,7 +16,7 @@ from test_operators import grouped, shingles, similar
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerforge.llm import language_id, ngram_join, sorted_tables, span_hashes, toxicity, transport_streams
+from ledgerforge.llm import components, language_id, ngram_join, sorted_tables, span_hashes, toxicity, transport_streams
 from ledgerforge.llm.common import read_table
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -183,3 +183,36 @@ def test_many_blocks_of_a_sorted_table(spark):
     asked = spark.createDataFrame([(i + d,) for i, _ in rows[::7] for d in (0, 1)], "doc_id long")
     found = {r["doc_id"]: r["ids"] for r in sorted_tables.lookup(spark, manifest, asked).collect()}
     assert found == {i: ids[i] for i, _ in rows[::7]}
+
+
+def test_contracted_links_connect_what_they_did(spark):
+    """Components, and edges contracted by a step or two, against a search over random graphs, chains and a hub."""
+    draw = random.Random(5)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    edges += [(1000 + i, 1001 + i) for i in range(30)] + [(2000, 2001 + i) for i in range(200)] + [(7, 7), *[(2000, 2001)] * 3]
+
+    def least(pairs):
+        near, found = {}, {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        for start in sorted(near):
+            todo = [] if start in found else [start]
+            while todo:
+                node = todo.pop()
+                if node not in found:
+                    found[node] = start
+                    todo += near[node]
+        return found
+
+    real = [(a, b) for a, b in edges if a != b]
+    table = spark.createDataFrame(edges, "a long, b long")
+    expected = least(real)
+    assert {r["node"]: r["component"] for r in components.components(table).collect()} == expected
+    for steps in (1, 2):
+        stars = components.contracted(table, steps)
+        kept = [(r["high"], r["low"]) for r in stars.collect()]
+        assert len(kept) <= len(set(real)) and least(kept) == expected
+        named = {r["node"]: r["component"] for r in components.labels(stars).collect()}
+        assert all(expected[node] == expected[to] for node, to in named.items())
+    assert components.components(table.limit(0)).count() == 0
