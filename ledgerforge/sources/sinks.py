@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,40 @@ def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _of_completed(spark.read.parquet(f"{folder}/{name}"), folder)
 
 
+def abandoned_files(spark: SparkSession, folder: str, name: str, before: datetime) -> DataFrame:
+    """(path, rows, written) of the files of a table that were written before `before` and hold no row of a completed attempt.
+
+    A run writes files of its own, so a file belongs to committed attempts or to a broken run;
+    one that holds both is kept whole. Only the attempts' names are read, and they are counted
+    for each file before anything is shuffled. An empty file holds nothing and is not listed.
+    """
+    done = spark.read.parquet(f"{folder}/attempts").filter(F.col("status") == "completed").select("attempt_id", F.lit(True).alias("done")).distinct()
+    rows = spark.read.parquet(f"{folder}/{name}").select("attempt_id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("written"))
+    held = rows.groupBy("path", "written", "attempt_id").agg(F.count("*").alias("n")).join(done, "attempt_id", "left")
+    files = held.groupBy("path", "written").agg(F.sum("n").alias("rows"), F.max("done").alias("done"))
+    return files.filter(F.col("done").isNull() & (F.col("written") < F.lit(before))).select("path", "rows", "written")
+
+
+def vacuum(spark: SparkSession, folder: str, before: datetime) -> DataFrame:
+    """Delete what broken runs left in the ledger and the identities; returns (table, path, rows, written) of the deleted files.
+
+    `before` is the start of the oldest run that may still be writing: files of that time or later
+    stay, as their attempts may yet be completed. Committed rows are never touched. The list is
+    stored before the first file goes, so a vacuum that breaks off is simply run again; the
+    driver walks through it a part at a time.
+    """
+    found = None
+    for name in ("ledger", "identities"):
+        files = abandoned_files(spark, folder, name, before).select(F.lit(name).alias("table"), "path", "rows", "written")
+        found = files if found is None else found.unionByName(files)
+    listed = kept(found)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in listed.select("path").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["path"]))
+        path.getFileSystem(conf).delete(path, False)
+    return listed
+
+
 def _of_completed(rows: DataFrame, folder: str) -> DataFrame:
     done = rows.sparkSession.read.parquet(f"{folder}/attempts").filter(F.col("status") == "completed").select("attempt_id").distinct()
     return rows.join(done, "attempt_id", "left_semi")

@@ -382,6 +382,49 @@ def test_replay_after_a_crash_shows_rows_once(spark, tmp_path, monkeypatch):
     assert sorted(r["amount_minor"] for r in sinks.committed(spark, out, "ledger").collect()) == [10, 20, 30]
 
 
+@pytest.mark.parametrize("ends_in", ["ledger", "identities", "attempts"])
+def test_vacuum_takes_what_broken_runs_left(spark, tmp_path, monkeypatch, ends_in):
+    """A run that ends in any of its three writes: its files go, those of committed and of running attempts stay."""
+    from datetime import datetime, timedelta
+
+    incoming, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    spark.createDataFrame(batch_rows((1, 0, "A", 10), (1, 1, "B", 20)), BATCH).coalesce(1).write.parquet(incoming)
+    ING.ingest_stream(spark, incoming, out, BATCH, check).awaitTermination()
+    spark.createDataFrame(batch_rows((2, 0, "A", 10), (2, 1, "C", 30)), BATCH).coalesce(1).write.mode("append").parquet(incoming)
+
+    class Broken(RuntimeError):
+        pass
+
+    def partly(accepted, attempts, folder):
+        def stop(table):
+            if table == ends_in:
+                raise Broken("crash")
+
+        stop("nothing")
+        accepted.select(*[c for c in sinks.LEDGER if c in accepted.columns]).write.mode("append").parquet(f"{folder}/ledger")
+        stop("ledger")
+        accepted.select(*[c for c in sinks.IDENTITY if c in accepted.columns]).withColumn("bucket", sinks.bucket_of()).write.mode("append").partitionBy("bucket").parquet(f"{folder}/identities")
+        stop("identities")
+        stop("attempts")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(ING, "append", partly)
+        with pytest.raises(Exception, match="crash"):
+            ING.ingest_stream(spark, incoming, out, BATCH, check).awaitTermination()
+    count = lambda name: spark.read.parquet(f"{out}/{name}").count()
+    left = {"ledger": 1, "identities": 0 if ends_in == "ledger" else 1}
+    assert {name: count(name) - 2 for name in left} == left
+    # Whatever was written after the given time may belong to a run that goes on.
+    assert sinks.vacuum(spark, out, datetime(2000, 1, 1)).count() == 0 and {name: count(name) - 2 for name in left} == left
+    now = datetime.now() + timedelta(days=1)
+    gone = sinks.vacuum(spark, out, now).groupBy("table").agg(F.sum("rows").alias("n")).collect()
+    assert {r["table"]: r["n"] for r in gone} == {name: n for name, n in left.items() if n}
+    assert count("ledger") == count("identities") == 2
+    ING.ingest_stream(spark, incoming, out, BATCH, check).awaitTermination()
+    assert sorted(r["amount_minor"] for r in sinks.committed(spark, out, "ledger").collect()) == [10, 20, 30]
+    assert sinks.vacuum(spark, out, now).count() == 0 and count("ledger") == count("identities") == 3
+
+
 def test_white_space_of_any_script(spark):
     from ledgerforge.functions.text import collapse, normalize_text
     from ledgerforge.operators.contract import check_records
