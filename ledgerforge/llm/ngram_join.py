@@ -14,7 +14,8 @@ are smaller than that), so sets meet only on those prefixes:
 3. all prefix shingles are dealt out once; those in one set only go. Those that meet different
    components are joined with themselves, across components only, under the length, positional
    and index-prefix filters; pairs that share enough of them stay. A set that meets a large
-   component is compared with its members until one is similar, which needs no row for each pair;
+   component is compared with its members until one is similar, and the sets of a shingle that
+   many of them share are compared in arrays, part by part; neither needs a row for each pair;
 4. each pair passes the suffix filter and is verified once on the whole sets.
 
 No link between different components is lost: a linked pair shares its prefix shingles, and is
@@ -58,6 +59,11 @@ SHARED = 4
 CELL_HASHES, LONE, BESIDE = 100_000, 25_000, 1 << 16
 #: Components with so many sets are met as a whole by sets outside of them.
 LARGE = 50
+#: Prefix shingles in so many sets (large components apart) are not joined with themselves.
+CROWD = 64
+#: A set counts as so many hashes at least where sets of a crowd are cut into parts, so that a part has
+#: some 800 sets at most. Numbers of a matrix of sets and hashes that is multiplied at once (16 MB).
+LEAST_WEIGHT, MATRIX = 128, 1 << 22
 #: Rounds of pivots, and pivots a set is compared with in one.
 ROUNDS, PIVOTS = 3, 4
 #: Steps in which a round's links are contracted. Labels need not be whole before the end: sets with
@@ -312,14 +318,58 @@ def _hashes(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return picked.mapInArrow(pack, "sid long, hashes binary").dropDuplicates(["sid"])
 
 
+def crowd_links(one: list[int], two: list[int], held: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs between `one` and `two` connect (among `one`, where `two` is empty).
+
+    All intersections are counted at once: a product of matrices whose columns are the hashes that
+    several sets have. Of links that close a circle none is given.
+    """
+    names = [*one, *two]
+    sizes = np.array([len(held[s]) for s in names], np.int64)
+    if len(names) < 2:
+        return []
+    _, column, times = np.unique(np.concatenate([held[s] for s in names]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(names)), sizes)
+    met = times[column] > 1
+    row, column = row[met], (np.cumsum(times > 1) - 1)[column[met]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = len(one), slice(len(one), None) if two else slice(None)
+    common = np.zeros((left, len(two) or left), np.float32)
+    wide = max(1, MATRIX // len(names))
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        low, high = np.searchsorted(column, (begin, begin + wide))
+        part = np.zeros((len(names), wide), np.float32)
+        part[row[low:high], column[low:high] - begin] = 1
+        common += part[:left] @ part[right].T
+    hit = common * (SIMILAR + OF) >= SIMILAR * (sizes[:left, None] + sizes[right][None, :])
+    near = np.zeros((len(names), len(names)), np.bool_)
+    near[:left, right] = hit
+    near |= near.T
+    found, fresh = [], np.ones(len(names), np.bool_)
+    for start in range(len(names)):
+        reached = [start] if fresh[start] else []
+        fresh[start] = False
+        while reached:
+            k = reached.pop()
+            more = np.flatnonzero(near[k] & fresh)
+            fresh[more] = False
+            found += [(min(names[k], names[m]), max(names[k], names[m])) for m in more.tolist()]
+            reached += more.tolist()
+    return found
+
+
 def _check_cell(rows):
-    """Links among the sets of one cell: of the pairs listed, else one for each left set with some right set."""
+    """Links among the sets of one cell: those of a crowd, or of the pairs listed, else one for each left set with some right set."""
     import pandas as pd
 
-    held = {s: np.frombuffer(h, np.uint64) for side, s, h in zip(rows["side"], rows["sid"], rows["hashes"]) if side < 2}
+    held = {s: np.frombuffer(h, np.uint64) for side, s, h in zip(rows["side"], rows["sid"], rows["hashes"]) if side != 2}
     listed = rows[rows["side"] == 2]
     found = []
-    if len(listed):
+    if (rows["side"] > 2).any():
+        one, two = (sorted({s for side, s in zip(rows["side"], rows["sid"]) if side == k}) for k in (3, 4))
+        found = crowd_links(one, two, held)
+    elif len(listed):
         found = [(a, b) for a, b in zip(listed["sid"], listed["other"]) if a in held and b in held and similar(held[a], held[b])]
     else:
         right = sorted({s for side, s in zip(rows["side"], rows["sid"]) if side == 1})
@@ -364,8 +414,37 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return sent.union(asked).groupBy("cell").applyInPandas(_check_cell, "a long, b long")
 
 
-def _verify_with_large(left: DataFrame, large: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of sets with large components (c, size) that share a prefix shingle with them.
+def _crowded(small: DataFrame) -> DataFrame:
+    """(token, m, crowd) of shingles that at least `CROWD` sets of different components share.
+
+    `crowd` is the least mixed id of a shingle's sets, which shingles of about the same sets have in common.
+    """
+    met = small.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.xxhash64(F.lit(7), "sid")).alias("crowd"))
+    return met.filter((F.col("m") >= CROWD) & (F.col("lo") < F.col("hi"))).select("token", "m", "crowd")
+
+
+def _crowd_cells(small: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(cell, side, sid): the sets of crowded shingles, each part of a crowd with each part of it in a cell of its own.
+
+    Shingles of one crowd are taken together, so that sets with many of them in common meet once
+    or a few times; where that would make a group of more than twice its largest shingle, they
+    are taken one by one. Any two sets of one shingle meet.
+    """
+    held = stored(small.join(crowded, "token").select("token", "m", "crowd", "sid", "n"))
+    sizes = held.groupBy("crowd").agg(F.countDistinct("sid").alias("size"), F.max("m").alias("widest"))
+    apart = sizes.select("crowd", (F.col("size") > 2 * F.col("widest")).alias("apart"))
+    own = F.when(F.col("apart"), F.xxhash64(F.lit(8), "token")).otherwise(F.col("crowd"))
+    held = held.join(apart, "crowd").select(own.alias("crowd"), "sid", "n").distinct()
+    weight = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long"))
+    parts = held.groupBy("crowd").agg(F.ceil(weight / CELL_HASHES).alias("k"))
+    dealt = held.join(parts, "crowd").withColumn("x", F.pmod(F.xxhash64(F.lit(5), "sid"), "k"))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    cell = F.xxhash64(F.lit(9), "crowd", F.least("x", "y"), F.greatest("x", "y"))
+    return dealt.select(cell.alias("cell"), F.when(F.col("x") <= F.col("y"), 3).otherwise(4).alias("side"), "sid")
+
+
+def _verify_with_large(left: DataFrame, large: DataFrame, crowds: DataFrame | None, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of sets with large components (c, size) that share a prefix shingle with them, and those in `crowds`, cells of crowded shingles.
 
     One link with a component is enough, so its members are not paired as rows: they are cut
     into parts of about `CELL_HASHES` hashes, as are the sets that meet the component, and each
@@ -383,7 +462,7 @@ def _verify_with_large(left: DataFrame, large: DataFrame, docs: DataFrame, sets:
     one = meets.join(parts, "large").withColumn("x", part("sid", "j")).withColumn("y", spread("k")).select(cell.alias("cell"), F.lit(0).alias("side"), "sid")
     members = left.select("sid", F.col("c").alias("large")).distinct().join(parts, "large")
     two = members.withColumn("y", part("sid", "k")).withColumn("x", spread("j")).select(cell.alias("cell"), F.lit(1).alias("side"), "sid")
-    dealt = stored(one.union(two))
+    dealt = stored(one.union(two) if crowds is None else one.union(two).union(crowds))
     wanted = dealt.select("sid").distinct()
     sent = dealt.join(_hashes(wanted, docs, sets), "sid").select("cell", "side", "sid", F.col("sid").alias("other"), "hashes")
     return sent.groupBy("cell").applyInPandas(_check_cell, "a long, b long")
@@ -484,9 +563,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     left = stored(_meeting(_with_components(_shared_prefixes(docs, levels, frequent), final)))
     sized = left.select("sid", "c", "n").distinct().groupBy("c").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     large = stored(sized.filter(F.col("size") >= LARGE))
-    rest = _across(left.join(large, "c", "left_anti"))
+    small = stored(left.join(large, "c", "left_anti"))
+    crowded = stored(_crowded(small))
+    some = crowded.count()
+    rest = _across(small.join(maybe_broadcast(crowded.select("token"), some), "token", "left_anti") if some else small)
     rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-    late = stored(_verify(rest, docs, sets).union(_verify_with_large(left, large, docs, sets)))
+    crowds = _crowd_cells(small, crowded) if some else None
+    late = stored(_verify(rest, docs, sets).union(_verify_with_large(left, large, crowds, docs, sets)))
     links = late if stars is None else late.union(stars)
     final = stored(components(links)) if links.limit(1).count() else None
 

@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -216,3 +217,42 @@ def test_contracted_links_connect_what_they_did(spark):
         named = {r["node"]: r["component"] for r in components.labels(stars).collect()}
         assert all(expected[node] == expected[to] for node, to in named.items())
     assert components.components(table.limit(0)).count() == 0
+
+
+def test_sets_of_a_shingle_in_many_sets_meet_without_a_row_for_each_pair(spark, monkeypatch):
+    """Seventy unlike texts share most of their shingles; a few are near copies of one of them."""
+    base = " ".join(f"w{k}" for k in range(84))
+    rows = [(k, base + " " + " ".join(f"u{k}x{j}" for j in range(20))) for k in range(70)]
+    rows += [(100 + k, rows[k][1] + " more") for k in (0, 30, 69)] + [(200, rows[30][1] + " other words")]
+    met = []
+
+    def across(left, plain=ngram_join._across):
+        met.append(left.groupBy("token").count().agg(F.max("count")).first()[0] or 0)
+        return plain(left)
+
+    monkeypatch.setattr(ngram_join, "_across", across)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)  # links are found by this step alone
+    monkeypatch.setattr(ngram_join, "CELL_HASHES", 2000)  # and in several parts
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {k: {100: 0, 130: 30, 169: 69, 200: 30}.get(k, k) for k, _ in rows}
+    assert met and met[0] < 64
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_of_a_crowd_against_all_pairs(monkeypatch, sides):
+    monkeypatch.setattr(ngram_join, "MATRIX", 100)
+    rng = np.random.default_rng(3)
+    sets = {s: np.unique(rng.choice(14, rng.integers(1, 14), replace=False)).astype(np.uint64) for s in range(40)}
+    one, two = (list(sets), []) if sides == 1 else (list(range(15)), list(range(15, 40)))
+
+    def groups(links):
+        label = {s: s for s in sets}
+        for _ in sets:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    pairs = [(a, b) for a in one for b in two or one if a < b and ngram_join.similar(sets[a], sets[b])]
+    links = ngram_join.crowd_links(one, two, sets)
+    assert set(links) <= set(pairs) and len(links) < len(pairs) and groups(links) == groups(pairs)
+    assert ngram_join.crowd_links([1], [], sets) == [] and ngram_join.crowd_links([1], [2], {1: sets[1] + np.uint64(50), 2: sets[2]}) == []
