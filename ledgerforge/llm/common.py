@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 #: A side with at most so many rows of three longs (24 MB) may be broadcast after it was counted.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that `with_text_column` has as strings at a time; a longer text is on its own.
+SLICE_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +35,20 @@ def with_text_column(docs: DataFrame, make, kind: pa.DataType, name: str) -> Dat
     """`docs` plus a column that `make(list of texts)` gives in tasks; a null text counts as empty.
 
     All columns stay as they are and nothing is joined or shuffled, so rows may repeat and
-    identifiers may be missing.
+    identifiers may be missing. Texts are made strings, and rows handed on, a slice at a time.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField(name, from_arrow_type(kind))])
     at = docs.columns.index("text")
 
     def add(batches):
-        for batch in batches:
+        for batch in slices(batches, at, SLICE_BYTES):
             made = make([text or "" for text in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(add, schema)
 
 
-def slices(batches, column: str, most: int):
+def slices(batches, column: str | int, most: int):
     """The batches cut into runs of rows with about `most` bytes of text; at least one row each."""
     for batch in batches:
         size = batch.column(column).nbytes

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_one_task, texts, unused, with_text_column
-from .tokenizing import blocks
+from .tokenizing import blocks, of_worker
 
 #: Documents of each language that the model is fitted on, in expectation.
 SAMPLE_PER_LANGUAGE = 1500
@@ -38,8 +38,9 @@ ORDERS = (1, 2, 3, 4)
 #: A language keeps a script as its own when this share of its letters is in it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
-#: Letters scored together; bounds memory whatever the batch holds.
-BLOCK_CHARS = 4_000_000
+#: Letters labelled together, and places whose n-grams are summed together (a longer word is on its
+#: own); they bound memory whatever the batch holds.
+BLOCK_CHARS, PLACES = 4_000_000, 1 << 18
 
 #: First code points of the ranges that tell scripts apart.
 SCRIPT_STARTS = (
@@ -183,10 +184,19 @@ def fit(rows: list[tuple[str, str]], counts: dict[str, int]) -> Model:
 
 def word_scores(model: Model, words: Words) -> np.ndarray:
     """[words, languages]: n-gram sums; excluded languages far below, all equal where none is a candidate."""
-    values = np.zeros((len(words.points), len(model.languages)), np.float32)
-    for table, bucket in zip(model.table, grams(words)):
-        values[: len(bucket)] += table[bucket]
-    scores = word_sums(words, values)
+    scores = np.zeros((len(words.starts), len(model.languages)))
+    begin = 0
+    while begin < len(words.starts):
+        low = words.starts[begin] - 1
+        end = max(begin + 1, int(np.searchsorted(words.starts, low + PLACES)))
+        # N-grams of the last word look no further than the blank behind it.
+        high = words.starts[end - 1] + words.lengths[end - 1] + max(ORDERS)
+        part = Words(words.points[low:high], words.letter[low:high], words.starts[begin:end] - low, words.lengths[begin:end], words.doc[begin:end])
+        values = np.zeros((len(part.points), len(model.languages)), np.float32)
+        for table, bucket in zip(model.table, grams(part)):
+            values[: len(bucket)] += table[bucket]
+        scores[begin:end] = word_sums(part, values)
+        begin = end
     allowed = model.allowed[scripts_of(words)]
     known = allowed.any(axis=1, keepdims=True)
     return np.where(known, np.where(allowed, scores, -1e6), 0.0)
@@ -339,10 +349,13 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    name = model.name
+
     def shares(rows):
-        model = shared.value
+        # Lets go of what the worker kept for the stage before.
+        model = of_worker(("language_id", name), lambda: shared.value)
         found = [x for begin, end in blocks(rows, BLOCK_CHARS) for x in label_spans(model, rows[begin:end])]
         return [None if f.language == UNKNOWN else f.share for f in found]
 
-    name = unused("lang_share", docs)
-    return with_text_column(docs, shares, pa.float64(), name).filter(F.col(name) >= least).drop(name)
+    column = unused("lang_share", docs)
+    return with_text_column(docs, shares, pa.float64(), column).filter(F.col(column) >= least).drop(column)

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerforge.llm import components, language_id, ngram_join, sorted_tables, span_hashes, toxicity, transport_streams
-from ledgerforge.llm.common import read_table
+from ledgerforge.llm.common import read_table, with_text_column
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 #: Names that the stages would take for columns of their own.
@@ -256,3 +257,27 @@ def test_links_of_a_crowd_against_all_pairs(monkeypatch, sides):
     links = ngram_join.crowd_links(one, two, sets)
     assert set(links) <= set(pairs) and len(links) < len(pairs) and groups(links) == groups(pairs)
     assert ngram_join.crowd_links([1], [], sets) == [] and ngram_join.crowd_links([1], [2], {1: sets[1] + np.uint64(50), 2: sets[2]}) == []
+
+
+def test_scores_of_words_take_little_memory_and_do_not_depend_on_the_parts(monkeypatch):
+    rng = random.Random(4)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(rng.randint(1, 40))) for _ in range(900)]
+    lines = [" ".join(rng.choices(own[k * 100 : k * 100 + 100], k=300)) for k in range(8)]
+    model = language_id.fit([(f"l{k}", line) for k, line in enumerate(lines)], {f"l{k}": 1 for k in range(8)})
+    words = language_id.words_of(lines * 25)
+    tracemalloc.start()
+    whole = language_id.word_scores(model, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words.points) > 1_000_000 and peak < 40 * len(words.points)
+    for places in (1, 50, 1 << 30):
+        monkeypatch.setattr(language_id, "PLACES", places)
+        parts = language_id.word_scores(model, language_id.words_of(lines))
+        assert (parts == whole[: len(parts)]).all()
+
+
+def test_texts_become_strings_a_slice_at_a_time(spark):
+    rows = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('four', 1000)").alias("text"))
+    sized = with_text_column(rows, lambda texts: [len(texts)] * len(texts), pa.int64(), "together")
+    found = sized.agg(F.count("*"), F.sum(F.length("text")), F.max("together")).first()
+    assert found[0] == 4000 and found[1] == 16_000_000 and found[2] * 4000 <= 5 << 20
