@@ -15,8 +15,9 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 #: A side with at most so many rows of three longs (24 MB) may be broadcast after it was counted.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that `with_text_column` has as strings at a time; a longer text is on its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that `with_text_column` has as strings at a time, and bytes that a Python task gets
+#: at a time; a longer text is on its own.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,12 @@ def with_text_column(docs: DataFrame, make, kind: pa.DataType, name: str) -> Dat
 
     All columns stay as they are and nothing is joined or shuffled, so rows may repeat and
     identifiers may be missing. Texts are made strings, and rows handed on, a slice at a time.
+    The session's limit on bytes of a batch is set to `BATCH_BYTES` unless it has one: ten thousand
+    rows of text take far more, on both sides.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(limit, None) is None:
+        docs.sparkSession.conf.set(limit, BATCH_BYTES)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, from_arrow_type(kind))])
     at = docs.columns.index("text")
 

@@ -11,6 +11,7 @@ those that need Unicode normalisation, and special tokens' strings, go to the to
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
@@ -57,11 +58,13 @@ def of_worker(key, build):
     """The object built for `key` once in this Python worker, kept for its later tasks.
 
     A worker serves one model after another, so it keeps one object only: another key lets go
-    of the one before. Being a function of an importable module it reaches tasks by
-    reference, so that all of them share this module's dictionary.
+    of the one before, whose remembered values may refer back to it. Being a function of an
+    importable module it reaches tasks by reference, so that all of them share this module's
+    dictionary.
     """
     if key not in _OF_WORKER:
         _OF_WORKER.clear()
+        gc.collect()
         _OF_WORKER[key] = build()
     return _OF_WORKER[key]
 

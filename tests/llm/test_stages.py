@@ -1,11 +1,13 @@
 """Stages and operators over odd rows, clashing columns and several blocks, against plain versions."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
 import struct
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -18,7 +20,7 @@ from test_operators import grouped, shingles, similar
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerforge.llm import components, language_id, ngram_join, sorted_tables, span_hashes, toxicity, transport_streams
+from ledgerforge.llm import components, language_id, ngram_join, sorted_tables, span_hashes, tokenizing, toxicity, transport_streams
 from ledgerforge.llm.common import read_table, with_text_column
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -281,3 +283,31 @@ def test_texts_become_strings_a_slice_at_a_time(spark):
     sized = with_text_column(rows, lambda texts: [len(texts)] * len(texts), pa.int64(), "together")
     found = sized.agg(F.count("*"), F.sum(F.length("text")), F.max("together")).first()
     assert found[0] == 4000 and found[1] == 16_000_000 and found[2] * 4000 <= 5 << 20
+
+
+def test_python_tasks_get_few_bytes_at_a_time_unless_the_session_has_a_limit(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(4000, numPartitions=1).select(F.expr("repeat('four', 1000)").alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"]) for b in batches)
+    spark.conf.unset(limit)
+    try:
+        with_text_column(rows, len, pa.int64(), "n")
+        assert rows.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] <= 5 << 20
+        sized = with_text_column(rows, lambda texts: [len(texts)] * len(texts), pa.int64(), "together")
+        assert sized.agg(F.max("together")).first()[0] * 4000 <= 5 << 18
+        spark.conf.set(limit, 3 << 20)
+        with_text_column(rows, len, pa.int64(), "n")
+        assert spark.conf.get(limit) == str(3 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_a_worker_lets_go_of_what_it_kept_for_another_stage(monkeypatch):
+    monkeypatch.setattr(tokenizing, "_OF_WORKER", {})
+    kept = weakref.ref(tokenizing.of_worker("one", lambda: toxicity.Scorer(toxicity.Classifier({}, np.zeros(0), 0.0))))
+    gc.disable()
+    try:
+        tokenizing.of_worker("two", lambda: 2)
+        assert kept() is None
+    finally:
+        gc.enable()
