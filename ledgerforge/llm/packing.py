@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
-from .tokenizing import BLOCK_CHARS, WordEncoder, of_worker
+from .tokenizing import WordEncoder, of_worker
 
 CAPACITY = 2048
 #: Fillings looked at for one bin before the best so far is taken.
 NODES = 4000
 #: Times the search goes back to a bin before the best solution so far is taken.
 TURNS = 1000
+#: Bytes of text encoded together; a longer text is on its own. The arrays of a block take some 100
+#: times its bytes, beside the 80 MB of the encoder.
+BLOCK_BYTES = 1 << 19
 #: Pieces numbered together; only sets how finely hot lengths are split.
 ROWS_PER_SALT = 20_000
 
@@ -266,7 +269,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: i
     def cut(batches):
         encoder = of_worker(("WordEncoder", tokenizer_path), lambda: WordEncoder(shared.value))
         end = end_id.to_bytes(4, "little")
-        for batch in slices(batches, "text", BLOCK_CHARS):
+        for batch in slices(batches, "text", BLOCK_BYTES):
             rows = []
             encoded = encoder(batch.column("text").to_pylist())
             for doc_id, row_no, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), encoded):

@@ -20,7 +20,7 @@ from test_operators import grouped, shingles, similar
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerforge.llm import components, language_id, ngram_join, sorted_tables, span_hashes, tokenizing, toxicity, transport_streams
+from ledgerforge.llm import components, language_id, ngram_join, packing, sorted_tables, span_hashes, tokenizing, toxicity, transport_streams
 from ledgerforge.llm.common import read_table, with_text_column
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -311,3 +311,27 @@ def test_a_worker_lets_go_of_what_it_kept_for_another_stage(monkeypatch):
         assert kept() is None
     finally:
         gc.enable()
+
+
+def test_packing_encodes_a_small_block_of_texts_at_a_time(spark, docs, tmp_path, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = Counter(map(tuple, packing.pieces_of(docs, path).select(kept).collect()))
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 64)
+    assert Counter(map(tuple, packing.pieces_of(docs, path).select(kept).collect())) == whole
+    monkeypatch.undo()
+
+    class Together:
+        """Gives each text as many ids as there are kilobytes of text in its block."""
+
+        def __init__(self, _):
+            pass
+
+        def __call__(self, rows):
+            return [bytes(4 * (sum(map(len, rows)) >> 10))] * len(rows)
+
+    (tmp_path / "other.json").write_text("")
+    monkeypatch.setattr(packing, "WordEncoder", Together)
+    rows = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('four', 1000)").alias("text"))
+    found = packing.pieces_of(rows, str(tmp_path / "other.json"), capacity=1 << 20).agg(F.count("*"), F.max("length")).first()
+    assert found[0] == 4000 and found[1] <= 600
