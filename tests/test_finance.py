@@ -514,6 +514,30 @@ def test_eligible_names_are_those_of_all_pairs(spark):
     assert set(found) == expected and len(found) == len(expected) > 100
 
 
+def most_rows(df):
+    """The most rows that any operator of the plan gave when it ran."""
+    df.collect()
+
+    def walk(node):
+        count = node.metrics().get("numOutputRows")
+        within = {"AdaptiveSparkPlan": "executedPlan"}.get(node.nodeName(), "plan" if node.nodeName().endswith("QueryStage") else None)
+        below = [getattr(node, within)()] if within else [node.children().apply(k) for k in range(node.children().size())]
+        return max([count.get().value() if count.isDefined() else 0, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_eligible_names_meet_once_however_many_schemes_bear_them(spark):
+    form = "scheme_id string, scheme_name string, sector string, min_turnover double, max_turnover double, applicable_states string, business_category string, min_age double, max_age double"
+    rules = spark.createDataFrame([(f"s{k}", None if k % 3 == 0 else f"Name {k % 3}", "Any", float(k), 800.0 - k, "Any", "Any" if k % 2 else "m", 18.0 if k % 4 == 0 else None, None) for k in range(300)], form)
+    profiles = [(f"b{k}", 300.0 + k % 200, "x", "A", "m", 16 + k % 9) for k in range(400)]
+    people = spark.createDataFrame(profiles, "business_id string, turnover double, state string, sector string, business_category string, owner_age int")
+    assert most_rows(E.eligible_names(people, rules)) <= 3 * 400
+    # One business has its profile twice.
+    twice = E.eligible_names(people.union(people.limit(1)), rules)
+    assert sorted(tuple(r) for r in twice.collect() if r[1]) == sorted((f"b{k}", f"Name {n}") for k in range(400) for n in (1, 2)) and twice.count() == 1200
+
+
 def test_places_of_one_large_account(spark):
     """Numbers of rows that lie in several ranges, with ties, beside those of small accounts."""
     import random
