@@ -277,6 +277,25 @@ def test_records_across_slices(spark, tmp_path, seed, delimiter):
         assert found == rows, n
 
 
+def test_slices_of_lines_are_bounded(spark, tmp_path, monkeypatch):
+    """Windows hold a slice of lines in memory, so a part of a file that Spark reads at once is several of them."""
+    import csv
+    import io
+    import random
+
+    monkeypatch.setattr(statements, "SLICE_LINES", 7)
+    dice = random.Random(6)
+    text = "h1,h2\n" + "".join(dice.choice(['a,b\n', '"two\nlines",b\n', '"a ""q"" b",\n', '5" pipe,3" pipe\n', f'"{"x\n" * dice.randrange(30)}",c\n']) for _ in range(300))
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    paths = [str(tmp_path / "a.csv")]
+    lines = statements._lines(spark, paths)
+    assert lines.select("file", "block").distinct().count() == 1
+    assert lines.groupBy(*statements.SLICE).count().agg(F.max("count")).first()[0] == 7
+    records = statements.read_records(spark, paths, statements.file_layouts(spark, paths)).withColumn("cells", F.transform(statements._cells(F.col("text")), statements._bare))
+    found = [r["cells"] for r in sorted(records.collect(), key=lambda r: r["position"])]
+    assert found == list(csv.reader(io.StringIO(text, newline="")))
+
+
 GOOD = {"transaction_date": "2026-08-31", "amount_minor": 1234, "direction": "income"}
 RECORDS = [
     (GOOD, None, None), ({**GOOD, "note": 1}, "UNKNOWN_FIELD", None), ({"amount_minor": 1, "x": 1}, "UNKNOWN_FIELD", None), ({}, "MISSING_FIELD", "transaction_date"),
