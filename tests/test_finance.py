@@ -557,6 +557,55 @@ def test_eligible_names_meet_once_however_many_schemes_bear_them(spark):
     assert sorted(tuple(r) for r in twice.collect() if r[1]) == sorted((f"b{k}", f"Name {n}") for k in range(400) for n in (1, 2)) and twice.count() == 1200
 
 
+def batch_text(dice):
+    """A JSON batch, sound or spoilt, with brackets and quotes in texts and objects in objects."""
+    word = lambda: dice.choice(["a", "}", "{", '"', "\\", "],[", "é", ',{"', "\n", "}}", ""])
+    value = lambda deep=0: dice.choice([1, None, True, 1.5, word() + word(), *([[value(deep + 1) for _ in range(dice.randrange(3))], {word() + str(k): value(deep + 1) for k in range(dice.randrange(3))}] if deep < 3 else [])])
+    members = {"records": dice.choice([[value() if dice.random() < 0.2 else {"n": k, "v": value()} for k in range(dice.randrange(12))]] * 8 + [5, {"a": {"b": {}}, "c": {"d": {}}}, [[{}, {}, {}]]])}
+    for name in ("x", "contract_version"):
+        members[name] = dice.choice(["v1", "v1", [{"a": 1}, {"b": 2}, {}], {"a": {"b": 1}}])
+    names = dice.sample(sorted(members), k=dice.choice([3, 3, 3, 2]))
+    text = dice.choice(["", "", "\ufeff"]) + json.dumps({n: members[n] for n in names}, indent=dice.choice([None, None, 1]), ensure_ascii=dice.random() < 0.5) + dice.choice(["", "\n", "  "])
+    at = dice.randrange(len(text))
+    return dice.choice([text] * 6 + [text[:at], text[:at] + text[at + 1 :], text[:at] + dice.choice('{}[]",\\') + text[at:], "[" + text + "]", text + text])
+
+
+@pytest.mark.parametrize("cut", ["64", "128m"])
+def test_batches_in_pieces(spark, tmp_path, monkeypatch, cut):
+    """Batches read in pieces give the payloads and records that reading each as one value gives."""
+    import random
+
+    monkeypatch.setattr(statements, "SLICE_LINES", 5)
+    dice = random.Random(8)
+    texts = {f"{k}.json": batch_text(dice) for k in range(150)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    shown = lambda df, *columns: sorted([tuple(r) for r in df.select(F.element_at(F.split("file", "/"), -1).alias("file"), *columns).collect()], key=repr)
+    whole = spark.createDataFrame([(n, t.removeprefix("\ufeff")) for n, t in texts.items()], "file string, value string").select("file", F.try_parse_json("value").alias("payload"))
+    listed = whole.select("file", F.posexplode(F.expr("try_cast(variant_get(payload, '$.records', 'variant') AS ARRAY<VARIANT>)")).alias("position", "record"))
+    verdicts = lambda e: shown(C.check_json_envelopes(e, "v1", "bank"), "code", "field")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        envelopes, records = statements.read_payloads(spark, [str(tmp_path)])
+        found = shown(records, "position", F.to_json("record")), verdicts(envelopes)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == (shown(listed, "position", F.to_json("record")), verdicts(whole))
+
+
+def test_a_large_batch_is_no_single_value(spark, tmp_path):
+    """Records of a regular batch are read from texts of an object each."""
+    rows = [{**GOOD, "description": f"no. {k} {{}}"} for k in range(5000)]
+    (tmp_path / "a.json").write_text(json.dumps({**WHOLE, "records": rows}), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(rows), encoding="utf-8")
+    assert statements._segments(spark, [str(tmp_path)], None).filter("file LIKE '%a.json'").agg(F.max(F.char_length("text"))).first()[0] < 500
+    envelopes, records = statements.read_payloads(spark, [str(tmp_path)])
+    assert records.count() == 5000 and envelopes.count() == 2
+    assert envelopes.filter("payload IS NOT NULL").agg(F.max(F.char_length(F.to_json("payload")))).first()[0] < 12_000
+
+
 def test_places_of_one_large_account(spark):
     """Numbers of rows that lie in several ranges, with ties, beside those of small accounts."""
     import random
