@@ -277,6 +277,25 @@ def test_records_across_slices(spark, tmp_path, seed, delimiter):
         assert found == rows, n
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (blocks.apply(k).toString() for k in range(blocks.size())) if name.startswith("shuffle_")}
+
+    before = shuffled()
+    table = sinks.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):
+        if left := shuffled() - before:
+            time.sleep(0.1)
+    assert not left and table.count() == 7
+    assert spark.conf.get(sinks.REMOVES_SHUFFLES) == "false"
+    sinks.let_go(spark, table)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        table.collect()
+
+
 def test_slices_of_lines_are_bounded(spark, tmp_path, monkeypatch):
     """Windows hold a slice of lines in memory, so a part of a file that Spark reads at once is several of them."""
     import csv
